@@ -85,11 +85,3 @@ def vertex_mean(edges) -> Column:
     n = F.size(e) + 1
     tot = lambda k: F.aggregate(e, F.lit(0.0), lambda acc, s: acc + s[f"{k}1"]) + F.element_at(e, -1)[f"{k}2"]
     return F.struct((tot("x") / n).alias("x"), (tot("y") / n).alias("y"))
-
-
-def self_crossing(edges) -> Column:
-    """True when two edges that are not neighbours properly cross."""
-    e = col(edges)
-    side = lambda a, x, y: F.signum((a.x2 - a.x1) * (y - a.y1) - (a.y2 - a.y1) * (x - a.x1))
-    cross = lambda a, b: (side(a, b.x1, b.y1) * side(a, b.x2, b.y2) < 0) & (side(b, a.x1, a.y1) * side(b, a.x2, a.y2) < 0)
-    return F.exists(e, lambda a: F.exists(e, lambda b: cross(a, b)))

@@ -336,3 +336,52 @@ def shape_distance(points: DataFrame, shapes: DataFrame, px: str, py: str, order
     joined = near.join(covered, [px, py], "left")
     value = F.when(c("_in"), 0.0).otherwise(F.coalesce(settle("_d", 2), F.lit(C.NO_WATER_M)))
     return joined.withColumn(out, value).drop("_d", "_in")
+
+
+# ---------------------------------------------------------------- layer quality
+def crossing_features(shapes: DataFrame, order: str, edges: str = "edges") -> DataFrame:
+    """Features with two edges that properly cross: distinct `order` values.
+
+    Edges of one feature meet on tiles of its own box, about one edge per tile, so long rings
+    are not compared edge by edge.
+    """
+    c = F.col
+    boxed = polygon_boxes(shapes.select(order, edges), edges)
+    side = F.greatest(c("_bx2") - c("_bx1"), c("_by2") - c("_by1")) / F.greatest(F.sqrt(F.size(edges).cast("double")), F.lit(1.0))
+    rows = boxed.select(order, "_bx1", "_by1", F.greatest(side, F.lit(1e-12)).alias("_s"), F.posexplode(edges).alias("_k", "e"))
+    key = lambda v, o: F.floor((v - c(o)) / c("_s")).cast("long")
+    lo, hi = (lambda a, b: F.least(c(a), c(b))), (lambda a, b: F.greatest(c(a), c(b)))
+    rows = rows.select("*", F.explode(F.sequence(key(lo("e.x1", "e.x2"), "_bx1"), key(hi("e.x1", "e.x2"), "_bx1"))).alias("_tx"))
+    rows = rows.select("*", F.explode(F.sequence(key(lo("e.y1", "e.y2"), "_by1"), key(hi("e.y1", "e.y2"), "_by1"))).alias("_ty"))
+    a = rows.select(order, "_tx", "_ty", c("_k").alias("_ka"), c("e").alias("a"))
+    b = rows.select(order, "_tx", "_ty", c("_k").alias("_kb"), c("e").alias("b"))
+    turn = lambda s, x, y: F.signum((s.x2 - s.x1) * (y - s.y1) - (s.y2 - s.y1) * (x - s.x1))
+    s, t = c("a"), c("b")
+    cross = (turn(s, t.x1, t.y1) * turn(s, t.x2, t.y2) < 0) & (turn(t, s.x1, s.y1) * turn(t, s.x2, s.y2) < 0)
+    return a.join(b, [order, "_tx", "_ty"]).filter((c("_ka") < c("_kb")) & cross).select(order).distinct()
+
+
+def vector_checks(layer: DataFrame, order: str, code: str, name: str, levels: list[str]) -> DataFrame:
+    """Null, empty and invalid geometries, duplicate codes, missing names, counts per admin level.
+
+    layer carries polygons (NULL for no geometry) and their edge array.
+    """
+    from terracast.functions.shapes import signed_area
+    from terracast.operators.quality import checks_to_rows, duplicate_count
+
+    c = F.col
+    ring_bad = lambda r: (F.size(r) < 4) | ~(r[0] == F.element_at(r, -1))
+    flat = F.flatten("polygons")
+    shaped = c("polygons").isNotNull() & (F.size("edges") > 0)
+    odd = layer.filter(shaped & (F.exists(flat, ring_bad) | (F.abs(signed_area("edges")) == 0.0))).select(order)
+    bad = odd.unionByName(crossing_features(layer.filter(shaped), order)).distinct().agg(F.count("*").alias("invalid"), F.lit(1).alias("_one"))
+    agg = layer.agg(
+        F.count_if(c("polygons").isNull()).alias("null_geometry"), F.count_if(c("polygons").isNotNull() & (F.size("edges") == 0)).alias("empty"),
+        F.count_if(c(name).isNull()).alias("no_name"), *[F.count_distinct(v).alias(f"n_{v}") for v in levels], F.lit(1).alias("_one"),
+    )
+    dup = duplicate_count(layer, [code if code in layer.columns else name]).select("duplicates", F.lit(1).alias("_one"))
+    one = agg.join(bad, "_one").join(dup, "_one")
+    return checks_to_rows(one, [
+        ("invalid_geometry", "WARN", c("invalid")), ("empty_geometry", "WARN", c("empty")), ("null_geometry", "ERROR", c("null_geometry")),
+        ("duplicate_code", "WARN", c("duplicates")), ("missing_name", "WARN", c("no_name")), *[(f"count_{v}", "INFO", c(f"n_{v}")) for v in levels],
+    ])

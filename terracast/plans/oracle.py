@@ -137,6 +137,18 @@ VIEWS: dict[str, str] = {
       select grid_id, k.i, 'nearest_fallback' from (select g.grid_id, min(struct_pack(d := {fix('sqrt((longitude-ax)*(longitude-ax)+(latitude-ay)*(latitude-ay))', 6)}, i := c.unit_idx)) as k
         from (select * from v_grid where grid_id not in (select grid_id from v_pip)) g, v_centroid c group by 1)
       ) a join v_grid g using(grid_id) join v_unit u on u.unit_idx=a.unit_idx""",
+    "v_hexm": f"""select unit_idx, k, x1m as x1, y1m as y1, x2m as x2, y2m as y2 from {forward(forward("v_hex", "x1", "y1", "x1m", "y1m"), "x2", "y2", "x2m", "y2m")}""",
+    "v_water": f"""select grid_id, case when bool_or(inn) then 0e0 else {fix('min(d)', 2)} end as distance_to_nearest_water from (
+      select grid_id, unit_idx, sum(cast((y1 > cy) <> (y2 > cy) and cx < (x2-x1)*(cy-y1)/(y2-y1)+x1 as int)) % 2 = 1 as inn, min({fix('sqrt((cx-(x1+t*dx))*(cx-(x1+t*dx))+(cy-(y1+t*dy))*(cy-(y1+t*dy)))', 6)}) as d
+      from (select *, least(greatest(((cx-x1)*dx+(cy-y1)*dy)/(dx*dx+dy*dy),0e0),1e0) as t from (select g.grid_id, centroid_x as cx, centroid_y as cy, e.*, x2-x1 as dx, y2-y1 as dy from v_grid g, v_hexm e)) group by 1, 2) group by 1""",
+    "v_near9": """select p.r, p.c, p.z, list(q.z order by dr, dc) as w from v_pixel p, (select unnest([-1,0,1]) as dr) a, (select unnest([-1,0,1]) as dc) b, (select max(r) as mr from v_pixel) m, v_pixel q
+      where q.r = least(greatest(p.r+dr,0),mr) and q.c = least(greatest(p.c+dc,0),least(49, (select max(c) from v_pixel where r=least(greatest(p.r+dr,0),mr)))) group by all""",
+    "v_terrain": """select r, c, z, slope, case when slope < 0.1e0 then 0e0 else case when a < 0 then a + 360e0 else a end end as aspect, tri from (
+      select r, c, z, degrees(atan(sqrt(gx*gx+gy*gy))) as slope, degrees(atan2(-gy,gx)) as a, tri from (select r, c, z,
+        ((w[3]+2e0*w[6]+w[9])-(w[1]+2e0*w[4]+w[7]))/240e0 as gx, ((w[7]+2e0*w[8]+w[9])-(w[1]+2e0*w[2]+w[3]))/240e0 as gy, sqrt(list_sum(list_transform(w, lambda v: (v-z)*(v-z)))) as tri from v_near9))""",
+    "v_cellpix": """select grid_id, greatest(least(cast(trunc((longitude-76.60e0)/(77.30e0-76.60e0)*nc) as int), nc-1), 0) as pc, greatest(least(cast(trunc((11.40e0-latitude)/(11.40e0-10.20e0)*nr) as int), nr-1), 0) as pr
+      from v_grid, (select max(r)+1 as nr, max(c)+1 as nc from v_pixel)""",
+    "v_window": "select k.grid_id, p.r, p.c, p.z, p.cls from v_cellpix k join v_pixel p on p.r between k.pr-5 and k.pr+5 and p.c between k.pc-5 and k.pc+5",
 }
 
 
@@ -145,7 +157,7 @@ def needed(sql: str) -> list[str]:
     used: set[str] = set()
 
     def visit(text: str) -> None:
-        for name in set(re.findall(r"\bv_[a-z]+\b", text)) & set(VIEWS):
+        for name in set(re.findall(r"\bv_[a-z0-9]+\b", text)) & set(VIEWS):
             if name not in used:
                 used.add(name)
                 visit(VIEWS[name])

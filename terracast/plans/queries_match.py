@@ -146,7 +146,7 @@ _LEVELS = "[" + ",".join(f"{k}/99e0" for k in range(100)) + "]"
 
 def _interp(x: str) -> str:
     """Mapping through lists q.s -> q.d, the last break point at or below x starting the segment."""
-    n = f"len(list_filter(q.s, v -> v <= {x}))"
+    n = f"len(list_filter(q.s, lambda v: v <= {x}))"
     i = f"least(greatest({n},1),99)"
     return f"""(case when {x} is null then null when {n}=0 then q.d[1] when {n}>=100 then q.d[100]
       else q.d[{i}]+(q.d[{i}+1]-q.d[{i}])/(q.s[{i}+1]-q.s[{i}])*({x}-q.s[{i}]) end)"""

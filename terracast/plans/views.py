@@ -202,3 +202,44 @@ def raw_forecasts(spark, sf) -> DataFrame:
         F.col("l_quantity").cast("string").alias("temperature"), F.when(k % 3 != 0, (F.col("l_tax") * 1000.0).cast("string")).alias("humidity"),
         F.when(k % 5 != 0, (F.col("l_discount") * 100.0).cast("string")).alias("rainfall"),
     )
+
+
+def projected_shapes(spark, sf) -> DataFrame:
+    """The unit polygons with their corners in metres (the water layer of the distance join)."""
+    from terracast.functions.geodesy import project_points
+    from terracast.functions.shapes import ring_edges
+
+    pts = units(spark, sf).select("feature_idx", F.posexplode(hex_ring()).alias("k", "p")).select("feature_idx", "k", F.col("p")[0].alias("lo"), F.col("p")[1].alias("la"))
+    xy = project_points(pts, "lo", "la")
+    ring = F.transform(F.array_sort(F.collect_list(F.struct("k", "x", "y"))), lambda s: F.struct(s.x.alias("x"), s.y.alias("y")))
+    return xy.groupBy("feature_idx").agg(ring.alias("ring")).select("feature_idx", ring_edges("ring").alias("edges"))
+
+
+def cell_pixels(spark, sf, cells: DataFrame | None = None) -> DataFrame:
+    from terracast.operators import raster
+
+    cells = grid(spark, sf) if cells is None else cells
+    return raster.pixel_of(cells, raster.raster_header(pixels(spark, sf)), RASTER_BOX)
+
+
+def master(spark, sf) -> DataFrame:
+    """The grid with every feature family.
+
+    The bare grid is written once to the shared folder and read back, so the five feature
+    joins start from a stored table instead of five recomputed grids.
+    """
+    from terracast.operators import raster
+    from terracast.session import reliable_cut
+
+    g = reliable_cut(grid(spark, sf), "grid")
+    px = cell_pixels(spark, sf, g)
+    terr = raster.terrain_features(px, raster.terrain(pixels(spark, sf)))
+    cover = raster.landcover_features(px, pixels(spark, sf).select("row", "col", F.col("cls").alias("value")))
+    parents = spatial.nearest_forecast_point(g, point_registry(spark, sf)).select("grid_id", "forecast_parent_id", "distance_to_forecast_grid_m")
+    villages = spatial.assign_villages(g, shapes(spark, sf)).select("grid_id", "panchayat_id", "panchayat_name", "block_name", "district_name", "assignment_mode")
+    water = spatial.shape_distance(g.select("grid_id", "centroid_x", "centroid_y"), projected_shapes(spark, sf), "centroid_x", "centroid_y", "feature_idx",
+                                   out="distance_to_nearest_water").select("grid_id", "distance_to_nearest_water")
+    out = g
+    for part in (villages, terr, cover, water, parents):
+        out = out.join(part, "grid_id", "left")
+    return out
