@@ -49,21 +49,27 @@ def safe_div(a, b, default: float = 0.0) -> Column:
     return F.coalesce(F.try_divide(col(a).cast("double"), col(b).cast("double")), F.lit(default))
 
 
-def interpolate(x, xs, ys) -> Column:
-    """Piece-wise linear map through break points (arrays sorted by x), constant outside.
+def interpolate(df: DataFrame, x: str, xs: str, ys: str, out: str, block: int = 10) -> DataFrame:
+    """Piece-wise linear map through break points (array columns sorted by x), constant outside.
 
-    On repeated break points the last one at or below x starts the segment.
+    On repeated break points the last one at or below x starts the segment. The segment is
+    found in two short scans, first over the block ends, then inside one block; it is computed
+    in its own step, so that it is not repeated wherever it is used.
     """
-    x, xs, ys = col(x), col(xs), col(ys)
+    c = F.col
+    at_most = lambda arr: F.size(F.filter(arr, lambda v: v <= c(x)))
+    ends = F.filter(xs, lambda v, i: (i + 1) % block == 0)
+    step = df.withColumn("_full", at_most(ends))
+    step = step.withColumn("_below", c("_full") * block + at_most(F.slice(c(xs), c("_full") * block + 1, F.lit(block))))
     n = F.size(xs)
-    below = F.size(F.filter(xs, lambda v: v <= x))
-    i = F.least(F.greatest(below, F.lit(1)), n - 1)
-    x0, x1 = F.element_at(xs, i), F.element_at(xs, i + 1)
-    y0, y1 = F.element_at(ys, i), F.element_at(ys, i + 1)
-    inside = y0 + (y1 - y0) / F.nullif(x1 - x0, F.lit(0.0)) * (x - x0)
-    return (
-        F.when(x.isNull() | (n == 0), F.lit(None).cast("double"))
-        .when(below == 0, F.element_at(ys, 1))
-        .when(below >= n, F.element_at(ys, -1))
+    step = step.withColumn("_i", F.least(F.greatest(c("_below"), F.lit(1)), n - 1))
+    x0, x1 = F.try_element_at(c(xs), c("_i")), F.try_element_at(c(xs), c("_i") + 1)
+    y0, y1 = F.try_element_at(c(ys), c("_i")), F.try_element_at(c(ys), c("_i") + 1)
+    inside = y0 + (y1 - y0) / F.nullif(x1 - x0, F.lit(0.0)) * (c(x) - x0)
+    value = (
+        F.when(c(x).isNull() | (n < 1), F.lit(None).cast("double"))
+        .when((c("_below") == 0) | (n == 1), F.try_element_at(c(ys), F.lit(1)))
+        .when(c("_below") >= n, F.try_element_at(c(ys), F.lit(-1)))
         .otherwise(inside)
     )
+    return step.withColumn(out, value).drop("_full", "_below", "_i")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terracast import config as C
 from terracast.functions.numbers import clip, half_even, interpolate
+from terracast.operators.evaluate import long_columns
 from terracast.operators.quantiles import quantile_array
 from terracast.operators.spatial import coordinate_key
 
@@ -95,36 +96,32 @@ def lapse_rate(df: DataFrame, gamma: float = C.LAPSE_RATE) -> DataFrame:
     return df.withColumns({"b2_temperature": half_even(moved, 2), "b2_humidity": F.col("forecast_humidity")})
 
 
-def fit_quantile_map(train: DataFrame, source: str, target: str, n: int = C.QUANTILE_LEVELS) -> DataFrame:
-    """One row with the source and target quantiles at n even levels."""
-    levels = [k / (n - 1) for k in range(n)]
-    pair = train.select(
-        F.explode(F.array(
-            F.struct(F.lit("src").alias("side"), F.col(source).alias("v")), F.struct(F.lit("dst").alias("side"), F.col(target).alias("v")),
-        )).alias("k")
-    ).select("k.side", "k.v")
-    arrays = quantile_array(pair, "v", levels, ["side"], "q")
-    side = lambda s: F.max(F.when(F.col("side") == s, F.col("q"))).alias(s)
-    return arrays.agg(side("src"), side("dst"))
+# baseline column that each variable is mapped from
+MAP_SOURCES = {"temperature": "b2_temperature", "humidity": "b0_humidity"}
 
 
-def quantile_map(df: DataFrame, n: int = C.QUANTILE_LEVELS) -> DataFrame:
+def fit_quantile_map(train: DataFrame, sources: dict[str, str] = MAP_SOURCES, n: int = C.QUANTILE_LEVELS) -> DataFrame:
+    """One row with the source and target quantiles of every variable at n even levels."""
+    series = {f"src_{v}": s for v, s in sources.items()} | {f"dst_{v}": f"observed_{v}" for v in sources}
+    rows = long_columns(train, list(series.values()), [], "series", "v")
+    arrays = quantile_array(rows, "v", [k / (n - 1) for k in range(n)], ["series"], "q")
+    return arrays.agg(*[F.max(F.when(F.col("series") == c, F.col("q"))).alias(k) for k, c in series.items()])
+
+
+def quantile_map(df: DataFrame, sources: dict[str, str] = MAP_SOURCES, n: int = C.QUANTILE_LEVELS) -> DataFrame:
     """B3: empirical quantile mapping fitted on TRAIN, applied to every row.
 
-    Without TRAIN rows the result is B2 (temperature) and B0 (humidity). The fitted table is
-    one row of two arrays of n numbers.
+    Without TRAIN rows the result is the source column itself. The fitted table is one row of
+    arrays of n numbers.
     """
-    train = df.filter(F.col("split") == "TRAIN")
-    maps = {v: fit_quantile_map(train, s, f"observed_{v}", n) for v, s in (("temperature", "b2_temperature"), ("humidity", "b0_humidity"))}
-    out = df.withColumn("_one", F.lit(1))
-    for v, m in maps.items():
-        m = m.select(F.lit(1).alias("_one"), F.col("src").alias(f"_src_{v}"), F.col("dst").alias(f"_dst_{v}"))
-        out = out.join(F.broadcast(m), "_one")
-    fitted = lambda v, x: interpolate(x, F.col(f"_src_{v}"), F.col(f"_dst_{v}"))
-    have = lambda v: F.col(f"_src_{v}").isNotNull() & F.col(f"_dst_{v}").isNotNull()
-    t = F.when(have("temperature"), half_even(fitted("temperature", "b2_temperature"), 2)).otherwise(F.col("b2_temperature"))
-    h = F.when(have("humidity"), half_even(clip(fitted("humidity", "b0_humidity"), 0.0, 100.0), 2)).otherwise(F.col("b0_humidity"))
-    return out.withColumns({"b3_temperature": t, "b3_humidity": h}).drop("_one", *[f"_{k}_{v}" for k in ("src", "dst") for v in maps])
+    fitted = fit_quantile_map(df.filter(F.col("split") == "TRAIN"), sources, n)
+    out = df.withColumn("_one", F.lit(1)).join(F.broadcast(fitted.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    for v, s in sources.items():
+        out = interpolate(out, s, f"src_{v}", f"dst_{v}", "_m")
+        mapped = clip("_m", 0.0, 100.0) if v == "humidity" else F.col("_m")
+        have = F.col(f"src_{v}").isNotNull() & F.col(f"dst_{v}").isNotNull()
+        out = out.withColumn(f"b3_{v}", F.when(have, half_even(mapped, 2)).otherwise(F.col(s))).drop("_m", f"src_{v}", f"dst_{v}")
+    return out
 
 
 def residuals(df: DataFrame, rounding: bool = True) -> DataFrame:

@@ -1,13 +1,17 @@
 """Exact order statistics without gathering a group into one task."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 BUCKETS = 128
 
 
+def _doubles(values: list[float]) -> Column:
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
+
+
 def _ranked(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Distinct values with the ranks they cover: by..., value, _first, _last, _total (0-based).
 
@@ -17,8 +21,7 @@ def _ranked(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     the ranks are exact whatever they are.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    levels = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
-    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, levels, 1000).alias("_cuts"))
+    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, _doubles([i / BUCKETS for i in range(1, BUCKETS)]), 1000).alias("_cuts"))
     if by:
         bucketed = counts.join(cuts, by)
     else:
@@ -43,9 +46,7 @@ def quantile_rows(df: DataFrame, value: str, levels: list[float], by: list[str]
     """Exact quantiles with linear interpolation: by..., level_no (0-based), quantile."""
     by = list(by)
     ranked = _ranked(df, value, by)
-    targets = F.array(*[
-        F.struct(F.lit(i).alias("no"), (F.lit(float(q)) * (F.col("_total") - 1)).alias("pos")) for i, q in enumerate(levels)
-    ])
+    targets = F.transform(_doubles(levels), lambda q, i: F.struct(i.alias("no"), (q * (F.col("_total") - 1)).alias("pos")))
     touches = lambda t: (F.floor(t.pos) <= F.col("_last")) & (F.ceil(t.pos) >= F.col("_first"))
     rows = ranked.select(*by, value, "_first", "_last", F.explode(F.filter(targets, touches)).alias("t"))
     lo, hi = F.floor("t.pos"), F.ceil("t.pos")

@@ -89,13 +89,13 @@ def window_pixels(cells: DataFrame, pixels: DataFrame, values: list[str], key: s
     """
     bands = F.array_distinct(F.transform(F.array(F.lit(-radius), F.lit(0), F.lit(radius)), lambda d: F.floor((F.col(col) + d) / BAND)))
     strips = (
-        pixels.select(F.col(row).alias("_r"), F.explode(bands).alias("_b"), F.struct(F.col(col).alias("c"), *values).alias("p"))
+        pixels.select(F.col(row).alias("_r"), F.explode(bands).alias("_b"), F.struct(F.col(col).alias("_at"), *values).alias("p"))
         .groupBy("_r", "_b").agg(F.collect_list("p").alias("_strip"))
     )
     rows_of = F.explode(F.sequence(F.col("pixel_row") - radius, F.col("pixel_row") + radius)).alias("_r")
     asked = cells.select(key, "pixel_col", F.floor(F.col("pixel_col") / BAND).alias("_b"), rows_of)
     met = asked.join(strips, ["_r", "_b"])
-    near = F.filter("_strip", lambda p: p.c.between(F.col("pixel_col") - radius, F.col("pixel_col") + radius))
+    near = F.filter("_strip", lambda p: p["_at"].between(F.col("pixel_col") - radius, F.col("pixel_col") + radius))
     return met.select(key, F.explode(near).alias("p")).select(key, *[F.col(f"p.{v}").alias(v) for v in values])
 
 

@@ -155,13 +155,13 @@ def _interp(x: str) -> str:
 @query("b04_quantile_map", f"""select m.event_id, m.lead_time_hours, {even(_interp('m.b2_temperature'), 2)} as b3_temperature from v_match m,
     (select quantile_cont(b2_temperature, {_LEVELS}) as s, quantile_cont(observed_temperature, {_LEVELS}) as d from v_match where split='TRAIN') q""", "b3_temperature")
 def b04(spark, sf):
-    return keyed(B.quantile_map(V.matchups(spark, sf)), "b3_temperature")
+    return keyed(B.quantile_map(V.matchups(spark, sf), {"temperature": "b2_temperature"}), "b3_temperature")
 
 
 @query("b04_quantile_map_humidity", f"""select m.event_id, m.lead_time_hours, {even(clip(_interp('m.b0_humidity'), '0e0', '100e0'), 2)} as b3_humidity from v_match m,
     (select quantile_cont(b0_humidity, {_LEVELS}) as s, quantile_cont(observed_humidity, {_LEVELS}) as d from v_match where split='TRAIN') q""", "b3_humidity")
 def b04h(spark, sf):
-    return keyed(B.quantile_map(V.matchups(spark, sf)), "b3_humidity")
+    return keyed(B.quantile_map(V.matchups(spark, sf), {"humidity": "b0_humidity"}), "b3_humidity")
 
 
 @query("x18_quantile_vector", f"select cast(unnest(range(100)) as int) as level_no, unnest(quantile_cont(observed_temperature, {_LEVELS})) as quantile from v_match", "quantile")

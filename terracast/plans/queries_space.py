@@ -56,7 +56,7 @@ def j17(spark, sf):
     return V.grid(spark, sf).groupBy("centroid_y").agg(F.count("*").alias("cells"), F.min("centroid_x").alias("first_x"), F.max("centroid_x").alias("last_x"))
 
 
-@query("x01_padded_ids", "select cell_idx, 'GRID_'||lpad(cast(cell_idx as varchar),5,'0') as a, 'FC_GRID_'||lpad(cast(cell_idx%12+1 as varchar),2,'0') as b, 'GP_'||lpad(cast(cell_idx as varchar),greatest(4,len(cast(cell_idx as varchar))),'0') as c, 'GROUP_'||cell_idx as g from v_grid")
+@query("x01_padded_ids", "select cell_idx, 'GRID_'||lpad(cast(cell_idx as varchar),5,'0') as a, 'FC_GRID_'||lpad(cast(cell_idx%12+1 as varchar),2,'0') as b, 'GP_'||lpad(cast(cell_idx as varchar),greatest(4,len(cast(cell_idx as varchar)))::int,'0') as c, 'GROUP_'||cell_idx as g from v_grid")
 def x01(spark, sf):
     i = F.col("cell_idx")
     return V.grid(spark, sf).select("cell_idx", F.format_string("GRID_%05d", i).alias("a"), F.format_string("FC_GRID_%02d", i % 12 + 1).alias("b"), F.format_string("GP_%04d", i).alias("c"), F.concat(F.lit("GROUP_"), i.cast("string")).alias("g"))
@@ -101,16 +101,18 @@ def j14(spark, sf):
     return out.select("grid_id", "distance_to_nearest_water")
 
 
-@query("j16_villages_without_cells", "select panchayat_name from v_unit where panchayat_name not in (select panchayat_name from v_assign)")
+@query("j16_villages_without_cells", """select panchayat_name from v_unit where panchayat_name not in (select u.panchayat_name from v_station s join v_unit u on
+    (select count(*) from v_hex e where e.unit_idx=u.unit_idx and (e.y1 > s.latitude) <> (e.y2 > s.latitude) and s.longitude < (e.x2-e.x1)*(s.latitude-e.y1)/(e.y2-e.y1)+e.x1) % 2 = 1
+    where not exists (select 1 from v_unit w where w.unit_idx < u.unit_idx and (select count(*) from v_hex e where e.unit_idx=w.unit_idx and (e.y1 > s.latitude) <> (e.y2 > s.latitude) and s.longitude < (e.x2-e.x1)*(s.latitude-e.y1)/(e.y2-e.y1)+e.x1) % 2 = 1))""")
 def j16(spark, sf):
-    return S.villages_without_cells(V.shapes(spark, sf), S.assign_villages(V.grid(spark, sf), V.shapes(spark, sf)))
+    shapes = V.shapes(spark, sf)
+    return S.villages_without_cells(shapes, S.point_in_polygon(V.stations(spark, sf), shapes, "longitude", "latitude", "feature_idx", ["feature_idx", "panchayat_name"]))
 
 
-@query("u02_unmatched_stations", "select user_id as station_id from events where event_type='click' except select user_id from events where event_type='error'")
+@query("u02_name_difference", "select distinct p_name from part where p_name not in (select p_name from part where p_size >= 49)")
 def u02(spark, sf):
-    e = V.table(spark, sf, "events").select(F.col("user_id").alias("station_id"), "event_type")
-    side = lambda t: e.filter(F.col("event_type") == t).select("station_id").distinct()
-    return side("click").join(side("error"), "station_id", "left_anti")
+    p = V.table(spark, sf, "part").select("p_name", "p_size")
+    return p.select("p_name").distinct().join(p.filter("p_size >= 49").select("p_name").distinct(), "p_name", "left_anti")
 
 
 @query("x21_centroids", """select c.unit_idx as feature_idx, ax, ay, mx, my from v_centroid c join (select unit_idx, (sum(x1)+max(x1) filter (k=0))/7e0 as mx, (sum(y1)+max(y1) filter (k=0))/7e0 as my from v_hex group by 1) using (unit_idx)""", "ax ay mx my")
