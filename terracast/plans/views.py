@@ -243,3 +243,51 @@ def master(spark, sf) -> DataFrame:
     for part in (villages, terr, cover, water, parents):
         out = out.join(part, "grid_id", "left")
     return out
+
+
+def daily_forecasts(spark, sf) -> DataFrame:
+    """One forecast per day, point and lead: the day's mean, valid at midnight."""
+    day = F.date_trunc("day", F.col("valid_time")).cast("timestamp_ntz")
+    f = forecasts(spark, sf).groupBy("point_idx", "latitude", "longitude", day.alias("valid_time"), "lead_time")
+    return f.agg(settle(F.avg("temperature"), 2).alias("temperature"), settle(F.avg("humidity"), 2).alias("humidity"), settle(F.avg("rainfall"), 2).alias("rainfall"))
+
+
+def test_dates(spark, sf) -> DataFrame:
+    """Dates of the TEST observations."""
+    o = observations(spark, sf).select("timestamp", matchup.split_label("timestamp", SPLITS).alias("split"))
+    return o.filter("split = 'TEST'").select(F.date_format("timestamp", "yyyy-MM-dd").alias("observation_time")).distinct()
+
+
+def light_master(spark, sf) -> DataFrame:
+    """Grid cells with parent point, village and a height."""
+    from terracast.session import reliable_cut
+
+    g = reliable_cut(grid(spark, sf), "grid")
+    parents = spatial.nearest_forecast_point(g, point_registry(spark, sf)).select("grid_id", "forecast_parent_id", "distance_to_forecast_grid_m")
+    villages = spatial.assign_villages(g, shapes(spark, sf)).select("grid_id", "panchayat_id", "panchayat_name", "block_name", "district_name", "assignment_mode")
+    out = g.withColumn("elevation_mean", (F.col("cell_idx") * 13 % 1500).cast("double"))
+    return out.join(parents, "grid_id").join(villages, "grid_id")
+
+
+def grid_probabilities(spark, sf) -> DataFrame:
+    """Every cell on every TEST date and lead with three probabilities."""
+    from terracast.operators import villages
+
+    f = villages.grid_features(light_master(spark, sf), daily_forecasts(spark, sf), test_dates(spark, sf), point_registry(spark, sf))
+    p = ((F.col("cell_idx") * 37 + F.col("lead_time_hours") + F.dayofmonth(F.to_date("observation_time")) * 11) % 1000) / F.lit(1000.0)
+    return f.withColumn("prob_1mm", p).withColumns({"prob_10mm": F.col("prob_1mm") * 0.4, "prob_25mm": F.col("prob_1mm") * F.col("prob_1mm")})
+
+
+def village_rain(spark, sf) -> DataFrame:
+    from terracast.operators import villages
+
+    return villages.village_rainfall(grid_probabilities(spark, sf))
+
+
+def village_polygons(spark, sf) -> DataFrame:
+    """Polygon attributes with the mean of the ring points as centre."""
+    from terracast.functions.shapes import vertex_mean
+
+    s = shapes(spark, sf).withColumn("m", vertex_mean("edges"))
+    return s.select("panchayat_id", "panchayat_name", "block_name", "district_name", F.col("m.y").alias("latitude"), F.col("m.x").alias("longitude"),
+                    (F.col("feature_idx") + 0.5).alias("area_sq_km"))
