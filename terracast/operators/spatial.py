@@ -14,6 +14,7 @@ from terracast import config as C
 from terracast.functions.geodesy import ZONE_43N, MetricZone, project_points, unproject_points
 from terracast.functions.numbers import half_even, settle
 from terracast.functions.shapes import area_centroid, box_of, inside, on_edge, segment_distance
+from terracast.session import reliable_cut
 
 FAN = 4                 # children per axis and level
 BROADCAST_LEVELS = 3    # level 3 holds at most 4,096 tiles
@@ -296,9 +297,13 @@ def point_in_polygon(points: DataFrame, shapes: DataFrame, px: str, py: str, ord
 
 
 def assign_villages(cells: DataFrame, shapes: DataFrame, lon: str = "longitude", lat: str = "latitude") -> DataFrame:
-    """Village of every cell: the containing polygon, else the nearest polygon centroid."""
+    """Village of every cell: the containing polygon, else the nearest polygon centroid.
+
+    The containment join is written once; the cells it leaves over and the final union both
+    read it from there.
+    """
     carry = ["panchayat_id", "panchayat_name", "block_name", "district_name"]
-    inside_cells = point_in_polygon(cells, shapes, lon, lat, "feature_idx", carry)
+    inside_cells = reliable_cut(point_in_polygon(cells, shapes, lon, lat, "feature_idx", carry), "containment")
     inside_cells = inside_cells.withColumn("assignment_mode", F.lit("centroid_contains"))
     outside = cells.join(inside_cells.select("grid_id"), "grid_id", "left_anti")
     centres = shapes.select("feature_idx", *carry, area_centroid("edges").alias("k"))

@@ -5,36 +5,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terracast import config as C
+from terracast.functions.times import day_text, season_columns
+from terracast.operators.evaluate import long_columns
 from terracast.operators.quantiles import quantile_columns
 from terracast.operators.spatial import attach_parent, point_registry
-from terracast.functions.times import day_text, season_columns
+from terracast.session import reliable_cut
 
 THRESHOLDS = ["1mm", "10mm", "25mm"]
 HOT_GROUP = 1_000_000
 
 
-def village_rainfall(grid: DataFrame, hot_group: int = HOT_GROUP) -> DataFrame:
+def village_rainfall(grid: DataFrame, hot_group: int = HOT_GROUP, largest: int | None = None) -> DataFrame:
     """Cell probabilities to village level: mean, P10, P90, sample spread, count, status.
 
     Groups up to `hot_group` cells use the built-in percentile. When a larger group exists,
     such groups take the order-statistic route, which never gathers them in one task.
+    `largest` is a known bound of the group size (the most cells of one village); without it
+    the groups are counted first.
     """
     keys = ["panchayat_id", "timestamp", "lead_time"]
     rename = {"observation_time": "timestamp", "lead_time_hours": "lead_time"}
     df = grid.withColumnsRenamed({k: v for k, v in rename.items() if k in grid.columns and v not in grid.columns})
     df = df.select(*keys, *[f"prob_{t}" for t in THRESHOLDS])
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    worst = sizes.agg(F.max("_n")).first()[0] or 0
-    if worst <= hot_group:
+    if largest is None:
+        largest = sizes.agg(F.max("_n")).first()[0] or 0
+    if largest <= hot_group:
         return _finish(_aggregate(df, keys, percentiles=True), keys)
-    hot = sizes.filter(F.col("_n") > hot_group).select(*keys)
+    # both routes read the cell probabilities several times: start from a written table
+    df = reliable_cut(df, "cell-probabilities")
     # each hot group has more than hot_group rows, so there are few of them beside the data
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_group).select(*keys)
     calm = _aggregate(df.join(hot, keys, "left_anti"), keys, percentiles=True)
     big = df.join(hot, keys, "left_semi")
     busy = _aggregate(big, keys, percentiles=False)
-    for t in THRESHOLDS:
-        busy = busy.join(quantile_columns(big, f"prob_{t}", {f"rain_probability_{t}_p10": 0.1, f"rain_probability_{t}_p90": 0.9}, keys), keys)
-    return _finish(calm.unionByName(busy), keys)
+    rows = long_columns(big, [f"prob_{t}" for t in THRESHOLDS], keys, "series", "p")
+    q = quantile_columns(rows, "p", {"p10": 0.1, "p90": 0.9}, [*keys, "series"])
+    pick = lambda t, c: F.max(F.when(F.col("series") == f"prob_{t}", F.col(c))).alias(f"rain_probability_{t}_{c}")
+    wide = q.groupBy(*keys).agg(*[pick(t, c) for t in THRESHOLDS for c in ("p10", "p90")])
+    return _finish(calm.unionByName(busy.join(wide, keys)), keys)
 
 
 def _aggregate(df: DataFrame, keys: list[str], percentiles: bool) -> DataFrame:

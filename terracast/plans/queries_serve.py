@@ -33,7 +33,7 @@ def m03(spark, sf):
 
 @query("g09_village_rainfall", "select * from v_village", " ".join(_VCOLS))
 def g09(spark, sf):
-    return V.village_rain(spark, sf)
+    return V.fresh_village_rain(spark, sf)
 
 
 @query("g09_village_rainfall_hot_groups", "select * from v_village", " ".join(_VCOLS))

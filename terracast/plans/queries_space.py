@@ -33,7 +33,7 @@ def p12(spark, sf):
 
 @query("p13_metric_grid", "select grid_id, cell_idx, centroid_x, centroid_y, latitude, longitude, min_x, min_y, max_x, max_y from v_grid", GRID_COLS)
 def p13(spark, sf):
-    return V.grid(spark, sf)
+    return V.fresh_grid(spark, sf)
 
 
 @query("p14_cell_ring", "select grid_id, printf('%d %d, %d %d, %d %d, %d %d, %d %d', min_x::bigint, min_y::bigint, max_x::bigint, min_y::bigint, max_x::bigint, max_y::bigint, min_x::bigint, max_y::bigint, min_x::bigint, min_y::bigint) as ring from v_grid")
@@ -271,7 +271,7 @@ def g10(spark, sf):
     from v_grid g left join v_assign a using (grid_id) left join ({_TERR}) t using (grid_id) left join ({_COVER}) c using (grid_id) left join v_water w using (grid_id) left join v_parent p using (grid_id)
     left join (select panchayat_id, count(*) as n from v_assign group by 1) n on n.panchayat_id=a.panchayat_id)""")
 def q14(spark, sf):
-    return G.grid_checks(V.master(spark, sf))
+    return G.grid_checks(V.fresh_master(spark, sf))
 
 
 # ---------------------------------------------------------------- vector text

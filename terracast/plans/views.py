@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from terracast import config as C
 from terracast.functions.numbers import settle
 from terracast.operators import baselines, matchup, quality, spatial
+from terracast.session import stored_table
 
 SPLITS = C.SplitWindows("2024-01-15 23:00:00", "2024-01-22 23:00:00")
 
@@ -160,10 +161,15 @@ def extent(spark, sf) -> DataFrame:
     return stations(spark, sf).agg(F.min("latitude").alias("min_lat"), F.max("latitude").alias("max_lat"), F.min("longitude").alias("min_lon"), F.max("longitude").alias("max_lon"))
 
 
-def grid(spark, sf) -> DataFrame:
+def fresh_grid(spark, sf) -> DataFrame:
     return spatial.metric_grid(extent(spark, sf))
 
 
+def grid(spark, sf) -> DataFrame:
+    """The stored grid that the feature stages read."""
+    return stored_table(spark, (sf, "grid"), lambda: fresh_grid(spark, sf))
+
+
 def point_registry(spark, sf) -> DataFrame:
     return spatial.point_registry(forecasts(spark, sf))
 
@@ -222,16 +228,11 @@ def cell_pixels(spark, sf, cells: DataFrame | None = None) -> DataFrame:
     return raster.pixel_of(cells, raster.raster_header(pixels(spark, sf)), RASTER_BOX)
 
 
-def master(spark, sf) -> DataFrame:
-    """The grid with every feature family.
-
-    The bare grid is written once to the shared folder and read back, so the five feature
-    joins start from a stored table instead of five recomputed grids.
-    """
+def fresh_master(spark, sf) -> DataFrame:
+    """The grid with every feature family, each joined to the stored grid."""
     from terracast.operators import raster
-    from terracast.session import reliable_cut
 
-    g = reliable_cut(grid(spark, sf), "grid")
+    g = grid(spark, sf)
     px = cell_pixels(spark, sf, g)
     terr = raster.terrain_features(px, raster.terrain(pixels(spark, sf)))
     cover = raster.landcover_features(px, pixels(spark, sf).select("row", "col", F.col("cls").alias("value")))
@@ -258,11 +259,17 @@ def test_dates(spark, sf) -> DataFrame:
     return o.filter("split = 'TEST'").select(F.date_format("timestamp", "yyyy-MM-dd").alias("observation_time")).distinct()
 
 
+def master(spark, sf) -> DataFrame:
+    return stored_table(spark, (sf, "master"), lambda: fresh_master(spark, sf))
+
+
 def light_master(spark, sf) -> DataFrame:
-    """Grid cells with parent point, village and a height."""
-    from terracast.session import reliable_cut
+    """Stored grid cells with parent point, village and a height."""
+    return stored_table(spark, (sf, "light_master"), lambda: _light_master(spark, sf))
 
-    g = reliable_cut(grid(spark, sf), "grid")
+
+def _light_master(spark, sf) -> DataFrame:
+    g = grid(spark, sf)
     parents = spatial.nearest_forecast_point(g, point_registry(spark, sf)).select("grid_id", "forecast_parent_id", "distance_to_forecast_grid_m")
     villages = spatial.assign_villages(g, shapes(spark, sf)).select("grid_id", "panchayat_id", "panchayat_name", "block_name", "district_name", "assignment_mode")
     out = g.withColumn("elevation_mean", (F.col("cell_idx") * 13 % 1500).cast("double"))
@@ -278,10 +285,16 @@ def grid_probabilities(spark, sf) -> DataFrame:
     return f.withColumn("prob_1mm", p).withColumns({"prob_10mm": F.col("prob_1mm") * 0.4, "prob_25mm": F.col("prob_1mm") * F.col("prob_1mm")})
 
 
-def village_rain(spark, sf) -> DataFrame:
+def fresh_village_rain(spark, sf) -> DataFrame:
     from terracast.operators import villages
 
-    return villages.village_rainfall(grid_probabilities(spark, sf))
+    bound = villages.cells_per_village(light_master(spark, sf)).first()["max_cells"]
+    return villages.village_rainfall(grid_probabilities(spark, sf), largest=bound)
+
+
+def village_rain(spark, sf) -> DataFrame:
+    """The stored village forecasts that the serving stage reads."""
+    return stored_table(spark, (sf, "village_rain"), lambda: fresh_village_rain(spark, sf))
 
 
 def village_polygons(spark, sf) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 
@@ -50,3 +51,26 @@ def reliable_cut(df, label: str):
     path = scratch_path(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_STORED: dict[tuple, str] = {}
+
+
+def stored_table(spark: SparkSession, key: tuple, build):
+    """A derived table that later steps read: built and written once per session, then read.
+
+    The stages of the pipeline hand over stored tables (grid, master, village forecasts), so
+    a stage starts from files and not from the whole lineage before it. A table whose files
+    are gone is built again.
+    """
+    full = (spark.sparkContext.applicationId, *key)
+    path = _STORED.get(full)
+    if path:
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException:
+            pass
+    path = scratch_path(spark, str(key[-1]))
+    build().write.mode("overwrite").parquet(path)
+    _STORED[full] = path
+    return spark.read.parquet(path)
