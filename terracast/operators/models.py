@@ -37,16 +37,17 @@ def feature_list(df: DataFrame, baseline: str | None = "b2_temperature", geo: bo
 
 def assembler(features: list[str]) -> list:
     """Median-filled numeric inputs in one vector. Trees in MLlib take no missing values."""
-    filled = [f"_i_{f}" for f in features]
-    return [Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="features", handleInvalid="keep")]
+    given, filled = [f"_d_{f}" for f in features], [f"_i_{f}" for f in features]
+    return [Imputer(strategy="median", inputCols=given, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="features", handleInvalid="keep")]
 
 
-def as_doubles(df: DataFrame, features: list[str]) -> DataFrame:
-    return df.withColumns({f: F.col(f).cast("double") for f in features})
+def with_inputs(df: DataFrame, features: list[str]) -> DataFrame:
+    """Double copies of the inputs; the given columns keep their types."""
+    return df.withColumns({f"_d_{f}": F.col(f).cast("double") for f in features})
 
 
 def drop_inputs(df: DataFrame, features: list[str]) -> DataFrame:
-    return df.drop("features", "_scaled", "rawPrediction", "_raw_prediction", "probability", *[f"_i_{f}" for f in features])
+    return df.drop("features", "_scaled", "rawPrediction", "probability", *[f"{k}{f}" for f in features for k in ("_d_", "_i_")])
 
 
 # ---------------------------------------------------------------- residual model
@@ -55,12 +56,12 @@ def fit_residual(train: DataFrame, features: list[str], label: str, params: C.Bo
         labelCol=label, featuresCol="features", predictionCol="prediction", maxIter=params.trees, maxDepth=params.depth, stepSize=params.rate,
         subsamplingRate=params.row_share, featureSubsetStrategy=params.column_share, minInstancesPerNode=params.min_rows, seed=params.seed,
     )
-    return Pipeline(stages=[*assembler(features), gbt]).fit(as_doubles(train, features).filter(F.col(label).isNotNull()))
+    return Pipeline(stages=[*assembler(features), gbt]).fit(with_inputs(train, features).filter(F.col(label).isNotNull()))
 
 
 def predict_residual(model: PipelineModel, df: DataFrame, features: list[str], variable: str, base: str) -> DataFrame:
     """ml_<variable> = baseline + predicted residual."""
-    out = drop_inputs(model.transform(as_doubles(df, features)), features)
+    out = drop_inputs(model.transform(with_inputs(df, features)), features)
     name = f"predicted_{variable}_residual"
     return out.withColumnRenamed("prediction", name).withColumn(f"ml_{variable}", F.col(base) + F.col(name))
 
@@ -139,11 +140,11 @@ class QuantileForest:
         self._pipeline = Pipeline(stages=[*assembler(features), forest])
 
     def _leaves(self, df: DataFrame) -> DataFrame:
-        return drop_inputs(self.model.transform(as_doubles(df, self.features)), self.features).drop("_mean")
+        return drop_inputs(self.model.transform(with_inputs(df, self.features)), self.features).drop("_mean")
 
     def fit(self, train: DataFrame) -> "QuantileForest":
         train = train.filter(F.col(self.label).isNotNull())
-        self.model = self._pipeline.fit(as_doubles(train, self.features))
+        self.model = self._pipeline.fit(with_inputs(train, self.features))
         leaves = self._leaves(train).select(self.label, F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
         q = F.percentile_approx(self.label, F.array(*[F.lit(x) for x in self.levels]), self.accuracy)
         self.table = leaves.groupBy("tree", F.col("leaf").cast("int").alias("leaf")).agg(q.alias("q"))
@@ -177,20 +178,20 @@ class RainModel:
         if classes < 2:
             self.constant = rate
             return self
-        train = as_doubles(train, self.features)
+        train = with_inputs(train, self.features)
         stages = assembler(self.features)
         if self.kind == "logistic":
             n = train.count()
             stages += [
                 StandardScaler(inputCol="features", outputCol="_scaled", withMean=True, withStd=True),
                 LogisticRegression(labelCol=self.label, featuresCol="_scaled", regParam=1.0 / (self.c * max(n, 1)), elasticNetParam=0.0,
-                                   standardization=False, maxIter=self.max_iter, predictionCol="_cls", rawPredictionCol="_raw_prediction"),
+                                   standardization=False, maxIter=self.max_iter, predictionCol="_cls"),
             ]
         else:
             p = self.params
             stages += [GBTClassifier(
                 labelCol=self.label, featuresCol="features", maxIter=p.trees, maxDepth=p.depth, stepSize=p.rate, subsamplingRate=p.row_share,
-                featureSubsetStrategy=p.column_share, minInstancesPerNode=p.min_rows, seed=p.seed, predictionCol="_cls", rawPredictionCol="_raw_prediction",
+                featureSubsetStrategy=p.column_share, minInstancesPerNode=p.min_rows, seed=p.seed, predictionCol="_cls",
             )]
         self.model = Pipeline(stages=stages).fit(train)
         return self
@@ -198,7 +199,7 @@ class RainModel:
     def transform(self, df: DataFrame, name: str) -> DataFrame:
         if self.constant is not None:
             return df.withColumn(name, F.lit(self.constant))
-        out = self.model.transform(as_doubles(df, self.features))
+        out = self.model.transform(with_inputs(df, self.features))
         p = vector_to_array("probability")[1]
         out = out.withColumn(name, F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)))
         return drop_inputs(out.drop("_cls"), self.features)

@@ -1 +1,200 @@
-"""Queries."""
+"""Feature, model and calibration queries (M, B-13, E-28, Q-21, Q-23, J-04, P-08)."""
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from terracast import config as C
+from terracast.operators import evaluate as E
+from terracast.operators import models as M
+from terracast.operators import uncertainty as U
+from terracast.operators import villages as G
+from terracast.plans import views as V
+from terracast.plans.registry import query
+from terracast.session import scratch_path, stored_table
+
+# the queries run smaller ensembles than the defaults; the operators are the same
+FAST = C.BoostParams(trees=8, depth=4)
+KEYS = ["event_id", "lead_time_hours"]
+
+
+def featured(spark, sf):
+    """Matchups with cell features, season and residual labels: the stored training table."""
+    return stored_table(spark, (sf, "featured"), lambda: _featured(spark, sf))
+
+
+def _featured(spark, sf):
+    m = M.with_season(M.join_features(V.matchups(spark, sf), V.master(spark, sf)))
+    return E.rain_labels(m).withColumn("y_temperature", F.col("observed_temperature") - F.col("b2_temperature"))
+
+
+@query("p08_overlap_pruned_join", "select event_id, lead_time_hours, grid_id, m.panchayat_id, g.elevation_mean from v_match m left join (select grid_id, elevation_mean from v_master) g using (grid_id)", "elevation_mean")
+def p08(spark, sf):
+    return M.join_features(V.matchups(spark, sf).select(*KEYS, "grid_id", "panchayat_id"), V.light_master(spark, sf)).select(*KEYS, "grid_id", "panchayat_id", "elevation_mean")
+
+
+@query("j04_feature_join", "select event_id, lead_time_hours, g.elevation_mean, g.distance_to_forecast_grid_m from v_match m left join (select grid_id, elevation_mean, distance_to_forecast_grid_m from v_master) g using (grid_id)", "elevation_mean distance_to_forecast_grid_m")
+def j04(spark, sf):
+    return M.join_features(V.matchups(spark, sf), V.light_master(spark, sf)).select(*KEYS, "elevation_mean", "distance_to_forecast_grid_m")
+
+
+@query("m02_feature_matrix", """select event_id, lead_time_hours, 10::int as n_features, forecast_temperature+forecast_humidity+forecast_rainfall+lead_time_hours+b2_temperature+g.elevation_mean+g.distance_to_forecast_grid_m
+    +sin(2e0*pi()*dayofyear(observation_time)/365.25e0)+cos(2e0*pi()*dayofyear(observation_time)/365.25e0)+month(observation_time) as total from v_match m join (select grid_id, elevation_mean, distance_to_forecast_grid_m from v_master) g using (grid_id)""", "total")
+def m02(spark, sf):
+    from pyspark.ml import Pipeline
+
+    m = M.with_season(M.join_features(V.matchups(spark, sf), V.light_master(spark, sf)))
+    feats = M.feature_list(m)
+    d = M.with_inputs(m, feats)
+    v = Pipeline(stages=M.assembler(feats)).fit(d).transform(d).withColumn("v", vector_to_array("features"))
+    return v.select(*KEYS, F.size("v").alias("n_features"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query("q21_leakage_guard", "select unnest(['forecast_temperature','b2_temperature','observed_humidity','residual_temperature']) as feature, unnest([false,false,true,true]) as forbidden, unnest([count(forecast_temperature),count(b2_temperature),count(observed_humidity),count(residual_temperature)]) as filled from v_match")
+def q21(spark, sf):
+    from terracast.operators.quality import leakage_guard
+
+    names = ["forecast_temperature", "b2_temperature", "observed_humidity", "residual_temperature"]
+
+    def refused(name):
+        try:
+            leakage_guard([name])
+            return False
+        except ValueError:
+            return True
+
+    row = V.matchups(spark, sf).agg(*[F.count(n).alias(n) for n in names]).unpivot([], names, "feature", "filled")
+    bad = [n for n in names if refused(n)]
+    return row.withColumn("forbidden", F.col("feature").isin(bad))
+
+
+def _residual(spark, sf):
+    f = featured(spark, sf)
+    feats = M.feature_list(f)
+    model = M.fit_residual(f.filter("split = 'TRAIN'"), feats, "y_temperature", FAST)
+    return f, feats, model
+
+
+@query("m04_residual_model")
+def m04(spark, sf):
+    f, feats, model = _residual(spark, sf)
+    return M.predict_residual(model, f, feats, "temperature", "b2_temperature").select(*KEYS, "split", "b2_temperature", "predicted_temperature_residual", "ml_temperature")
+
+
+@query("q23_prediction_sanity", "select count(*) as rows, 0::bigint as null_ml_temperature from v_match")
+def q23(spark, sf):
+    f, feats, model = _residual(spark, sf)
+    return M.sanity(M.predict_residual(model, f, feats, "temperature", "b2_temperature"), ["ml_temperature"])
+
+
+@query("m05_quantile_forest")
+def m05(spark, sf):
+    """Forest quantiles, put in order, conformally widened, on the absolute scale."""
+    f = featured(spark, sf)
+    forest = M.QuantileForest(M.feature_list(f), "y_temperature", trees=10).fit(f.filter("split = 'TRAIN'"))
+    q = forest.transform(f, KEYS, "r")
+    lo, mid, hi = U.monotone("r_q10", "r_q50", "r_q90")
+    q = q.withColumns({"r_q10": lo, "r_q50": mid, "r_q90": hi})
+    scores = q.filter("split = 'CALIBRATION'").select(U.conformity_score("y_temperature", "r_q10", "r_q90").alias("score"))
+    q = U.widen(q, U.conformal_correction(scores), "r_q10", "r_q90", "")
+    return U.to_absolute(q, {"temperature": "r"}).select(*KEYS, "split", "q10_temperature", "q50_temperature", "q90_temperature", "temperature_interval_width", "temperature_reliability")
+
+
+def _rain_features(f):
+    return M.feature_list(f, baseline=None)
+
+
+@query("m06_logistic_rain")
+def m06(spark, sf):
+    f = featured(spark, sf)
+    return M.RainModel("logistic", _rain_features(f), "rain_1mm", max_iter=30).fit(f.filter("split = 'TRAIN'")).transform(f, "r1_1mm").select(*KEYS, "rain_1mm", "r1_1mm")
+
+
+@query("m07_boosted_rain")
+def m07(spark, sf):
+    f = featured(spark, sf)
+    return M.RainModel("boosted", _rain_features(f), "rain_1mm", FAST).fit(f.filter("split = 'TRAIN'")).transform(f, "r2_1mm").select(*KEYS, "rain_1mm", "r2_1mm")
+
+
+@query("m08_single_class_guard", "select event_id, lead_time_hours, 0e0 as p from v_match", "p")
+def m08(spark, sf):
+    f = featured(spark, sf).withColumn("never", (F.col("observed_rainfall") > 1000.0).cast("int"))
+    return M.RainModel("boosted", _rain_features(f), "never", FAST).fit(f.filter("split = 'TRAIN'")).transform(f, "p").select(*KEYS, "p")
+
+
+@query("b13_isotonic_calibration",
+    """select doc_id, v.p, f.fit as calibrated from v_prob v join (select p, max(m) as fit from (
+      select p, min(a) over (partition by j order by i desc) as m from (select l.i as j, r.i as i, r.p, (r.s-l.s+l.y)/(r.w-l.w+l.n) as a
+        from (select row_number() over (order by p) as i, p, y, n, sum(y) over (order by p) as s, sum(n) over (order by p) as w from (select p, sum(y)::double as y, count(*)::double as n from v_prob group by 1)) l
+        join (select row_number() over (order by p) as i, p, sum(y) over (order by p) as s, sum(n) over (order by p) as w from (select p, sum(y)::double as y, count(*)::double as n from v_prob group by 1)) r on r.i >= l.i)) group by 1) f using (p)""", "p calibrated")
+def b13(spark, sf):
+    v = V.probabilities(spark, sf)
+    return M.IsotonicScaler("p", "y").fit(v).transform(v, "calibrated").select("doc_id", "p", "calibrated")
+
+
+@query("m10_feature_importance")
+def m10(spark, sf):
+    f, feats, model = _residual(spark, sf)
+    path = scratch_path(spark, "residual-trees")
+    model.stages[-1].write().overwrite().save(path)
+    return M.tree_importance(spark, path, feats)
+
+
+@query("m10_permutation_importance")
+def m10p(spark, sf):
+    f, _, _ = _residual(spark, sf)
+    feats = M.feature_list(f, geo=False)
+    model = M.fit_residual(f.filter("split = 'TRAIN'"), feats, "y_temperature", FAST)
+    return M.permutation_importance(model, f.filter("split = 'TEST'"), feats, "temperature", "b2_temperature", KEYS)
+
+
+@query("m11_ablation")
+def m11(spark, sf):
+    return M.ablation(featured(spark, sf), "temperature", FAST)
+
+
+def _rain_models(f):
+    train, feats = f.filter("split = 'TRAIN'"), _rain_features(f)
+    cal = f.filter("split = 'CALIBRATION'")
+    fitted = {f"r2_{t[5:]}": M.RainModel("boosted", feats, t, FAST).fit(train) for t in C.RAIN_THRESHOLDS}
+    calibrators = {}
+    for t in C.RAIN_THRESHOLDS:
+        raw = f"r2_{t[5:]}"
+        calibrators[f"prob_{t[5:]}"] = M.IsotonicScaler(raw, t).fit(fitted[raw].transform(cal, raw))
+    return fitted, calibrators
+
+
+@query("m12_batch_scoring")
+def m12(spark, sf):
+    f = featured(spark, sf)
+    fitted, cal = _rain_models(f)
+    fitted["r1_1mm"] = M.RainModel("logistic", _rain_features(f), "rain_1mm", max_iter=30).fit(f.filter("split = 'TRAIN'"))
+    out = M.score_all(M.attach_prior(f, f, ["rain_1mm", "rain_10mm", "rain_25mm"]), fitted, cal)
+    return out.select(*KEYS, "split", *[c for c in out.columns if c.startswith(("r0_", "r1_", "r2_", "prob_"))])
+
+
+@query("m13_grid_scoring")
+def m13(spark, sf):
+    fitted, cal = _rain_models(featured(spark, sf))
+    master = V.master(spark, sf)
+    cells = G.grid_features(master, V.daily_forecasts(spark, sf), V.test_dates(spark, sf), V.point_registry(spark, sf))
+    bound = G.cells_per_village(master).first()["max_cells"]
+    return G.village_rainfall(M.score_all(cells, fitted, cal), largest=bound)
+
+
+@query("e28_logistic_diagnostic")
+def e28(spark, sf):
+    f = featured(spark, sf)
+    m = M.RainModel("logistic", _rain_features(f), "rain_1mm", max_iter=30).fit(f.filter("split = 'TRAIN'"))
+    top = m.coefficients(spark).limit(5).select(F.lit("coefficient").alias("kind"), F.col("feature").alias("item"), F.col("coefficient").alias("value"))
+    p = m.transform(f, "p")
+    spread = E.distribution(p.filter("split <> 'CALIBRATION'"), ["p"], ["split"], extra=False)
+    stats = spread.unpivot(["split"], ["min", "mean", "median", "max"], "item", "value").select(F.concat(F.lit("probability "), "split").alias("kind"), "item", "value")
+    return top.unionByName(stats)
+
+
+@query("j08_prediction_attach", "select event_id, lead_time_hours, true as has_prediction from v_match")
+def j08p(spark, sf):
+    f, feats, model = _residual(spark, sf)
+    p = M.predict_residual(model, f, feats, "temperature", "b2_temperature").select(*KEYS, "ml_temperature")
+    return V.matchups(spark, sf).select(*KEYS).join(p, KEYS, "left").select(*KEYS, F.col("ml_temperature").isNotNull().alias("has_prediction"))
