@@ -333,3 +333,47 @@ def x23(spark, sf):
 def x25(spark, sf):
     p = F.from_json("props", "k int")
     return V.table(spark, sf, "events").select("event_id", F.to_json(F.struct(F.lit("Feature").alias("type"), p["k"].alias("k"))).alias("feature"))
+
+
+@query("x02_prefix_concat", "select event_id, 'GROUP_'||station_id as station_group, printf('%s (%s Block)', 'ST'||station_id, qc_temperature) as label from v_checked")
+def x02(spark, sf):
+    c = V.checked(spark, sf)
+    text = F.col("station_id").cast("string")
+    return c.select("event_id", F.concat(F.lit("GROUP_"), text).alias("station_group"), labels.village_label(F.concat(F.lit("ST"), text), "qc_temperature").alias("label"))
+
+
+@query("x08_date_text", "select event_id, strftime(ts,'%Y-%m-%d') as day, strftime(date_trunc('hour',ts),'%Y-%m-%d %H:%M:%S') as hour from events")
+def x08(spark, sf):
+    from terracast.functions.times import day_text, stamp as text
+
+    return V.table(spark, sf, "events").select("event_id", day_text("ts").alias("day"), text(F.date_trunc("hour", "ts").cast("timestamp_ntz")).alias("hour"))
+
+
+@query("x11_month_names", "select strftime(o_orderdate,'%B') as month_name, count(*) as n from orders group by 1")
+def x11(spark, sf):
+    return V.table(spark, sf, "orders").groupBy(F.date_format("o_orderdate", "MMMM").alias("month_name")).agg(F.count("*").alias("n"))
+
+
+@query("x14_snap_to_cell", "select event_id, floor(station_elevation/1000e0)*1000e0 as low, ceil(station_elevation/1000e0)*1000e0 as high from v_obs", "low high")
+def x14(spark, sf):
+    z = F.col("station_elevation") / C.CELL_M
+    return V.observations(spark, sf).select("event_id", (F.floor(z) * C.CELL_M).alias("low"), (F.ceil(z) * C.CELL_M).alias("high"))
+
+
+@query("x15_clip", "select event_id, case when humidity is not null then least(greatest(humidity,0e0),60e0) end as clipped from v_obs", "clipped")
+def x15(spark, sf):
+    from terracast.functions.numbers import clip
+
+    return V.observations(spark, sf).select("event_id", clip("humidity", 0.0, 60.0).alias("clipped"))
+
+
+@query("x16_larger_of_two", "select event_id, case when temperature is not null and humidity is not null then greatest(temperature, humidity) end as larger from v_obs", "larger")
+def x16(spark, sf):
+    t, h = F.col("temperature"), F.col("humidity")
+    return V.observations(spark, sf).select("event_id", F.when(t.isNotNull() & h.isNotNull(), F.greatest(t, h)).alias("larger"))
+
+
+@query("x19_ordered_case", "select event_id, case when rainfall >= 5 then 'HEAVY' when rainfall > 0 then 'LIGHT' when rainfall = 0 then 'DRY' else 'UNKNOWN' end as class from v_obs")
+def x19(spark, sf):
+    r = F.col("rainfall")
+    return V.observations(spark, sf).select("event_id", F.when(r >= 5, "HEAVY").when(r > 0, "LIGHT").when(r == 0, "DRY").otherwise("UNKNOWN").alias("class"))
