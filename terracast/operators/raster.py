@@ -87,7 +87,7 @@ def window_pixels(cells: DataFrame, pixels: DataFrame, values: list[str], key: s
     cell meets one strip per window row (an equi-join) and takes its slice from it. A strip
     holds at most BAND + 2*radius pixels.
     """
-    bands = F.array_distinct(F.transform(F.array(F.lit(-radius), F.lit(0), F.lit(radius)), lambda d: F.floor((F.col(col) + d) / BAND)))
+    bands = F.sequence(F.floor((F.col(col) - radius) / BAND), F.floor((F.col(col) + radius) / BAND))
     strips = (
         pixels.select(F.col(row).alias("_r"), F.explode(bands).alias("_b"), F.struct(F.col(col).alias("_at"), *values).alias("p"))
         .groupBy("_r", "_b").agg(F.collect_list("p").alias("_strip"))
