@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terracast import config as C
 from terracast.functions.numbers import clip, half_even, interpolate
+from terracast.functions.single import attach_row
 from terracast.operators.evaluate import long_columns
 from terracast.operators.quantiles import quantile_array
 from terracast.operators.spatial import coordinate_key
@@ -39,7 +40,8 @@ def _bracket(spots: DataFrame, values: DataFrame, c: str, name: str) -> DataFram
     """
     from pyspark.sql import Window as W
 
-    band = F.floor("_v").cast("long").alias("_band")
+    # 100 bands per degree keep a band small; there are at most 36,000 of them
+    band = F.floor(F.col("_v") * 100).cast("long").alias("_band")
     line = values.select("_v", band, F.lit(True).alias("_axis")).unionByName(
         spots.select(F.col(c).alias("_v")).select("_v", band, F.lit(False).alias("_axis"))
     )
@@ -115,7 +117,7 @@ def quantile_map(df: DataFrame, sources: dict[str, str] = MAP_SOURCES, n: int =
     arrays of n numbers.
     """
     fitted = fit_quantile_map(df.filter(F.col("split") == "TRAIN"), sources, n)
-    out = df.withColumn("_one", F.lit(1)).join(F.broadcast(fitted.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    out = attach_row(df, fitted)
     for v, s in sources.items():
         out = interpolate(out, s, f"src_{v}", f"dst_{v}", "_m")
         mapped = clip("_m", 0.0, 100.0) if v == "humidity" else F.col("_m")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terracast import config as C
 from terracast.functions.numbers import half_even, safe_div
+from terracast.functions.single import attach_row
 from terracast.operators.quantiles import quantile_columns
 
 
@@ -77,8 +78,8 @@ def station_scores(test: DataFrame, variable: str, models: list[str] = ("b2", "b
 
 def consistency(station_table: DataFrame, overall_mae: DataFrame, tolerance: float) -> DataFrame:
     """Record-weighted station MAE against the overall MAE."""
-    w = station_table.agg((F.sum(F.col("mae") * F.col("n")) / F.sum("n")).alias("weighted_mae"), F.lit(1).alias("_one"))
-    return w.join(overall_mae.withColumn("_one", F.lit(1)), "_one").drop("_one").withColumn(
+    w = station_table.agg((F.sum(F.col("mae") * F.col("n")) / F.sum("n")).alias("weighted_mae"))
+    return attach_row(w, overall_mae).withColumn(
         "consistent", F.abs(F.col("weighted_mae") - F.col("overall_mae")) <= tolerance
     )
 

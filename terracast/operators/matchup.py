@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terracast import config as C
+from terracast.functions.single import attach_row
 
 # fixed values: column contract of the exported matchup table
 MATCHUP_COLUMNS = [
@@ -95,10 +96,8 @@ def matchup_checks(df: DataFrame) -> DataFrame:
         F.count_if(F.abs(c("b0_temperature") - c("forecast_temperature")) > 1e-8 + 1e-5 * F.abs(c("forecast_temperature"))).alias("n"),
         *([F.count_if(c("b1_status") == s).alias(f"o_{s.lower()}") for s in ("INTERPOLATED", "FALLBACK_B0")] if "b1_status" in df.columns else []),
         F.round(F.avg("b2_temperature")).alias("p"),
-        F.lit(1).alias("_one"),
     )
-    dup = duplicate_count(df, MATCH_KEYS).select(c("duplicates").alias("a"), F.lit(1).alias("_one"))
-    agg = agg.join(dup, "_one")
+    agg = attach_row(agg, duplicate_count(df, MATCH_KEYS).select(c("duplicates").alias("a")))
     flag = lambda cond: F.when(cond, 1).otherwise(0)
     rows = [("A duplicate station/time/lead", "ERROR", c("a")), ("B null observation time", "ERROR", c("b")), ("C negative lead", "ERROR", c("c"))]
     rows += [(f"D qc {s}", "INFO", c(f"d_{s.lower()}")) for s in ("VALID", "SUSPICIOUS", "INVALID")]

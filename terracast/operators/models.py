@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from terracast import config as C
+from terracast.functions.single import attach_row
 from terracast.functions.times import season_columns
 from terracast.operators.evaluate import climatology, point_scores
 from terracast.operators.quality import leakage_guard
@@ -103,7 +104,7 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: list[s
     numbers of one bucket, so no single task sorts the table.
     """
     truth = F.col(f"observed_{variable}")
-    buckets = 64
+    buckets = max(1, df.count() // 1_000_000)
     rows = df.withColumn("_h", F.xxhash64(*keys, F.lit(seed)))
     rows = rows.withColumn("_b", F.pmod("_h", F.lit(buckets)))
     rows = rows.withColumns({
@@ -118,8 +119,7 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: list[s
         shuffled = rows.join(moved, ["_b", "_i"]).withColumn(f, F.col("_new")).drop("_new")
         part = score(shuffled.drop("_h", "_b", "_i", "_j"), f)
         out = part if out is None else out.unionByName(part)
-    b = base_row.select(F.col("mae").alias("_base"), F.lit(1).alias("_one"))
-    return out.withColumn("_one", F.lit(1)).join(F.broadcast(b), "_one").select("feature", (F.col("mae") - F.col("_base")).alias("mae_rise")).orderBy(F.desc("mae_rise"))
+    return attach_row(out, base_row.select(F.col("mae").alias("_base"))).select("feature", (F.col("mae") - F.col("_base")).alias("mae_rise")).orderBy(F.desc("mae_rise"))
 
 
 # ---------------------------------------------------------------- quantile forest
@@ -236,8 +236,7 @@ class IsotonicScaler:
 
 def attach_prior(df: DataFrame, train: DataFrame, targets: list[str]) -> DataFrame:
     """R0: the TRAIN event rate as every row's probability."""
-    priors = climatology(train, targets).select(F.lit(1).alias("_one"), *[F.col(f"prior_{t}").alias(f"r0_{t}") for t in targets])
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(priors), "_one").drop("_one")
+    return attach_row(df, climatology(train, targets), {f"prior_{t}": f"r0_{t}" for t in targets})
 
 
 def score_all(df: DataFrame, models: dict[str, RainModel], calibrators: dict[str, IsotonicScaler] | None = None) -> DataFrame:

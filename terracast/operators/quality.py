@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terracast import config as C
 from terracast.functions.numbers import half_even, to_number
+from terracast.functions.single import attach_row
 from terracast.functions.times import parse_time
 
 QC_STATES = ["VALID", "MISSING", "SUSPICIOUS", "INVALID"]
@@ -225,11 +226,10 @@ def dataset_report(df: DataFrame, spec: C.SourceSpec, checks: DataFrame, time_co
     found = issues.agg(text("WARN").alias("warnings"), text("ERROR").alias("errors"))
     counts = miss.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("column", "n_missing")))).alias("missing_value_counts"))
     present = fields.agg(F.array_sort(F.collect_list(F.when(F.col("present"), F.col("field")))).alias("fields_present"))
-    # every side is a one-row aggregate, so these joins pair single rows
-    one = extents(df, time_col).withColumn("_one", F.lit(1))
+    one = extents(df, time_col)
     for part in (found, counts, present):
-        one = one.join(part.withColumn("_one", F.lit(1)), "_one", "left")
-    return one.drop("_one").select(
+        one = attach_row(one, part)
+    return one.select(
         F.lit(spec.name).alias("dataset_name"),
         F.when(F.size("errors") == 0, "READY").otherwise("PARTIAL").alias("status"),
         "record_count",
@@ -258,13 +258,13 @@ def rainfall_audit(df: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if(r < 0).alias("negative_observed_rainfall"),
         F.count_if(r > 500.0).alias("impossible_observed_rainfall"),
         F.count_distinct("station_id").alias("unique_stations"),
-    ).withColumn("_one", F.lit(1))
-    dup = duplicate_count(df, keys).select(F.col("duplicates").alias("duplicate_records"), F.lit(1).alias("_one"))
+    )
+    dup = duplicate_count(df, keys).select(F.col("duplicates").alias("duplicate_records"))
     clean = (
         F.col("missing_observed_rainfall") + F.col("negative_observed_rainfall")
         + F.col("impossible_observed_rainfall") + F.col("duplicate_records")
     ) == 0
-    return main.join(dup, "_one").drop("_one").withColumn("clean_data", clean)
+    return attach_row(main, dup).withColumn("clean_data", clean)
 
 
 def uncertainty_audit(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -274,9 +274,8 @@ def uncertainty_audit(df: DataFrame, keys: list[str], columns: list[str]) -> Dat
         F.count_if(h < 0).alias("humidity_below_0"), F.count_if(h > 100).alias("humidity_above_100"),
         *[F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in columns],
         F.count_distinct("station_id").alias("unique_stations"), F.count_distinct("grid_id").alias("unique_cells"),
-    ).withColumn("_one", F.lit(1))
-    dup = duplicate_count(df, keys).select("duplicates", F.lit(1).alias("_one"))
-    out = main.join(dup, "_one").drop("_one")
+    )
+    out = attach_row(main, duplicate_count(df, keys).select("duplicates"))
     cols = out.columns
     return out.unpivot([], cols, "metric", "n")
 

@@ -5,6 +5,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from terracast.functions.single import attach_row
+
 BUCKETS = 128
 
 
@@ -25,7 +27,7 @@ def _ranked(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     if by:
         bucketed = counts.join(cuts, by)
     else:
-        bucketed = counts.withColumn("_one", F.lit(1)).join(F.broadcast(cuts.withColumn("_one", F.lit(1))), "_one").drop("_one")
+        bucketed = attach_row(counts, cuts)
     bucketed = bucketed.select(*by, value, "_n", F.size(F.filter("_cuts", lambda c: c < F.col(value))).alias("_bucket"))
     sizes = bucketed.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_size"))
     over = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from terracast import config as C
 from terracast.functions.checks import probability_message, weather_messages
 from terracast.functions.numbers import col, settle
+from terracast.functions.single import attach_row
 from terracast.operators.evaluate import long_models
 from terracast.operators.matchup import MATCH_KEYS
 from terracast.operators.spatial import nearest_station
@@ -85,7 +86,7 @@ def rainfall_record(villages: DataFrame, evaluable: DataFrame | None = None) ->
     if evaluable is None:
         out = villages.withColumns({"is_evaluable_1mm": F.lit(True), "is_evaluable_10mm": F.lit(False), "is_evaluable_25mm": F.lit(False)})
     else:
-        out = villages.withColumn("_one", F.lit(1)).join(F.broadcast(evaluable.withColumn("_one", F.lit(1))), "_one").drop("_one")
+        out = attach_row(villages, evaluable)
     out = out.withColumns({f"rain_probability_{t}": gate(f"rain_probability_{t}", f"is_evaluable_{t}") for t in ("10mm", "25mm")})
     out = out.withColumn("validation_error", probability_message("rain_probability_1mm"))
     return out.withColumn("is_valid", F.col("validation_error").isNull())
@@ -187,9 +188,9 @@ def system_status(spark, artifacts: dict[str, DataFrame | None], times: tuple[st
     flags = spark.createDataFrame([(n, df is not None) for n, df in artifacts.items()], "artifact string, available boolean")
     if times is None or artifacts.get(times[0]) is None:
         return flags.withColumns({"latest_timestamp": F.lit(None).cast("timestamp_ntz"), "freshness": F.lit("UNAVAILABLE")})
-    latest = artifacts[times[0]].agg(F.max(F.col(times[1]).cast("timestamp_ntz")).alias("latest_timestamp"), F.lit(1).alias("_one"))
+    latest = artifacts[times[0]].agg(F.max(F.col(times[1]).cast("timestamp_ntz")).alias("latest_timestamp"))
     now = F.lit(as_of).cast("timestamp_ntz") if as_of else F.localtimestamp()
     age = F.timestamp_diff("HOUR", F.col("latest_timestamp"), now)
     label = F.when(F.col("latest_timestamp").isNull(), "UNAVAILABLE").when(age <= aging_h, "FRESH").when(age <= expired_h, "AGING").otherwise("EXPIRED")
-    return flags.withColumn("_one", F.lit(1)).join(F.broadcast(latest), "_one").drop("_one").withColumn("freshness", label)
+    return attach_row(flags, latest).withColumn("freshness", label)
 

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from terracast import config as C
 from terracast.functions.geodesy import ZONE_43N, MetricZone, project_points, unproject_points
 from terracast.functions.numbers import half_even, settle
+from terracast.functions.single import attach_row
 from terracast.functions.shapes import area_centroid, box_of, inside, on_edge, segment_distance
 from terracast.session import reliable_cut
 
@@ -179,14 +180,17 @@ def nearest_join(
     spots = spots.withColumns({"_qx": _tile(F.col(qx), x0, fine), "_qy": _tile(F.col(qy), y0, fine)})
     walk = spots.groupBy("_qx", "_qy").agg(
         F.min(qx).alias("_qx1"), F.min(qy).alias("_qy1"), F.max(qx).alias("_qx2"), F.max(qy).alias("_qy2")
-    ).withColumns({"_px": F.lit(0).cast("long"), "_py": F.lit(0).cast("long")})
+    )
+    # the top level has at most 16 tiles: every walk starts from all of them, held in one array
+    top = levels[1].agg(F.collect_list(F.struct("_tx", "_ty", "_x1", "_y1", "_x2", "_y2")).alias("n")).scalar()
     q_cols = ["_qx", "_qy", "_qx1", "_qy1", "_qx2", "_qy2"]
     per_tile = W.partitionBy("_qx", "_qy")
     for k in range(1, depth + 1):
-        nodes = levels[k].withColumns({"_px": _up("_tx", "_px"), "_py": _up("_ty", "_py")})
-        if k <= BROADCAST_LEVELS:
-            nodes = F.broadcast(nodes)
-        walk = walk.join(nodes, ["_px", "_py"])
+        if k == 1:
+            walk = walk.select(*q_cols, F.explode(top).alias("n")).select(*q_cols, "n.*")
+        else:
+            nodes = levels[k].withColumns({"_px": _up("_tx", "_px"), "_py": _up("_ty", "_py")})
+            walk = walk.join(F.broadcast(nodes) if k <= BROADCAST_LEVELS else nodes, ["_px", "_py"])
         walk = walk.withColumns({"_lb": _gap2(_box("_q"), _box("_")), "_ub": _reach2(_box("_q"), _box("_"))})
         walk = walk.withColumn("_best", F.min("_ub").over(per_tile)).filter(F.col("_lb") <= F.col("_best") * (1 + 1e-9) + 1e-9)
         walk = walk.select(*q_cols, F.col("_tx").alias("_px"), F.col("_ty").alias("_py"))
@@ -379,13 +383,12 @@ def vector_checks(layer: DataFrame, order: str, code: str, name: str, levels: li
     flat = F.flatten("polygons")
     shaped = c("polygons").isNotNull() & (F.size("edges") > 0)
     odd = layer.filter(shaped & (F.exists(flat, ring_bad) | (F.abs(signed_area("edges")) == 0.0))).select(order)
-    bad = odd.unionByName(crossing_features(layer.filter(shaped), order)).distinct().agg(F.count("*").alias("invalid"), F.lit(1).alias("_one"))
+    bad = odd.unionByName(crossing_features(layer.filter(shaped), order)).distinct().agg(F.count("*").alias("invalid"))
     agg = layer.agg(
         F.count_if(c("polygons").isNull()).alias("null_geometry"), F.count_if(c("polygons").isNotNull() & (F.size("edges") == 0)).alias("empty"),
-        F.count_if(c(name).isNull()).alias("no_name"), *[F.count_distinct(v).alias(f"n_{v}") for v in levels], F.lit(1).alias("_one"),
+        F.count_if(c(name).isNull()).alias("no_name"), *[F.count_distinct(v).alias(f"n_{v}") for v in levels],
     )
-    dup = duplicate_count(layer, [code if code in layer.columns else name]).select("duplicates", F.lit(1).alias("_one"))
-    one = agg.join(bad, "_one").join(dup, "_one")
+    one = attach_row(attach_row(agg, bad), duplicate_count(layer, [code if code in layer.columns else name]).select("duplicates"))
     return checks_to_rows(one, [
         ("invalid_geometry", "WARN", c("invalid")), ("empty_geometry", "WARN", c("empty")), ("null_geometry", "ERROR", c("null_geometry")),
         ("duplicate_code", "WARN", c("duplicates")), ("missing_name", "WARN", c("no_name")), *[(f"count_{v}", "INFO", c(f"n_{v}")) for v in levels],

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terracast import config as C
+from terracast.functions.single import attach_row
 from terracast.functions.times import day_text, season_columns
 from terracast.operators.evaluate import long_columns
 from terracast.operators.quantiles import quantile_columns
@@ -122,11 +123,11 @@ def grid_checks(master: DataFrame) -> DataFrame:
         "N outside country": ("ERROR", F.count_if(~c("latitude").between(b["lat_min"], b["lat_max"]) | ~c("longitude").between(b["lon_min"], b["lon_max"]))),
     }
     names = {k: f"_c{i}" for i, k in enumerate(aggs)}
-    one = master.agg(*[v[1].alias(names[k]) for k, v in aggs.items()], F.lit(1).alias("_one"))
-    ids = duplicate_count(master, ["grid_id"]).select(c("duplicates").alias("_l"), F.lit(1).alias("_one"))
-    spots = duplicate_count(master, ["centroid_x", "centroid_y"]).select(c("duplicates").alias("_m"), F.lit(1).alias("_one"))
-    per = cells_per_village(master).withColumn("_one", F.lit(1))
-    one = one.join(ids, "_one").join(spots, "_one").join(per, "_one")
+    one = master.agg(*[v[1].alias(names[k]) for k, v in aggs.items()])
+    ids = duplicate_count(master, ["grid_id"]).select(c("duplicates").alias("_l"))
+    spots = duplicate_count(master, ["centroid_x", "centroid_y"]).select(c("duplicates").alias("_m"))
+    for part in (ids, spots, cells_per_village(master)):
+        one = attach_row(one, part)
     rows = [(k, s, c(names[k])) for k, (s, _) in aggs.items()]
     rows += [("C crs note", "INFO", F.lit(0)), ("L duplicate grid id", "ERROR", c("_l")), ("M duplicate centroid", "ERROR", c("_m"))]
     rows += [("O villages", "INFO", c("villages")), ("O min cells", "INFO", c("min_cells")), ("O max cells", "INFO", c("max_cells"))]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from terracast import config as C
 from terracast.functions.geodesy import project_points, unproject_points
 from terracast.functions.shapes import area_centroid, vertex_mean
+from terracast.functions.single import attach_row
 from terracast.operators import raster as R
 from terracast.operators import spatial as S
 from terracast.operators import villages as G
@@ -44,8 +45,7 @@ def p14(spark, sf):
 
 @query("f05_padded_box", "select grid_id, latitude between min_lat-0.005e0 and max_lat+0.005e0 and longitude between min_lon-0.005e0 and max_lon+0.005e0 as near_box from v_grid, v_extent")
 def f05(spark, sf):
-    e = V.extent(spark, sf).withColumn("_one", F.lit(1))
-    g = V.grid(spark, sf).withColumn("_one", F.lit(1)).join(F.broadcast(e), "_one")
+    g = attach_row(V.grid(spark, sf), V.extent(spark, sf))
     pad = 0.005
     ok = F.col("latitude").between(F.col("min_lat") - pad, F.col("max_lat") + pad) & F.col("longitude").between(F.col("min_lon") - pad, F.col("max_lon") + pad)
     return g.select("grid_id", ok.alias("near_box"))
