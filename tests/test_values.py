@@ -119,7 +119,7 @@ def test_grid_cells(spark):
     assert [(r.min_y, r.min_x) for r in rows] == sorted((r.min_y, r.min_x) for r in rows)
 
 
-def test_reference_grid_size(spark):
+def test_full_box_grid_size(spark):
     box = spark.createDataFrame([(10.20, 11.40, 76.60, 77.30)], "min_lat double, max_lat double, min_lon double, max_lon double")
     assert spatial.metric_grid(box).count() == 10530
 
