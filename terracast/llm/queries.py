@@ -6,7 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracast.llm import packing, sharding
+from terracast.llm import decontaminate, packing, records, sharding
+from terracast.llm.storage import reliable_cut, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +37,36 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))).alias("text_crc32"),
         F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words in every document."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontaminate.is_contaminated().alias("contaminated"),
+    )
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+ORACLES["op2_decontaminate"] = f"""
+with d as (select row_number() over () u, doc_id, {_WORDS} w from documents),
+i as (select cast(item_id as varchar) item_id, {_WORDS} w from benchmark where item_id is not null),
+iw as (select distinct item_id, list_slice(w, s, s + least(13, len(w)) - 1) g
+       from (select item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) s from i where len(w) > 0)),
+sizes as (select distinct len(g) m from iw),
+dw as (select u, s, m, list_slice(w, s, s + m - 1) g from (select u, w, m, unnest(range(1, len(w) - m + 2)) s from d, sizes where len(w) >= m)),
+hit as (select u, s, m, item_id from dw join iw using (g)),
+pos as (select u, count(distinct p) n_hit from (select distinct u, unnest(range(s, s + m)) p from hit) group by u),
+own as (select u, count(*) n_items, string_agg(item_id, ',' order by item_id) ids from (select distinct u, item_id from hit) group by u)
+select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(ids, '')) items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
+from d left join pos using (u) left join own using (u)"""
+
+
+@query
+def op7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document from the record files that hold its ids."""
+    folder = scratch_path(spark, "records")
+    written = reliable_cut(records.write_documents(table(spark, sf_dir, "documents"), folder), "record-files")
+    return records.read_documents(written, folder, with_ids=False)
