@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracast.llm import decontaminate, packing, records, sharding
+from terracast.llm import decontaminate, minhash, packing, quality, records, sharding
 from terracast.llm.storage import reliable_cut, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,31 @@ def op7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "records")
     written = reliable_cut(records.write_documents(table(spark, sf_dir, "documents"), folder), "record-files")
     return records.read_documents(written, folder, with_ids=False)
+
+
+@query
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under near-duplicate links of four-word shingles."""
+    rows = minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+    return rows.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+_BLANK_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+ORACLES["op6_minhash"] = f"""
+with recursive d as (select doc_id, {_BLANK_WORDS} w from documents),
+sh as (select distinct doc_id, hash(list_slice(w, s, s + 3)) g from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) s from d where len(w) > 0)),
+n as (select doc_id, count(*) n from sh group by doc_id),
+common as (select x.doc_id a, y.doc_id b, count(*) c from sh x join sh y using (g) where x.doc_id != y.doc_id group by 1, 2),
+link as (select a, b from common join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+reach(a, b) as (select doc_id, doc_id from d union select r.a, l.b from reach r join link l on r.b = l.a),
+comp as (select a doc_id, min(b) component_id from reach group by a)
+select doc_id, coalesce(n, 0)::bigint n_shingles, component_id, doc_id = component_id kept from d left join n using (doc_id) join comp using (doc_id)"""
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    rows = quality.scored(docs, model)
+    return rows.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
