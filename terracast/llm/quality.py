@@ -176,13 +176,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def scored(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", name: str = "score") -> DataFrame:
     """docs with a column of scores from 0 to 1 (0.5 without a model); a null text counts as empty. A column of that name is replaced."""
     docs = docs.drop(name)
-    at = docs.columns.index(text_col)
+    names = [*docs.columns, name]
+    at = names.index(text_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, end, data, offsets in wd.runs(b.column(at)):
                 score = model.score(features(data, offsets)) if model else np.full(end - first, 0.5)
-                yield pa.RecordBatch.from_arrays([*b.slice(first, end - first).columns, pa.array(score, pa.float64())], names=[*docs.columns, name])
+                yield pa.RecordBatch.from_arrays([*b.slice(first, end - first).columns, pa.array(score, pa.float64())], names=names)
 
     return docs.mapInArrow(rate, f"{schema}, `{name}` double")
