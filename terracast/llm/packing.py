@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terracast.llm.storage import first_uid, reliable_cut
-from terracast.llm.tokens import Encoder, default_tokenizer, text_groups
+from terracast.llm.tokens import default_tokenizer, encoder, text_groups
 
 CAPACITY = 2048
 END_ID = 0
@@ -131,11 +131,11 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fields = ["doc_id", "row", "piece", "start", "length", "ids_crc32", "ids"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, uid = Encoder(path), first_uid()
+        coder, uid = encoder(path), first_uid()
         for batch in batches:
             for first, texts in text_groups(batch.column(1)):
                 source, out = [], {f: [] for f in fields[1:]}
-                for i, ids in enumerate(encoder.encode(texts)):
+                for i, ids in enumerate(coder.encode(texts)):
                     ids += np.asarray([END_ID], dtype="<u4").tobytes()
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at:at + 4 * capacity]

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terracast.llm.tokens import Encoder, default_tokenizer, text_groups
+from terracast.llm.tokens import default_tokenizer, encoder, text_groups
 
 END_ID = 1
 MASK = 0xA282EAD8
@@ -80,7 +80,7 @@ def write_documents(docs: DataFrame, folder: str, id_col: str = "doc_id", text_c
         store, at = file_system(folder)
         store.create_dir(at, recursive=True)
         own = f"{at}/_{uuid.uuid4().hex}"
-        encoder, offset, tokens, records = Encoder(path), 0, 0, 0
+        coder, offset, tokens, records = encoder(path), 0, 0, 0
         end = np.asarray([END_ID], dtype="<u4").tobytes()
         batch = next(batches, None)
         if batch is None:
@@ -89,7 +89,7 @@ def write_documents(docs: DataFrame, folder: str, id_col: str = "doc_id", text_c
             while batch is not None:
                 ids = batch.column(0).to_pylist()
                 for first, texts in text_groups(batch.column(1)):
-                    for i, token_bytes in enumerate(encoder.encode(texts)):
+                    for i, token_bytes in enumerate(coder.encode(texts)):
                         doc = ids[first + i]
                         payload = struct.pack("<Bq", doc is None, doc or 0) + token_bytes + end
                         count = len(token_bytes) // 4 + 1
