@@ -5,8 +5,9 @@ A shard file `ids-00000.rec` is a run of frames, little-endian throughout:
     uint64 n | uint32 masked checksum of the 8 length bytes | n payload bytes | uint32 masked checksum of the payload
 
 The checksum is CRC-32; the mask rotates it right by 15 bits and adds 0xA282EAD8, so that a checksum
-stored inside a payload doesn't look like its own. A payload is one flag byte (1: the id is null), the
-int64 document id, and the unsigned 32-bit token ids. The index file `ids-00000.idx` has one 24-byte entry
+stored inside a payload doesn't look like its own. A payload is one flag byte (1: the document id is null;
+2: the token ids take 16 bits each, as all of them are below 65536; else 32), the int64 document id, and
+the unsigned token ids. The index file `ids-00000.idx` has one 24-byte entry
 per record: uint64 offset of the frame, uint64 token count, int64 document id. Files go through Arrow's file
 systems, so the folder may be any URI they know (local, HDFS, S3). A task writes under a name of its own
 attempt and renames the pair when both are complete: a lost or repeated task leaves no half file behind.
@@ -51,6 +52,20 @@ class Damaged(ValueError):
     """A frame whose lengths or checksums don't hold."""
 
 
+def pack_ids(doc: int | None, ids: bytes) -> bytes:
+    """Payload of a record; ids are unsigned 32-bit."""
+    values = np.frombuffer(ids, dtype="<u4")
+    narrow = not len(values) or int(values.max()) < 1 << 16
+    return struct.pack("<Bq", (doc is None) + 2 * narrow, doc or 0) + (values.astype("<u2").tobytes() if narrow else ids)
+
+
+def unpack_ids(payload: bytes) -> tuple[int | None, bytes]:
+    """(document id, ids as unsigned 32-bit bytes)."""
+    flags, doc = struct.unpack("<Bq", payload[:9])
+    ids = np.frombuffer(payload[9:], dtype="<u2").astype("<u4").tobytes() if flags & 2 else payload[9:]
+    return (None if flags & 1 else doc), ids
+
+
 def parse(stream) -> Iterator[bytes]:
     """Payloads of a file, in order; memory holds one record."""
     while head := stream.read(12):
@@ -91,7 +106,7 @@ def write_documents(docs: DataFrame, folder: str, id_col: str = "doc_id", text_c
                 for first, texts in text_groups(batch.column(1)):
                     for i, token_bytes in enumerate(coder.encode(texts)):
                         doc = ids[first + i]
-                        payload = struct.pack("<Bq", doc is None, doc or 0) + token_bytes + end
+                        payload = pack_ids(doc, token_bytes + end)
                         count = len(token_bytes) // 4 + 1
                         index.write(struct.pack(ENTRY, offset, count, doc or 0))
                         data = frame(payload)
@@ -127,9 +142,8 @@ def read_documents(written: DataFrame, folder: str, with_ids: bool = True) -> Da
                 out, size = [], 0
                 with store.open_input_stream(f"{at}/{name}.rec", buffer_size=CHUNK) as stream:
                     for payload in parse(stream):
-                        null, doc = struct.unpack("<Bq", payload[:9])
-                        ids = payload[9:]
-                        out.append((None if null else doc, first, len(ids) // 4, zlib.crc32(ids), ids if with_ids else None))
+                        doc, ids = unpack_ids(payload)
+                        out.append((doc, first, len(ids) // 4, zlib.crc32(ids), ids if with_ids else None))
                         first += len(ids) // 4
                         size += len(ids) if with_ids else 64
                         if size > CHUNK:
@@ -178,10 +192,10 @@ def read_shuffled(spark: SparkSession, written: DataFrame, folder: str, seed: in
                 with store.open_input_file(f"{at}/{name}.rec") as f:
                     f.seek(offset)
                     payload = next(parse(f))
-                null, doc = struct.unpack("<Bq", payload[:9])
-                docs.append(None if null else doc)
-                ids.append(payload[9:])
-                size += len(payload)
+                doc, own = unpack_ids(payload)
+                docs.append(doc)
+                ids.append(own)
+                size += len(own)
                 if size > CHUNK:
                     yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
                     docs, ids, size = [], [], 0
