@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracast.llm import decontaminate, minhash, packing, quality, records, sharding
+from terracast.llm import decontaminate, linededup, minhash, packing, quality, records, sharding
 from terracast.llm.storage import reliable_cut, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,25 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     rows = quality.scored(docs, model)
     return rows.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document after line dedup: its counts, and size and checksum of the text that stays."""
+    rows = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_exact", "n_near", F.char_length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+ORACLES["op9_lines"] = """
+with l as (select doc_id, unnest(range(len(string_split(text, chr(10))))) i, unnest(string_split(text, chr(10))) line from documents where text is not null),
+f as (select line, min((doc_id, i)) p, length(line) n from l where regexp_matches(line, '[^ \\t\\r]') group by line),
+k as (select line, p, n, n b, false longer from f where n >= 20 union all select line, p, n, n - 1, true from f where n >= 20),
+h as (select line, p, b, longer, 'l' || substr(line, 1, b // 2) g from k union all select line, p, b, longer, 'r' || right(line, b - b // 2) from k),
+near as (select distinct greatest(x.p, y.p) p from h x join h y on x.g = y.g and x.b = y.b and not x.longer and (y.longer or x.p < y.p)
+         where x.p != y.p and levenshtein(x.line, y.line) <= 1),
+m as (select l.doc_id, l.i, l.line, f.p is not null and f.p != (l.doc_id, l.i) e, f.p is not null and f.p = (l.doc_id, l.i) and near.p is not null c,
+             f.p is not null and (f.p != (l.doc_id, l.i) or near.p is not null) gone
+      from l left join f using (line) left join near on f.p = near.p)
+select doc_id, count(*) n_lines, count(*) filter (e) n_exact, count(*) filter (c) n_near,
+       length(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) n_chars, md5(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) text_md5
+from m group by doc_id union all select doc_id, 0, 0, 0, null, null from documents where text is null"""
