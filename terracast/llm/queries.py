@@ -2,20 +2,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracast.llm import decontaminate, linededup, minhash, packing, quality, records, sharding
-from terracast.llm.storage import reliable_cut, scratch_path
+from terracast.llm import decontaminate, linededup, lm, minhash, packing, quality, records, sharding
+from terracast.llm.storage import reliable_cut, scratch_path, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = shipped
+    return shipped
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,3 +126,11 @@ m as (select l.doc_id, l.i, l.line, f.p is not null and f.p != (l.doc_id, l.i) e
 select doc_id, count(*) n_lines, count(*) filter (e) n_exact, count(*) filter (c) n_near,
        length(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) n_chars, md5(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) text_md5
 from m group by doc_id union all select doc_id, 0, 0, 0, null, null from documents where text is null"""
+
+
+@query
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and log-bilinear log10 probability of every document."""
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    rows = lm.score(table(spark, sf_dir, "documents"), ~held)
+    return rows.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

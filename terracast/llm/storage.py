@@ -1,12 +1,37 @@
 """Row numbers and written tables that the operators share."""
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from terracast.session import reliable_cut, scratch_path
 
-__all__ = ["first_uid", "free_name", "reliable_cut", "scratch_path"]
+__all__ = ["first_uid", "free_name", "reliable_cut", "scratch_path", "ship_package"]
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package's source to the executors, once per application: their Python needn't have it installed."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    top = os.path.join(root, "terracast")
+    path = os.path.join(tempfile.mkdtemp(prefix="terracast-src-"), "terracast.zip")  # Spark's file server sends it on
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, root))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
 
 
 def first_uid() -> int:
