@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracast.llm import decontaminate, linededup, lm, minhash, packing, quality, records, sharding
+from terracast.llm import decontaminate, embedding_dedup, linededup, lm, minhash, packing, quality, records, sharding
 from terracast.llm.storage import reliable_cut, scratch_path, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,17 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     rows = lm.score(table(spark, sf_dir, "documents"), ~held)
     return rows.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector at cosine 0.95."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+ORACLES["op3_embeddings"] = """
+with recursive v as (select vec_id, embedding::double[] e from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x != 0)) > 0),
+link as (select x.vec_id a, y.vec_id b from v x, v y where x.vec_id != y.vec_id and len(x.e) = len(y.e) and list_cosine_similarity(x.e, y.e) >= 0.95),
+reach(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from reach r join link l on r.b = l.a),
+comp as (select a vec_id, min(b) component_id from reach group by a), n as (select a vec_id, count(*) n from link group by a)
+select vec_id, coalesce(n, 0)::bigint n_links, component_id, vec_id = component_id kept from comp left join n using (vec_id)"""
