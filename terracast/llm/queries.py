@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracast.llm import decontaminate, embedding_dedup, linededup, lm, minhash, packing, quality, records, sharding
+from terracast.llm import decontaminate, embedding_dedup, licenses, linededup, lm, minhash, packing, quality, records, sharding
 from terracast.llm.storage import reliable_cut, scratch_path, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,32 @@ link as (select x.vec_id a, y.vec_id b from v x, v y where x.vec_id != y.vec_id
 reach(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from reach r join link l on r.b = l.a),
 comp as (select a vec_id, min(b) component_id from reach group by a), n as (select a vec_id, count(*) n from link group by a)
 select vec_id, coalesce(n, 0)::bigint n_links, component_id, vec_id = component_id kept from comp left join n using (vec_id)"""
+
+
+@query
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence statements in every document."""
+    rows = licenses.scan(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", F.size("matches").cast("long").alias("n_matches"), F.array_join(F.array_sort(F.array_distinct("matches.license")), ",").alias("licenses"), F.array_max("matches.dice").alias("best_dice"),
+    )
+
+
+_TEMPLATES = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(licenses.TEMPLATES))
+_FIND = "regexp_extract_all(s, '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+ORACLES["op4_licenses"] = f"""
+with d as (select row_number() over () u, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
+pt as (select u, unnest(regexp_split_to_array(t, '\\n[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]*\\n')) s from d),
+ln as (select u, unnest(string_split(t, chr(10))) s from d),
+words as (select u, {_FIND} w from (select u, s from ln
+          union all select u, s from pt where len(list_filter(string_split(s, chr(10)), lambda x: regexp_matches(x, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]'))) > 1
+          union all select d.u, t from d join (select u from pt where regexp_matches(s, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]') group by u having count(*) > 1) using (u)) where len(s) > 0),
+seg as (select row_number() over () k, u, w from words where len(w) > 1),
+bg as (select distinct k, w[i] || ' ' || w[i + 1] g from (select k, w, unnest(range(1, len(w))) i from seg)),
+tw as (select i, name, {_FIND.replace("(s,", "(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),")} w from (values {_TEMPLATES}) v(i, name, x)),
+tb as (select distinct i, w[j] || ' ' || w[j + 1] g from (select i, w, unnest(range(1, len(w))) j from tw)),
+c as (select k, i, count(*) c from bg join tb using (g) group by k, i),
+sc as (select k, i, 2 * c::double / (a.n + b.n) dice from c join (select k, count(*) n from bg group by k) a using (k) join (select i, count(*) n from tb group by i) b using (i)),
+best as (select k, arg_min(i, (-dice, i)) i, max(dice) dice from sc where dice >= 0.85 group by k),
+found as (select u, count(*) n, string_agg(distinct name, ',' order by name) names, max(dice) dice from best join seg using (k) join tw using (i) group by u)
+select doc_id, coalesce(n, 0)::bigint n_matches, coalesce(names, '') licenses, dice best_dice from d left join found using (u)"""
