@@ -29,7 +29,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         now, state = _stored(step.select("e.*").where("u != v").distinct())
         if state == before:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).groupBy("node").agg(F.min("component").alias("component"))
+    joined = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    return joined.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def _stored(edges: DataFrame) -> tuple[DataFrame, tuple]:

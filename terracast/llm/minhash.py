@@ -30,7 +30,7 @@ BANDS, ROWS = 24, 4
 SIZE = BANDS * ROWS
 BATCH = 16
 MISS = 1e-6
-BLOCK = 512
+BLOCK = 1 << 20
 SEED = np.uint64(0x51ED270B9F3C7A11)
 
 
@@ -134,7 +134,7 @@ def _plausible(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFra
 
     left = signed.select(F.col("class").alias("a"), F.col("signature").alias("sig_a"))
     right = signed.select(F.col("class").alias("b"), F.col("signature").alias("sig_b"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "sig_a", "sig_b").mapInArrow(test, "a bigint, b bigint")
+    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "sig_a", "sig_b").mapInArrow(test, "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -150,10 +150,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
                     if (a := a.as_py()) != last:
                         last, held = a, _set(text_a, shingle)
                     mine = _set(text_b, shingle)
-                    if min(len(mine), len(held)) * 100 >= percent * max(len(mine), len(held)):
-                        common = len(np.intersect1d(mine, held, assume_unique=True))
-                        if 100 * common >= percent * (len(mine) + len(held) - common):
-                            found.append((a, other.as_py()))
+                    if _near(mine, held, percent):
+                        found.append((a, other.as_py()))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     left = texts.select(F.col("class").alias("a"), F.col("text").alias("text_a"))
@@ -165,44 +163,64 @@ def _members(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return texts.join(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class", "left_semi")
 
 
+def _near(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """100 * |intersection| >= percent * |union| of two sorted sets; sizes that rule it out come first."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) * 100 < percent * len(b) or not len(a):
+        return False
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
 def _set(text: pa.Scalar, shingle: int) -> np.ndarray:
     data = np.frombuffer(text.as_py().encode(), dtype=np.uint8)
     return text_shingles(wd.split(data, np.array([0, len(data)]), wd.SPACED), shingle)[1]
 
 
-def _cross_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """Plausible pairs of a band that lie in different components. members: band_key, n_members, class, component, signature.
+def _cross_links(members: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links between different components, verified where the members of a band meet; a spanning forest of each meeting.
 
-    A band with more than BLOCK members is cut into blocks by hash; each pair of blocks is a group of its
-    own, so a group holds 2 * BLOCK rows or so. A pair counts in the first band it shares only.
+    members: band_key, band, n_blocks, class, component, signature, text. A band with more than BLOCK
+    shingles in all is cut into blocks by hash, and each pair of blocks is a group of its own, so a group
+    holds two blocks. A pair is looked at in the first band it shares only. Pairs that no batch of hashes
+    prunes are verified on their full sets at once: no pair is handed on but those that join something.
     """
-    blocks = F.ceil(F.col("n_members") / BLOCK).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("low"), F.greatest(x, F.col("own")).alias("high")))
-    dealt = dealt.withColumn("block", F.explode(met)).select("band_key", "band", "block.low", "block.high", "own", "class", "component", "signature")
+    threshold = percent / 100
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("class"), F.col("n_blocks")).cast("int"))
+    met = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("low"), F.greatest(x, F.col("own")).alias("high")))
+    dealt = dealt.withColumn("block", F.explode(met)).select("band_key", "band", "block.low", "block.high", "own", "class", "component", "signature", "text")
 
-    def pair(table: pa.Table) -> pa.Table:
+    def meet(table: pa.Table) -> pa.Table:
         band, low, high = (table.column(c)[0].as_py() for c in ("band", "low", "high"))
         own, ids, comp = (table.column(c).to_numpy() for c in ("own", "class", "component"))
         sig = _matrix(table.column("signature"))
-        out_a, out_b = [], []
-        mine = np.flatnonzero(own == low)
-        others = np.flatnonzero(own == high)
         bands = sig.reshape(len(sig), BANDS, ROWS)
+        texts, sets = table.column("text").combine_chunks(), {}
+        found = []
+        part = np.unique(comp, return_inverse=True)[1]
+        mine, others = np.flatnonzero(own == low), np.flatnonzero(own == high)
         for i in mine:
             rest = others[(ids[others] > ids[i]) if low == high else slice(None)]
-            rest = rest[comp[rest] != comp[i]]
+            rest = rest[part[rest] != part[i]]
             if not len(rest):
                 continue
             rest = rest[survivors(np.broadcast_to(sig[i], (len(rest), SIZE)), sig[rest], threshold)]
-            earlier = (bands[rest, :band] == bands[i, :band]).all(axis=2).any(axis=1) if band else np.zeros(len(rest), dtype=bool)
-            rest = rest[~earlier]
-            out_a += [ids[i]] * len(rest)
-            out_b += ids[rest].tolist()
-        a, b = np.array(out_a, dtype=np.int64), np.array(out_b, dtype=np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            if band:
+                rest = rest[~(bands[rest, :band] == bands[i, :band]).all(axis=2).any(axis=1)]
+            for j in rest:
+                if part[i] != part[j] and _near(_held(sets, texts, i, shingle), _held(sets, texts, j, shingle), percent):
+                    found.append((int(ids[i]), int(ids[j])))
+                    part[part == part[j]] = part[i]
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+    return dealt.groupBy("band_key", "low", "high").applyInArrow(meet, "a bigint, b bigint")
+
 
-    return dealt.groupBy("band_key", "low", "high").applyInArrow(pair, "a bigint, b bigint")
+def _held(sets: dict, texts: pa.Array, i: int, shingle: int) -> np.ndarray:
+    if i not in sets:
+        sets[i] = _set(texts[int(i)], shingle)
+    return sets[i]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -219,7 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # equal sets: the class is named by its first row
     classes = drawn.where("set_key is not null").groupBy("set_key").agg(F.min("row").alias("class"), F.min("doc_id").alias("least_id"))
     classes = reliable_cut(classes, "classes")
-    signed = reliable_cut(drawn.join(classes.select(F.col("class").alias("row")), "row", "left_semi").select(F.col("row").alias("class"), "signature"), "signed")
+    signed = reliable_cut(drawn.join(classes.select(F.col("class").alias("row")), "row", "left_semi").select(F.col("row").alias("class"), "n_shingles", "signature"), "signed")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +250,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 n = len(sig)
                 yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), n)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["band_key", "band", "class"])
 
-    bands = signed.mapInArrow(cut, "band_key bigint, band int, class bigint")
+    bands = signed.select("class", "signature").mapInArrow(cut, "band_key bigint, band int, class bigint")
     shared = bands.groupBy("band_key").agg(F.min("class").alias("first"), F.count(F.lit(1)).alias("n_members")).where("n_members > 1")
     bands = reliable_cut(bands.join(shared, "band_key"), "bands")
 
@@ -244,11 +262,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = components(links)
     # all pairs of a band between components
     place = bands.join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    open_bands = place.groupBy("band_key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band_key")
-    place = place.join(open_bands, "band_key", "left_semi").join(signed, "class")
-    cross = reliable_cut(_cross_pairs(place, threshold).join(star, ["a", "b"], "left_anti"), "cross")
-    more = reliable_cut(links.unionByName(_verified(cross, _members(texts, cross), shingle, percent)), "links")
-    joined = components(more)
+    place = place.join(signed.select("class", "n_shingles"), "class")
+    blocks = F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("n_blocks")
+    open_bands = place.groupBy("band_key").agg(F.min("component").alias("low"), F.max("component").alias("high"), blocks).where("low < high").select("band_key", "n_blocks")
+    place = reliable_cut(place.join(open_bands, "band_key"), "open")
+    members = signed.join(texts.join(place.select("class").distinct(), "class", "left_semi"), "class").select("class", "signature", "text")
+    cross = _cross_links(place.join(members, "class"), shingle, percent)
+    joined = components(links.unionByName(cross))
 
     named = classes.join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     named = reliable_cut(named, "named")
