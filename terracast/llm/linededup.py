@@ -113,7 +113,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = reliable_cut(keyed.drop("h1").join(shared, "key"), "met")
     wanted = met.select("at").distinct()
     by_row = wanted.select(F.col("at.uid").alias("uid"), "at")
-    texts = by_row.join(who.select("uid", "text"), "uid").select("at", F.get(F.split("text", "\n"), F.col("at.no")).alias("line"))
+    # split below the join: once for a document, not once for each of its lines
+    texts = by_row.join(who.select("uid", F.split("text", "\n").alias("all_lines")), "uid").select("at", F.get("all_lines", F.col("at.no")).alias("line"))
     texts = reliable_cut(texts, "line-texts")
     crowded = texts.join(met.where(F.col("n") > CROWD).select("at").distinct(), "at", "left_semi")
     pairs = _meet(met.where(F.col("n") <= CROWD)).unionByName(_meet(crowded.select("at", F.inline(segment_keys(F.col("line"), FINE))))).distinct()
@@ -128,9 +129,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     gone = gone.select(uid, F.struct("gone", "n_exact", "n_near").alias(free_name(rows, "cut")))
     cut = gone.columns[1]
-    out = rows.join(gone, uid, "left")
-    all_lines = F.split(F.col(text_col).cast("string"), "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.array_size(all_lines) - 1), F.col(f"{cut}.gone"))
-    text = F.when(F.col(cut).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(all_lines, i)), "\n"))
+    all_lines = free_name(rows, "all_lines")
+    out = rows.withColumn(all_lines, F.split(F.col(text_col).cast("string"), "\n")).drop(text_col).join(gone, uid, "left")
+    numbers = F.when(F.array_size(all_lines) > 0, F.sequence(F.lit(0), F.array_size(all_lines) - 1))
+    stay = F.when(F.col(cut).isNull(), F.col(all_lines)).otherwise(F.transform(F.array_except(numbers, F.col(f"{cut}.gone")), lambda i: F.get(all_lines, i)))
+    text = F.array_join(stay, "\n")
     counts = [F.coalesce(F.array_size(all_lines), F.lit(0)).cast("long").alias("n_lines"), *(F.coalesce(f"{cut}.{c}", F.lit(0)).cast("long").alias(c) for c in ("n_exact", "n_near"))]
     return out.select(*[text.alias(c) if c.lower() == text_col.lower() else F.col(f"`{c}`") for c in docs.columns], *counts)
