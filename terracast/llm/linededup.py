@@ -44,7 +44,6 @@ def within_edits(a: Column, b: Column, edits: int = EDITS) -> Column:
     the band. A character of b moves all diagonals at once: bits stay where the characters agree, and come
     from the state with an edit less for a change (same bit), an insertion (bit below) or a loss (bit above).
     """
-    x, y = F.split(a, ""), F.split(b, "")
     width = 2 * edits + 1
     band = (1 << width) - 1
     sign = lambda c, at: F.get(c, at)
@@ -58,16 +57,17 @@ def within_edits(a: Column, b: Column, edits: int = EDITS) -> Column:
         return [F.lit(sum(1 << (edits + k) for k in range(e + 1)) & band).cast("long") for e in range(edits + 1)]
 
     def step(state: Column, j: Column) -> Column:
-        here = sign(y, j)
+        x, here = state["x"], sign(state["y"], j)
         same = F.lit(0).cast("long")
         for d in range(width):
             same = same + F.when(F.coalesce(sign(x, j + (d - edits)) == here, F.lit(False)), 1 << d).otherwise(0)
         old = [state[f"s{e}"] for e in range(edits + 1)]
         new = [old[0].bitwiseAND(same)]
         new += [old[e].bitwiseAND(same).bitwiseOR(old[e - 1]).bitwiseOR(F.shiftright(old[e - 1], 1)) for e in range(1, edits + 1)]
-        return F.struct(*[c.alias(f"s{e}") for e, c in enumerate(close(new))])
+        return F.struct(state["x"].alias("x"), state["y"].alias("y"), *[c.alias(f"s{e}") for e, c in enumerate(close(new))])
 
-    first = F.struct(*[c.alias(f"s{e}") for e, c in enumerate(start())])
+    # the signs travel in the state: taken apart once, not at every step
+    first = F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y"), *[c.alias(f"s{e}") for e, c in enumerate(start())])
     n, m = F.char_length(a), F.char_length(b)
     gap = n - m
     reached = lambda s: F.call_function("shiftright", s[f"s{edits}"], gap + edits).bitwiseAND(F.lit(1).cast("long")) == 1
