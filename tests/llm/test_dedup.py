@@ -149,7 +149,7 @@ def test_lines_of_odd_tables(spark):
 
 
 @pytest.mark.parametrize("edits", [1, 2])
-def test_bit_parallel_distance(spark, edits):
+def test_banded_distance(spark, edits):
     rng = np.random.default_rng(edits)
     word = lambda: "".join(rng.choice(list("abé"), int(rng.integers(0, 9))))
     pairs = [(word(), word()) for _ in range(1500)]
