@@ -38,10 +38,14 @@ def clip(c, lo: float, hi: float) -> Column:
     return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(lo)), F.lit(hi)))
 
 
+# fixed value: what a number looks like; suffixes and hexadecimal forms that a cast would take are none
+NUMBER_PATTERN = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)\s*$"
+
+
 def to_number(c) -> Column:
-    """Coercing cast: unparseable text and NaN become NULL."""
+    """Coercing cast: text that isn't a plain decimal number, and NaN, become NULL."""
     x = col(c).try_cast("double")
-    return F.when(~F.isnan(x), x)
+    return F.when(col(c).cast("string").rlike(NUMBER_PATTERN) & ~F.isnan(x), x)
 
 
 def safe_div(a, b, default: float = 0.0) -> Column:

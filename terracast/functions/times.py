@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from terracast.functions.numbers import col
 
-# fixed values: accepted time formats are a date, optionally with HH:mm or HH:mm:ss after a
-# space or T, optionally with a closing Z
-TIME_PATTERN = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}Z?)?)?$"
+# fixed values: accepted time formats are a date with - or /, optionally with HH:mm, HH:mm:ss or
+# HH:mm:ss.fraction after a space or T, then optionally Z or an offset (+HH:mm, +HHmm)
+TIME_PATTERN = r"^\d{4}([-/])\d{2}\1\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?( ?(Z|[+-]\d{2}:?\d{2}))?)?$"
+ZONE_PATTERN = r"(:\d{2}(?:\.\d+)?) ?(Z|[+-]\d{2}:?\d{2})$"
 # fixed value: mean year length behind the seasonal cycle
 YEAR_DAYS = 365.25
 
@@ -18,12 +19,17 @@ YEAR_DAYS = 365.25
 def parse_time(c) -> Column:
     """Text to zone-less timestamp; NULL when it has no accepted format.
 
-    One pattern test and one cast: trying format after format costs an exception per miss.
+    A time with an offset becomes the UTC time; one without is taken as it stands. One pattern test and
+    one cast: trying format after format costs an exception per miss.
     """
     text = F.trim(col(c).cast("string"))
-    plain = F.rtrim(text, F.lit("Z"))
+    plain = F.translate(F.regexp_replace(text, ZONE_PATTERN, "$1"), "/", "-")
     full = F.when(F.length(plain) == 16, F.concat(plain, F.lit(":00"))).otherwise(plain)
-    return F.when(text.rlike(TIME_PATTERN), full.try_cast("timestamp_ntz"))
+    time = full.try_cast("timestamp_ntz")
+    offset = F.translate(F.regexp_extract(text, ZONE_PATTERN, 2), "Z:", "")
+    minutes = F.substring(offset, 2, 2).try_cast("int") * 60 + F.substring(offset, 4, 2).try_cast("int")
+    shift = F.make_dt_interval(F.lit(0), F.lit(0), F.when(offset.startswith("-"), minutes).otherwise(-minutes), F.lit(0))
+    return F.when(text.rlike(TIME_PATTERN), F.when(offset == "", time).otherwise(time + shift))
 
 
 def stamp(c) -> Column:

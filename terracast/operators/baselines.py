@@ -9,7 +9,7 @@ from terracast.functions.numbers import clip, half_even, interpolate
 from terracast.functions.single import attach_row
 from terracast.operators.evaluate import long_columns
 from terracast.operators.quantiles import quantile_array
-from terracast.operators.spatial import coordinate_key
+from terracast.operators.spatial import KEY_SCALE, coordinate_key
 
 VARS = ["temperature", "humidity", "rainfall"]
 
@@ -79,7 +79,7 @@ def bilinear(df: DataFrame, forecasts: DataFrame, lat: str = "latitude_obs", lon
         fc = forecasts.select("valid_time", "lead_time_hours", *coordinate_key(), F.struct(*[f"forecast_{v}" for v in VARS]).alias("_f"))
         for k, (y, x, _) in corners.items():
             side = fc.withColumnsRenamed({"_f": f"_f{k}"})
-            keyed = out.withColumns({"_lat_key": F.round(c(y) * 10000).cast("long"), "_lon_key": F.round(c(x) * 10000).cast("long")})
+            keyed = out.withColumns({"_lat_key": F.round(c(y) * KEY_SCALE).cast("long"), "_lon_key": F.round(c(x) * KEY_SCALE).cast("long")})
             out = keyed.join(side, ["valid_time", "lead_time_hours", "_lat_key", "_lon_key"], "left").drop("_lat_key", "_lon_key")
         for k in corners:
             out = out.withColumn("_full", c("_full") & c(f"_f{k}").isNotNull())

@@ -15,11 +15,15 @@ from terracast.functions.single import attach_row
 from terracast.functions.times import season_columns
 from terracast.operators.evaluate import climatology, point_scores
 from terracast.operators.quality import leakage_guard
+from terracast.operators.quantiles import quantile_columns
 
 QUANTILES = (0.1, 0.5, 0.9)
+# rows are permuted within so many hash buckets, whatever their number
+PERMUTATION_BUCKETS = 256
 
 
 # ---------------------------------------------------------------- features
+
 def with_season(df: DataFrame, time_col: str = "observation_time") -> DataFrame:
     return df.withColumns(season_columns(time_col))
 
@@ -104,9 +108,8 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: list[s
     numbers of one bucket, so no single task sorts the table.
     """
     truth = F.col(f"observed_{variable}")
-    buckets = max(1, df.count() // 1_000_000)
     rows = df.withColumn("_h", F.xxhash64(*keys, F.lit(seed)))
-    rows = rows.withColumn("_b", F.pmod("_h", F.lit(buckets)))
+    rows = rows.withColumn("_b", F.pmod("_h", F.lit(PERMUTATION_BUCKETS)))
     rows = rows.withColumns({
         "_i": F.row_number().over(W.partitionBy("_b").orderBy("_h", *keys)),
         "_j": F.row_number().over(W.partitionBy("_b").orderBy(F.xxhash64("_h", F.lit(seed + 1)), *keys)),
@@ -127,12 +130,12 @@ class QuantileForest:
     """Random forest whose leaves carry the quantiles of their TRAIN residuals.
 
     A row's quantile forecast is the mean of its leaves' quantiles over the trees. The leaf
-    table has (trees x leaves) rows however many rows were trained on; leaf quantiles come
-    from a mergeable sketch, so a crowded leaf stays cheap.
+    table has (trees x leaves) rows however many rows were trained on; leaf quantiles are
+    exact order statistics over balanced buckets, so a crowded leaf is never gathered in one task.
     """
 
-    def __init__(self, features: list[str], label: str, trees: int = 40, depth: int = 5, min_rows: int = 10, seed: int = 42, levels=QUANTILES, accuracy: int = 10000):
-        self.features, self.label, self.levels, self.accuracy = features, label, levels, accuracy
+    def __init__(self, features: list[str], label: str, trees: int = 40, depth: int = 5, min_rows: int = 10, seed: int = 42, levels=QUANTILES):
+        self.features, self.label, self.levels = features, label, levels
         forest = RandomForestRegressor(
             labelCol=label, featuresCol="features", predictionCol="_mean", leafCol="_leaf", numTrees=trees, maxDepth=depth,
             minInstancesPerNode=min_rows, featureSubsetStrategy="0.8", subsamplingRate=0.8, seed=seed,
@@ -146,8 +149,10 @@ class QuantileForest:
         train = train.filter(F.col(self.label).isNotNull())
         self.model = self._pipeline.fit(with_inputs(train, self.features))
         leaves = self._leaves(train).select(self.label, F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
-        q = F.percentile_approx(self.label, F.array(*[F.lit(x) for x in self.levels]), self.accuracy)
-        self.table = leaves.groupBy("tree", F.col("leaf").cast("int").alias("leaf")).agg(q.alias("q"))
+        leaves = leaves.withColumn("leaf", F.col("leaf").cast("int"))
+        names = [f"q{i}" for i in range(len(self.levels))]
+        exact = quantile_columns(leaves, self.label, dict(zip(names, self.levels, strict=True)), ["tree", "leaf"])
+        self.table = exact.select("tree", "leaf", F.array(*names).alias("q"))
         return self
 
     def transform(self, df: DataFrame, keys: list[str], prefix: str) -> DataFrame:
@@ -250,7 +255,8 @@ def score_all(df: DataFrame, models: dict[str, RainModel], calibrators: dict[str
 
 def seeded_sample(df: DataFrame, keys: list[str], n: int = 500, seed: int = 42) -> DataFrame:
     """The same min(n, rows) rows for the same seed, whatever the partitioning."""
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+    return df.orderBy(drawn, *keys).limit(n)
 
 
 def category_codes(c, values: list[str]) -> Column:

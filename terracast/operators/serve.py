@@ -1,7 +1,7 @@
 """Serving tables: the read side, precomputed for all villages and stations."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terracast import config as C
@@ -180,7 +180,8 @@ def available_dates(rain: DataFrame | None, weather: DataFrame | None = None) ->
     for df, c in ((rain, "timestamp"), (weather, "observation_time")):
         if df is not None:
             return df.select(F.col(c).cast("string").alias("date")).distinct().orderBy("date")
-    raise ValueError("give at least one table")
+    spark = SparkSession.active()
+    return spark.range(1).select(F.lit(DEFAULT_DATE).alias("date"))
 
 
 def system_status(spark, artifacts: dict[str, DataFrame | None], times: tuple[str, str] | None, as_of=None, aging_h: float = 24.0, expired_h: float = 72.0) -> DataFrame:

@@ -21,6 +21,7 @@ FAN = 4                 # children per axis and level
 BROADCAST_LEVELS = 3    # level 3 holds at most 4,096 tiles
 ITEMS_PER_TILE = 16
 MAX_DEPTH = 12
+KEY_SCALE = 10_000_000  # of coordinate keys: 1e-7 degrees
 
 
 def ordered_index(df: DataFrame, major: str, minor: str, name: str) -> DataFrame:
@@ -38,15 +39,15 @@ def ordered_index(df: DataFrame, major: str, minor: str, name: str) -> DataFrame
 
 def point_registry(forecasts: DataFrame, prefix: str = "FC_GRID_") -> DataFrame:
     """Distinct forecast points with ids in (latitude, longitude) order."""
-    pts = forecasts.select("latitude", "longitude").distinct()
+    pts = forecasts.groupBy(*coordinate_key()).agg(F.min("latitude").alias("latitude"), F.min("longitude").alias("longitude")).drop("_lat_key", "_lon_key")
     return ordered_index(pts, "latitude", "longitude", "point_idx").withColumn(
         "forecast_parent_id", F.format_string(prefix + "%02d", "point_idx")
     )
 
 
 def coordinate_key(lat="latitude", lon="longitude") -> list[Column]:
-    """Scaled integer keys for joins on coordinates; doubles are never joined raw."""
-    return [F.round(F.col(lat) * 10000).cast("long").alias("_lat_key"), F.round(F.col(lon) * 10000).cast("long").alias("_lon_key")]
+    """Scaled integer keys for joins on coordinates; doubles are never joined raw. Points less than a centimetre apart are one."""
+    return [F.round(F.col(lat) * KEY_SCALE).cast("long").alias("_lat_key"), F.round(F.col(lon) * KEY_SCALE).cast("long").alias("_lon_key")]
 
 
 def attach_parent(forecasts: DataFrame, registry: DataFrame, how: str = "inner") -> DataFrame:

@@ -44,7 +44,7 @@ def village_rainfall(grid: DataFrame, hot_group: int = HOT_GROUP, largest: int |
     q = quantile_columns(rows, "p", {"p10": 0.1, "p90": 0.9}, [*keys, "series"])
     pick = lambda t, c: F.max(F.when(F.col("series") == f"prob_{t}", F.col(c))).alias(f"rain_probability_{t}_{c}")
     wide = q.groupBy(*keys).agg(*[pick(t, c) for t in THRESHOLDS for c in ("p10", "p90")])
-    return _finish(calm.unionByName(busy.join(wide, keys)), keys)
+    return _finish(calm.unionByName(busy.join(wide, keys, "left")), keys)
 
 
 def _aggregate(df: DataFrame, keys: list[str], percentiles: bool) -> DataFrame:

@@ -40,8 +40,7 @@ def j03(spark, sf):
     return spatial.attach_parent(fc.drop("forecast_parent_id"), part, "left").groupBy("forecast_parent_id", "lead_time").agg(F.count("*").alias("n"))
 
 
-@query("j06_uncertainty_join", f"""select m.event_id, m.lead_time_hours, u.q10_temperature, u.q90_temperature from v_match m
-    left join (select * from v_int where split='TEST') u on m.event_id=u.event_id and m.station_id=u.station_id and m.observation_time=u.observation_time and m.lead_time_hours=u.lead_time_hours""",
+@query("j06_uncertainty_join", """select event_id, lead_time_hours, case when split='TEST' then q10_temperature end as q10_temperature, case when split='TEST' then q90_temperature end as q90_temperature from v_int""",
     "q10_temperature q90_temperature")
 def j06(spark, sf):
     u = V.intervals(spark, sf).filter("split = 'TEST'").select("event_id", *M.MATCH_KEYS, "q10_temperature", "q90_temperature", "b2_temperature")
@@ -206,7 +205,7 @@ def b08(spark, sf):
     return U.conformal_correction(rows, "score", ["variable"])
 
 
-@query("b09_interval_widening", f"select {KEY}, q10_temperature - q.correction as q10_temperature_cal, q90_temperature + q.correction as q90_temperature_cal from v_int, ({_corr('temperature')}) q", "q10_temperature_cal q90_temperature_cal")
+@query("b09_interval_widening", f"select {KEY}, q10_temperature - q.correction as q10_temperature_cal, q90_temperature + q.correction as q90_temperature_cal from v_int, (with one as materialized ({_corr('temperature')}) select * from one) q", "q10_temperature_cal q90_temperature_cal")
 def b09(spark, sf):
     out = U.widen(V.intervals(spark, sf), correction(spark, sf, "temperature"), "q10_temperature", "q90_temperature")
     return keyed(out, "q10_temperature_cal", "q90_temperature_cal")
@@ -278,7 +277,7 @@ def w08(spark, sf):
     return V.observations(spark, sf).select("event_id", "rainfall").orderBy(F.desc("rainfall"), "event_id").limit(10)
 
 
-@query("w09_seeded_sample")
+@query("w09_seeded_sample", "select event_id, station_id from v_obs order by md5(concat_ws('|', '42', cast(event_id as varchar))), event_id limit 500")
 def w09(spark, sf):
     return models.seeded_sample(V.observations(spark, sf).select("event_id", "station_id"), ["event_id"])
 

@@ -30,11 +30,15 @@ def local_session(cores: str = "8", name: str = "terracast") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: `spark.checkpoint.dir` of the session.
 
-    Only where the setting is absent (a bare local session) a temporary folder is used
-    and stored in the session, so that later calls agree on it.
+    Only a local session may go without the setting: it gets a temporary folder, stored in the
+    session so that later calls agree on it. On a cluster each machine would see a folder of its own, so
+    there the setting must name one that all share.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.terracast.scratch", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="terracast-")
         spark.conf.set("spark.terracast.scratch", path)
     return path.rstrip("/")

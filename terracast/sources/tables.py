@@ -12,22 +12,33 @@ from terracast.functions.times import parse_time
 from terracast.operators.quality import find_column, with_row_status
 
 
+# fixed values: texts that a table reader takes for "missing"
+NULL_TOKENS = (
+    "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
+
 def text_schema(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def read_csv(spark: SparkSession, path, columns: list[str] | None = None) -> DataFrame:
-    """CSV with a header, every value as text; a missing path raises.
+def without_tokens(df: DataFrame, tokens=NULL_TOKENS) -> DataFrame:
+    """Text columns with NULL where they hold one of the tokens."""
+    return df.select(*[F.when(~F.col(f"`{c}`").isin(*tokens), F.col(f"`{c}`")).alias(c) if tokens and t == "string" else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+def read_csv(spark: SparkSession, path, columns: list[str] | None = None, null_tokens=NULL_TOKENS) -> DataFrame:
+    """CSV with a header, every value as text, `null_tokens` as NULL; a missing path raises.
 
     Without `columns` the header of the files is taken (one line is read).
     """
     reader = spark.read.option("header", True).option("inferSchema", False)
     if columns:
         reader = reader.schema(text_schema(columns)).option("enforceSchema", False)
-    return reader.csv(path)
+    return without_tokens(reader.csv(path), null_tokens)
 
 
-def sweep(spark: SparkSession, folder: str, pattern: str = "*.csv", columns: list[str] | None = None) -> DataFrame:
+def sweep(spark: SparkSession, folder: str, pattern: str = "*.csv", columns: list[str] | None = None, null_tokens=NULL_TOKENS) -> DataFrame:
     """All matching files of a folder in one scan, with their path as `source_file`.
 
     Suites grouped by `source_file` then give one report per file from a single job; a value
@@ -36,7 +47,7 @@ def sweep(spark: SparkSession, folder: str, pattern: str = "*.csv", columns: lis
     reader = spark.read.option("header", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
     if columns:
         reader = reader.schema(text_schema(columns))
-    return reader.csv(folder).select("*", F.col("_metadata.file_path").alias("source_file"))
+    return without_tokens(reader.csv(folder).select("*", F.col("_metadata.file_path").alias("source_file")), null_tokens)
 
 
 def read_json_artifact(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
