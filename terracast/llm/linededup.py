@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terracast.llm.storage import free_name, reliable_cut
+from terracast.llm.storage import bucketed_by, free_name, reliable_cut
 
 EDITS = 1
 SHORTEST = 20
@@ -63,36 +63,37 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     docs = docs.drop("n_lines", "n_exact", "n_near")
     uid = free_name(docs, "uid")
-    rows = reliable_cut(docs.withColumn(uid, F.monotonically_increasing_id()), "numbered")
+    rows = bucketed_by(docs.withColumn(uid, F.monotonically_increasing_id()), uid, "numbered")
     who = rows.select(F.col(uid).alias("uid"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     spread = who.select("uid", "id", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.col("line").rlike("[^ \\t\\r]"))
-    at = F.struct(F.col("id").isNull().alias("last"), "id", "uid", "no").alias("at")
     keys = F.when(F.char_length("line") >= shortest, segment_keys(F.col("line"), EDITS + 1))
-    lines = spread.select(at, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), keys.alias("keys"))
+    lines = spread.select("uid", "no", "id", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), keys.alias("keys"))
     lines = reliable_cut(lines, "lines")
 
     # equal lines: 128 bits of hash
-    firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("at", "keys")).alias("f"), F.count(F.lit(1)).alias("n"))
-    firsts = reliable_cut(firsts.select("h1", "h2", "n", "f.at", "f.keys"), "firsts")
-
-    # near lines: keys that different lines share
-    keyed = firsts.select("at", "h1", F.inline("keys"))
-    shared = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", "n")
-    met = reliable_cut(keyed.drop("h1").join(shared, "key"), "met")
-    wanted = met.select("at").distinct()
-    by_row = wanted.select(F.col("at.uid").alias("uid"), "at")
+    at = F.struct(F.col("id").isNull().alias("last"), "id", "uid", "no").alias("at")
+    firsts = reliable_cut(lines.groupBy("h1", "h2").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("n")), "firsts")
+
+    # near lines: keys that different lines share, and the first copies of those lines
+    keyed = lines.select("h1", "h2", F.inline("keys"))
+    shared = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high").select("key")
+    met = keyed.join(shared, "key", "left_semi").distinct()
+    met = reliable_cut(met.join(firsts.select("h1", "h2", "at"), ["h1", "h2"]).select("at", "key", "longer"), "met")
+    crowds = met.groupBy("key").agg((F.count(F.lit(1)) > CROWD).alias("crowd"))
+    met = met.join(crowds, "key")
+    by_row = met.select("at").distinct().select(F.col("at.uid").alias("uid"), "at")
     # split below the join: once for a document, not once for each of its lines
     texts = by_row.join(who.select("uid", F.split("text", "\n").alias("all_lines")), "uid").select("at", F.get("all_lines", F.col("at.no")).alias("line"))
     texts = reliable_cut(texts, "line-texts")
-    crowded = texts.join(met.where(F.col("n") > CROWD).select("at").distinct(), "at", "left_semi")
-    pairs = _meet(met.where(F.col("n") <= CROWD)).unionByName(_meet(crowded.select("at", F.inline(segment_keys(F.col("line"), FINE))))).distinct()
+    crowded = texts.join(met.where("crowd").select("at").distinct(), "at", "left_semi")
+    pairs = _meet(met.where("not crowd")).unionByName(_meet(crowded.select("at", F.inline(segment_keys(F.col("line"), FINE))))).distinct()
     pairs = pairs.join(texts.select(F.col("at").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("at").alias("b"), F.col("line").alias("line_b")), "b")
     near = pairs.where(within_edits(F.col("line_a"), F.col("line_b"))).select(F.col("b").alias("at")).distinct().withColumn("near", F.lit(True))
 
     # what goes, row by row
     marked = firsts.select("h1", "h2", "n", "at").join(near, "at", "left").where("n > 1 or near").select("h1", "h2", F.col("at").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    gone = lines.select("h1", "h2", "at").join(marked, ["h1", "h2"]).where("near or at != first")
+    gone = lines.select("h1", "h2", at).join(marked, ["h1", "h2"]).where("near or at != first")
     gone = gone.groupBy(F.col("at.uid").alias(uid)).agg(
         F.collect_list("at.no").alias("gone"), F.sum((F.col("at") != F.col("first")).cast("long")).alias("n_exact"), F.sum((F.col("at") == F.col("first")).cast("long")).alias("n_near"),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from terracast.session import reliable_cut, scratch_path
 
-__all__ = ["first_uid", "free_name", "reliable_cut", "scratch_path", "ship_package"]
+__all__ = ["bucketed_by", "first_uid", "free_name", "reliable_cut", "scratch_path", "ship_package"]
 
 
 _SHIPPED: set[str] = set()
@@ -39,6 +39,19 @@ def first_uid() -> int:
     return TaskContext.get().partitionId() << 40
 
 
+def bucketed_by(df: DataFrame, key: str, label: str) -> DataFrame:
+    """df written once to the shared folder, bucketed by `key`: later joins on it move the other side only."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, label)
+    name = "t_" + path.rpartition("-")[2]
+    # one task writes one bucket, so there are n files
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"drop table {name}")  # the name only: an external table keeps its files
+    return table
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """`wish`, or with underscores in front where the table has such a column (in any case)."""
     taken = {c.lower() for c in df.columns}
