@@ -134,11 +134,9 @@ def k09(spark, sf):
     from pyspark.ml import PipelineModel
 
     from terracast.operators import models as M
-    from terracast.plans.queries_models import FAST, featured
+    from terracast.plans.queries_models import _residual
 
-    f = featured(spark, sf)
-    feats = M.feature_list(f)
-    model = M.fit_residual(f.filter("split = 'TRAIN'"), feats, "y_temperature", FAST)
+    f, feats, model = _residual(spark, sf)
     path = K.save_model(model, scratch_path(spark, "model"), feats, {"target": "temperature", "seed": "42"}, spark)
     again = [r["feature"] for r in spark.read.json(f"{path}/features").orderBy("position").collect()]
     back = PipelineModel.load(f"{path}/model")

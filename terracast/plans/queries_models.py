@@ -13,11 +13,20 @@ from terracast.plans import views as V
 from terracast.plans.registry import query
 from terracast.session import scratch_path, stored_table
 
-# the queries run smaller ensembles than the defaults; the operators are the same
-FAST = C.BoostParams(trees=8, depth=4)
 KEYS = ["event_id", "lead_time_hours"]
 
 
+_FITTED: dict[tuple, object] = {}
+
+
+def fitted(spark, sf, name, build):
+    """A model of the library's default settings, fitted once per session and tables: several queries share it."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _FITTED:
+        _FITTED[key] = build()
+    return _FITTED[key]
+
+
 def featured(spark, sf):
     """Matchups with cell features, season and residual labels: the stored training table."""
     return stored_table(spark, (sf, "featured"), lambda: _featured(spark, sf))
@@ -71,8 +80,13 @@ def q21(spark, sf):
 def _residual(spark, sf):
     f = featured(spark, sf)
     feats = M.feature_list(f)
-    model = M.fit_residual(f.filter("split = 'TRAIN'"), feats, "y_temperature", FAST)
-    return f, feats, model
+    return f, feats, fitted(spark, sf, "residual", lambda: M.fit_residual(f.filter("split = 'TRAIN'"), feats, "y_temperature"))
+
+
+def _rain(spark, sf, kind, target):
+    f = featured(spark, sf)
+    limit = {"max_iter": 1000} if kind == "logistic" else {}
+    return fitted(spark, sf, (kind, target), lambda: M.RainModel(kind, _rain_features(f), target, **limit).fit(f.filter("split = 'TRAIN'")))
 
 
 @query("m04_residual_model")
@@ -91,7 +105,7 @@ def q23(spark, sf):
 def m05(spark, sf):
     """Forest quantiles, put in order, conformally widened, on the absolute scale."""
     f = featured(spark, sf)
-    forest = M.QuantileForest(M.feature_list(f), "y_temperature", trees=10).fit(f.filter("split = 'TRAIN'"))
+    forest = M.QuantileForest(M.feature_list(f), "y_temperature").fit(f.filter("split = 'TRAIN'"))
     q = forest.transform(f, KEYS, "r")
     lo, mid, hi = U.monotone("r_q10", "r_q50", "r_q90")
     q = q.withColumns({"r_q10": lo, "r_q50": mid, "r_q90": hi})
@@ -106,20 +120,18 @@ def _rain_features(f):
 
 @query("m06_logistic_rain")
 def m06(spark, sf):
-    f = featured(spark, sf)
-    return M.RainModel("logistic", _rain_features(f), "rain_1mm", max_iter=30).fit(f.filter("split = 'TRAIN'")).transform(f, "r1_1mm").select(*KEYS, "rain_1mm", "r1_1mm")
+    return _rain(spark, sf, "logistic", "rain_1mm").transform(featured(spark, sf), "r1_1mm").select(*KEYS, "rain_1mm", "r1_1mm")
 
 
 @query("m07_boosted_rain")
 def m07(spark, sf):
-    f = featured(spark, sf)
-    return M.RainModel("boosted", _rain_features(f), "rain_1mm", FAST).fit(f.filter("split = 'TRAIN'")).transform(f, "r2_1mm").select(*KEYS, "rain_1mm", "r2_1mm")
+    return _rain(spark, sf, "boosted", "rain_1mm").transform(featured(spark, sf), "r2_1mm").select(*KEYS, "rain_1mm", "r2_1mm")
 
 
 @query("m08_single_class_guard", "select event_id, lead_time_hours, 0e0 as p from v_match", "p")
 def m08(spark, sf):
     f = featured(spark, sf).withColumn("never", (F.col("observed_rainfall") > 1000.0).cast("int"))
-    return M.RainModel("boosted", _rain_features(f), "never", FAST).fit(f.filter("split = 'TRAIN'")).transform(f, "p").select(*KEYS, "p")
+    return M.RainModel("boosted", _rain_features(f), "never").fit(f.filter("split = 'TRAIN'")).transform(f, "p").select(*KEYS, "p")
 
 
 @query("b13_isotonic_calibration",
@@ -142,50 +154,47 @@ def m10(spark, sf):
 
 @query("m10_permutation_importance")
 def m10p(spark, sf):
-    f, _, _ = _residual(spark, sf)
-    feats = M.feature_list(f, geo=False)
-    model = M.fit_residual(f.filter("split = 'TRAIN'"), feats, "y_temperature", FAST)
+    f, feats, model = _residual(spark, sf)
     return M.permutation_importance(model, f.filter("split = 'TEST'"), feats, "temperature", "b2_temperature", KEYS)
 
 
 @query("m11_ablation")
 def m11(spark, sf):
-    return M.ablation(featured(spark, sf), "temperature", FAST)
+    return M.ablation(featured(spark, sf), "temperature")
 
 
-def _rain_models(f):
-    train, feats = f.filter("split = 'TRAIN'"), _rain_features(f)
-    cal = f.filter("split = 'CALIBRATION'")
-    fitted = {f"r2_{t[5:]}": M.RainModel("boosted", feats, t, FAST).fit(train) for t in C.RAIN_THRESHOLDS}
-    calibrators = {}
+def _rain_models(spark, sf):
+    cal = featured(spark, sf).filter("split = 'CALIBRATION'")
+    models, calibrators = {}, {}
     for t in C.RAIN_THRESHOLDS:
         raw = f"r2_{t[5:]}"
-        calibrators[f"prob_{t[5:]}"] = M.IsotonicScaler(raw, t).fit(fitted[raw].transform(cal, raw))
-    return fitted, calibrators
+        models[raw] = _rain(spark, sf, "boosted", t)
+        calibrators[f"prob_{t[5:]}"] = fitted(spark, sf, ("isotonic", t), lambda m=models[raw], raw=raw, t=t: M.IsotonicScaler(raw, t).fit(m.transform(cal, raw)))
+    return models, calibrators
 
 
 @query("m12_batch_scoring")
 def m12(spark, sf):
     f = featured(spark, sf)
-    fitted, cal = _rain_models(f)
-    fitted["r1_1mm"] = M.RainModel("logistic", _rain_features(f), "rain_1mm", max_iter=30).fit(f.filter("split = 'TRAIN'"))
-    out = M.score_all(M.attach_prior(f, f, ["rain_1mm", "rain_10mm", "rain_25mm"]), fitted, cal)
+    models, cal = _rain_models(spark, sf)
+    models["r1_1mm"] = _rain(spark, sf, "logistic", "rain_1mm")
+    out = M.score_all(M.attach_prior(f, f, ["rain_1mm", "rain_10mm", "rain_25mm"]), models, cal)
     return out.select(*KEYS, "split", *[c for c in out.columns if c.startswith(("r0_", "r1_", "r2_", "prob_"))])
 
 
 @query("m13_grid_scoring")
 def m13(spark, sf):
-    fitted, cal = _rain_models(featured(spark, sf))
+    models, cal = _rain_models(spark, sf)
     master = V.master(spark, sf)
     cells = G.grid_features(master, V.daily_forecasts(spark, sf), V.test_dates(spark, sf), V.point_registry(spark, sf))
     bound = G.cells_per_village(master).first()["max_cells"]
-    return G.village_rainfall(M.score_all(cells, fitted, cal), largest=bound)
+    return G.village_rainfall(M.score_all(cells, models, cal), largest=bound)
 
 
 @query("e28_logistic_diagnostic")
 def e28(spark, sf):
     f = featured(spark, sf)
-    m = M.RainModel("logistic", _rain_features(f), "rain_1mm", max_iter=30).fit(f.filter("split = 'TRAIN'"))
+    m = _rain(spark, sf, "logistic", "rain_1mm")
     top = m.coefficients(spark).limit(5).select(F.lit("coefficient").alias("kind"), F.col("feature").alias("item"), F.col("coefficient").alias("value"))
     p = m.transform(f, "p")
     spread = E.distribution(p.filter("split <> 'CALIBRATION'"), ["p"], ["split"], extra=False)
