@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from terracast.llm import words as wd
 from terracast.llm.components import components
-from terracast.llm.storage import first_uid, reliable_cut
+from terracast.llm.storage import bucketed_by, first_uid, reliable_cut
 
 BANDS, ROWS = 24, 4
 SIZE = BANDS * ROWS
@@ -159,10 +159,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a bigint, b bigint")
 
 
-def _members(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    return texts.join(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class", "left_semi")
-
-
 def _near(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """100 * |intersection| >= percent * |union| of two sorted sets; sizes that rule it out come first."""
     if len(a) > len(b):
@@ -230,14 +226,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     percent * |union| of their distinct shingles. component_id is the smallest doc_id reachable, kept says
     that the row is that document (the first of repeated rows). Null, empty and blank texts have no
     shingles and link with nothing: component_id is their own id. A row with a null id links like others but
-    never names a component unless all its members are null. Other columns don't matter.
+    never names a component unless all its members are null. Other columns don't matter. docs should read
+    stored tables, as rows are numbered in the order they come.
     """
     threshold = percent / 100
-    drawn = reliable_cut(sketches(docs, id_col, text_col, shingle), "sketches")
+    drawn = bucketed_by(sketches(docs, id_col, text_col, shingle), "row", "sketches")
     # equal sets: the class is named by its first row
     classes = drawn.where("set_key is not null").groupBy("set_key").agg(F.min("row").alias("class"), F.min("doc_id").alias("least_id"))
     classes = reliable_cut(classes, "classes")
-    signed = reliable_cut(drawn.join(classes.select(F.col("class").alias("row")), "row", "left_semi").select(F.col("row").alias("class"), "n_shingles", "signature"), "signed")
+    # sketches are bucketed by row, which is the class of the first row of a set: joins on it move the other side only
+    signed = drawn.select(F.col("row").alias("class"), "n_shingles", "signature")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,7 +248,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 n = len(sig)
                 yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), n)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["band_key", "band", "class"])
 
-    bands = signed.select("class", "signature").mapInArrow(cut, "band_key bigint, band int, class bigint")
+    heads = signed.join(classes.select("class"), "class", "left_semi")
+    bands = heads.select("class", "signature").mapInArrow(cut, "band_key bigint, band int, class bigint")
     shared = bands.groupBy("band_key").agg(F.min("class").alias("first"), F.count(F.lit(1)).alias("n_members")).where("n_members > 1")
     bands = reliable_cut(bands.join(shared, "band_key"), "bands")
 
@@ -258,7 +257,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a star in every band
     star = bands.where("class != first").select(F.col("first").alias("a"), F.col("class").alias("b")).distinct()
     star = reliable_cut(_plausible(star, signed, threshold), "star")
-    links = reliable_cut(_verified(star, _members(texts, star), shingle, percent), "links")
+    links = reliable_cut(_verified(star, texts, shingle, percent), "links")
     joined = components(links)
     # all pairs of a band between components
     place = bands.join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
@@ -266,7 +265,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("n_blocks")
     open_bands = place.groupBy("band_key").agg(F.min("component").alias("low"), F.max("component").alias("high"), blocks).where("low < high").select("band_key", "n_blocks")
     place = reliable_cut(place.join(open_bands, "band_key"), "open")
-    members = signed.join(texts.join(place.select("class").distinct(), "class", "left_semi"), "class").select("class", "signature", "text")
+    members = drawn.select(F.col("row").alias("class"), "signature", "text")
     cross = _cross_links(place.join(members, "class"), shingle, percent)
     joined = components(links.unionByName(cross))
 
