@@ -151,14 +151,18 @@ def _interp(x: str) -> str:
       else q.d[{i}]+(q.d[{i}+1]-q.d[{i}])/(q.s[{i}+1]-q.s[{i}])*({x}-q.s[{i}]) end)"""
 
 
-@query("b04_quantile_map", f"""select m.event_id, m.lead_time_hours, {even(_interp('m.b2_temperature'), 2)} as b3_temperature from v_match m,
-    (select quantile_cont(b2_temperature, {_LEVELS}) as s, quantile_cont(observed_temperature, {_LEVELS}) as d from v_match where split='TRAIN') q""", "b3_temperature")
+_B3T = f"""select m.event_id, m.lead_time_hours, {even(_interp('m.b2_temperature'), 2)} as b3_temperature from v_match m,
+    (select quantile_cont(b2_temperature, {_LEVELS}) as s, quantile_cont(observed_temperature, {_LEVELS}) as d from v_match where split='TRAIN') q"""
+_B3H = f"""select m.event_id, m.lead_time_hours, {even(clip(_interp('m.b0_humidity'), '0e0', '100e0'), 2)} as b3_humidity from v_match m,
+    (select quantile_cont(b0_humidity, {_LEVELS}) as s, quantile_cont(observed_humidity, {_LEVELS}) as d from v_match where split='TRAIN') q"""
+
+
+@query("b04_quantile_map", _B3T, "b3_temperature")
 def b04(spark, sf):
     return keyed(B.quantile_map(V.matchups(spark, sf), {"temperature": "b2_temperature"}), "b3_temperature")
 
 
-@query("b04_quantile_map_humidity", f"""select m.event_id, m.lead_time_hours, {even(clip(_interp('m.b0_humidity'), '0e0', '100e0'), 2)} as b3_humidity from v_match m,
-    (select quantile_cont(b0_humidity, {_LEVELS}) as s, quantile_cont(observed_humidity, {_LEVELS}) as d from v_match where split='TRAIN') q""", "b3_humidity")
+@query("b04_quantile_map_humidity", _B3H, "b3_humidity")
 def b04h(spark, sf):
     return keyed(B.quantile_map(V.matchups(spark, sf), {"humidity": "b0_humidity"}), "b3_humidity")
 

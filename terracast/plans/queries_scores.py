@@ -4,9 +4,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terracast import config as C
+from terracast.operators import baselines as B
 from terracast.operators import evaluate as E
 from terracast.plans import views as V
 from terracast.plans.oracle import even
+from terracast.plans.queries_match import _B1, _B3H, _B3T
 from terracast.plans.registry import query
 
 POINT = "avg(abs({p}-{y})) as mae, sqrt(avg(({p}-{y})*({p}-{y}))) as rmse, avg({p}-{y}) as bias"
@@ -33,14 +35,17 @@ def e02(spark, sf):
     return V.matchups(spark, sf).agg(F.count("observed_humidity").alias("n"), *E.point_scores("observed_humidity", "b2_humidity", None))
 
 
-@query("e04_ladder_scores", """select model, split, count(*) as record_count, count(*) filter (ok) as valid_count,
+@query("e04_ladder_scores", f"""select model, split, count(*) as record_count, count(*) filter (ok) as valid_count,
     avg(abs(pt-t)) filter (ok) as temp_mae, sqrt(avg((pt-t)*(pt-t)) filter (ok)) as temp_rmse, avg(pt-t) filter (ok) as temp_bias,
     avg(abs(ph-h)) filter (ok) as hum_mae, sqrt(avg((ph-h)*(ph-h)) filter (ok)) as hum_rmse, avg(ph-h) filter (ok) as hum_bias
-    from (select 'B0' as model, split, qc_status='VALID' as ok, b0_temperature as pt, b0_humidity as ph, observed_temperature as t, observed_humidity as h from v_match
-      union all select 'B2', split, qc_status='VALID', b2_temperature, b2_humidity, observed_temperature, observed_humidity from v_match) group by 1, 2""",
+    from (select model, split, ok, pt, ph, observed_temperature as t, observed_humidity as h from (
+      select split, observed_temperature, observed_humidity, qc_status='VALID' as ok, unnest(['B0','B1','B2','B3']) as model,
+        unnest([b0_temperature,b1_temperature,b2_temperature,b3_temperature]) as pt, unnest([b0_humidity,b1_humidity,b2_humidity,b3_humidity]) as ph
+      from v_match join ({_B1}) using (event_id, lead_time_hours) join ({_B3T}) using (event_id, lead_time_hours) join ({_B3H}) using (event_id, lead_time_hours))) group by 1, 2""",
     "temp_mae temp_rmse temp_bias hum_mae hum_rmse hum_bias")
 def e04(spark, sf):
-    return E.ladder_scores(V.matchups(spark, sf), ["b0", "b2"], None)
+    rows = B.quantile_map(B.bilinear(V.matchups(spark, sf), V.standard_forecasts(spark, sf)))
+    return E.ladder_scores(rows, ["b0", "b1", "b2", "b3"], None)
 
 
 @query("e05_model_scores", f"select split, model, count(*) as record_count, {POINT.format(p='pred', y='y')}, 'temperature' as target from ({_long('temperature', 'split')}) group by split, model", "mae rmse bias")

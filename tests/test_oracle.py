@@ -29,7 +29,7 @@ def test_query_matches_sql(spark, con, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).count() == 6
+    assert entry.entry(spark).count() == 12
 
 
 def test_every_oracle_has_a_query():
