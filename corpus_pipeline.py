@@ -1,7 +1,8 @@
 """Corpus pipeline over `documents`: five stages, each written as Parquet and read again by the next.
 
 Every stage works on all that the one before kept and returns the columns of documents; the last returns
-packed pieces. In order: the quality classifier drops what it rejects, line dedup takes repeated lines out,
+packed pieces. A stage begins by deleting the working tables of those before, so write a stage's rows before
+the next stage is called. In order: the quality classifier drops what it rejects, line dedup takes repeated lines out,
 one document of each near-duplicate group stays, documents contaminated with benchmark words go, and the
 rest is packed into sequences.
 """
@@ -11,14 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terracast.llm import decontaminate, linededup, minhash, packing, quality
-from terracast.llm.storage import reliable_cut, ship_package
+from terracast.llm.storage import drop_tables, reliable_cut, ship_package
+from terracast.session import reliable_cut as stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def begin(spark: SparkSession) -> None:
+    """Before a stage: its docs are stored, so the working tables of the stages before can go."""
+    ship_package(spark)
+    drop_tables(spark)
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores at its threshold or above; empty texts are scored like others."""
-    ship_package(spark)
+    begin(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rated = quality.scored(docs.select(*COLUMNS), model)
     return rated.where(F.col("score") >= quality.THRESHOLD).select(*COLUMNS)
@@ -30,7 +38,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     A document all of whose lines of words went (it repeats others throughout) goes; one without such
     lines from the start stays as it is.
     """
-    ship_package(spark)
+    begin(spark)
     cut = linededup.dedup_lines(docs.select(*COLUMNS))
     emptied = (F.col("n_exact") + F.col("n_near") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike("[^ \\t\\r\\n]")
     changed = F.col("n_exact") + F.col("n_near") > 0
@@ -39,20 +47,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group: five-word shingles, similarity 0.8."""
-    ship_package(spark)
-    numbered = reliable_cut(docs.select(*COLUMNS).withColumn("uid", F.monotonically_increasing_id()), "numbered")
-    # groups by a number that is unique and in the order of the ids, so that rows with equal or null ids stay apart
-    groups = minhash.near_duplicates(numbered, id_col="uid", shingle=5, percent=80)
-    member = groups.select(F.col("doc_id").alias("uid"), F.col("component_id").alias("part"))
-    ids = numbered.select("uid", "doc_id").join(member, "uid")
-    first = ids.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("f")).select(F.col("f.uid").alias("uid"))
-    return numbered.join(first, "uid", "left_semi").select(*COLUMNS)
+    """The document with the smallest id of each near-duplicate group: five-word shingles, similarity 0.8; documents without words stay."""
+    begin(spark)
+    return minhash.keep_one(docs.select(*COLUMNS), shingle=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words less than a twentieth lie in benchmark windows."""
-    ship_package(spark)
+    begin(spark)
     numbered = reliable_cut(docs.select(*COLUMNS).withColumn("uid", F.monotonically_increasing_id()), "numbered")
     hits = decontaminate.contamination(numbered, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="uid")
     bad = hits.where(decontaminate.is_contaminated()).select(F.col("doc_id").alias("uid"))
@@ -61,7 +63,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document that is left, with its token ids and its place in a sequence of at most 2048 tokens."""
-    ship_package(spark)
+    begin(spark)
     return packing.pack_documents(docs)
 
 
@@ -80,5 +82,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that come out of the last stage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = reliable_cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

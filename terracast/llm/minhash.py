@@ -80,11 +80,13 @@ def signatures(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """row, doc_id, text, n_shingles, set_key (128 bits of the sorted set), signature (binary; null for an empty set)."""
+def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, others: list[str] = ()) -> DataFrame:
+    """row, doc_id, text, n_shingles, set_key (128 bits of the sorted set), signature (binary; null for an empty set), given (a struct of the columns `others`)."""
     import hashlib
 
-    kind = docs.schema[id_col].dataType.simpleString()
+    given = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)], F.lit(True).alias("there"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), given.alias("given"))
+    kinds = [f"{c} {t}" for c, t in rows.dtypes]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = first_uid()
@@ -101,11 +103,10 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
                     keys[r] = hashlib.blake2b(value[bound[r]:bound[r + 1]].tobytes(), digest_size=16).digest()
                     texts[r] = sigs[i].tobytes()
                 ids = b.column(0).slice(first, end - first)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + w.rows)), ids, b.column(1).slice(first, end - first), pa.array(n.astype(np.int64)), pa.array(keys, pa.binary()), pa.array(texts, pa.binary())], names=["row", "doc_id", "text", "n_shingles", "set_key", "signature"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + w.rows)), ids, b.column(1).slice(first, end - first), pa.array(n.astype(np.int64)), pa.array(keys, pa.binary()), pa.array(texts, pa.binary()), b.column(2).slice(first, end - first)], names=["row", "doc_id", "text", "n_shingles", "set_key", "signature", "given"])
                 uid += w.rows
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(sketch, f"row bigint, doc_id {kind}, text string, n_shingles bigint, set_key binary, signature binary")
+    return rows.mapInArrow(sketch, f"row bigint, {kinds[0]}, {kinds[1]}, n_shingles bigint, set_key binary, signature binary, {kinds[2]}")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -229,8 +230,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     never names a component unless all its members are null. Other columns don't matter. docs should read
     stored tables, as rows are numbered in the order they come.
     """
+    return _grouped(bucketed_by(sketches(docs, id_col, text_col, shingle), "row", "sketches"), shingle, percent)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that near_duplicates keeps, with all their columns: one of each group, and all without words."""
+    others = [c for c in docs.columns if c != text_col]
+    drawn = bucketed_by(sketches(docs, id_col, text_col, shingle, others), "row", "sketches")
+    kept = drawn.join(_grouped(drawn, shingle, percent).where("kept").select("row"), "row", "left_semi")
+    return kept.select(*[F.col("text").alias(c) if c == text_col else F.col(f"given.c{others.index(c)}").alias(c) for c in docs.columns])
+
+
+def _grouped(drawn: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The result of near_duplicates from stored sketches."""
     threshold = percent / 100
-    drawn = bucketed_by(sketches(docs, id_col, text_col, shingle), "row", "sketches")
     # equal sets: the class is named by its first row
     classes = drawn.where("set_key is not null").groupBy("set_key").agg(F.min("row").alias("class"), F.min("doc_id").alias("least_id"))
     classes = reliable_cut(classes, "classes")

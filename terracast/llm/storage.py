@@ -8,12 +8,31 @@ import zipfile
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from terracast.session import reliable_cut, scratch_path
+from terracast.session import scratch_path
 
-__all__ = ["bucketed_by", "first_uid", "free_name", "reliable_cut", "scratch_path", "ship_package"]
+_SHIPPED: set[str] = set()
+_TABLES: dict[str, list[str]] = {}
 
 
-_SHIPPED: set[str] = set()
+def _own_path(spark: SparkSession, label: str) -> str:
+    path = scratch_path(spark, label)
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def reliable_cut(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read again: what follows starts from files."""
+    spark = df.sparkSession
+    path = _own_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the tables that the operators have written so far. Call it once their results are stored elsewhere."""
+    for path in _TABLES.pop(spark.sparkContext.applicationId, []):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -43,7 +62,7 @@ def bucketed_by(df: DataFrame, key: str, label: str) -> DataFrame:
     """df written once to the shared folder, bucketed by `key`: later joins on it move the other side only."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = scratch_path(spark, label)
+    path = _own_path(spark, label)
     name = "t_" + path.rpartition("-")[2]
     # one task writes one bucket, so there are n files
     df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)

@@ -5,6 +5,7 @@ import pytest
 from helpers import NASTY, SCHEMA, empty, nasty
 
 from terracast.llm import packing
+from terracast.session import reliable_cut as stored
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,8 +35,8 @@ def test_lines_drop_emptied_documents_only(spark):
 
 def test_run_packs_what_the_stages_keep(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, SF)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, SF), name.replace(" ", "-"))
     left = {r.doc_id for r in docs.select("doc_id").collect()}
     out = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in out} == left and 0 < len(left) < 200
