@@ -17,10 +17,10 @@ from functools import cache
 
 import pyarrow as pa
 
-CACHE = 400_000
+CACHE = 200_000
 LONGEST = 64
 MARKS = string.punctuation.replace("'", "")
-GROUP = 4_000_000
+GROUP = 1_000_000
 
 
 def default_tokenizer() -> str:
