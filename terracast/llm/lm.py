@@ -33,6 +33,7 @@ CONTEXT = 5
 WIDTH = 16
 NOISE = 24
 BATCH = 4096
+SCORED = 1024  # the logits of a batch stay in the processor's cache
 RATE = 0.05
 HEAD = 1 << 18
 #: parts of the training documents in each round
@@ -160,7 +161,7 @@ class LogBilinear:
 
     def tables(self) -> np.ndarray:
         """(CONTEXT, SYMBOLS + 1, WIDTH): what each symbol adds to the prediction at each place."""
-        return np.einsum("sd,cde->cse", self.params[0], self.params[1]).astype(np.float32)
+        return self.params[0] @ self.params[1]
 
     def train(self, context: np.ndarray, target: np.ndarray, state: list, rng: np.random.Generator) -> None:
         """One pass of noise-contrastive AdaGrad steps over tokens in random order."""
@@ -184,7 +185,7 @@ class LogBilinear:
             np.add.at(gq, z, down.T @ made)
             np.add.at(gb, z, down.sum(0))
             gt = np.stack([_scatter(ctx[:, i], back, SYMBOLS + 1) for i in range(CONTEXT)])
-            grads = [np.einsum("cse,cde->sd", gt, c), np.einsum("sd,cse->cde", r, gt), gq / n, gb / n]
+            grads = [(gt @ c.transpose(0, 2, 1)).sum(0), r.T @ gt, gq / n, gb / n]
             for k, g in enumerate(grads):
                 state[k] += g**2
                 self.params[k] = (self.params[k] - RATE * g / (np.sqrt(state[k]) + 1e-6)).astype(np.float32)
@@ -193,16 +194,19 @@ class LogBilinear:
         """Normalised log10 probability of each target symbol."""
         out = np.empty(len(target))
         _, _, q, b = self.params
-        for first in range(0, len(target), BATCH):
-            ctx, y = context[first:first + BATCH], target[first:first + BATCH]
+        bound, bias = float(np.sqrt((q * q).sum(1).max())), float(np.abs(b).max())
+        for first in range(0, len(target), SCORED):
+            ctx, y = context[first:first + SCORED], target[first:first + SCORED]
             made = table[0][ctx[:, 0]]
             for i in range(1, CONTEXT):
                 made = made + table[i][ctx[:, i]]
             logits = made @ q.T + b
-            top = logits.max(1)
-            chosen = logits[np.arange(len(y)), y] - top
-            logits -= top[:, None]
-            out[first:first + BATCH] = chosen - np.log(np.exp(logits, out=logits).sum(1))
+            top = np.float32(0)
+            if bound * np.sqrt((made * made).sum(1).max()) + bias > 60:  # else exp() can't overflow
+                top = logits.max(1, keepdims=True)
+                logits -= top
+            chosen = logits[np.arange(len(y)), y]
+            out[first:first + SCORED] = chosen - np.log(np.exp(logits, out=logits).sum(1))
         return out / np.log(10)
 
 
@@ -307,19 +311,18 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
                 log = np.zeros(len(h))
                 log[head] = np.log10(vocab.counts[found[head]] + 1.0)
                 part += np.where(y >= OWN, log, 0)
-                rest, times = np.unique(np.stack([r[~head].astype(np.uint64), h[~head]]), axis=1, return_counts=True) if (~head).any() else (np.zeros((2, 0), np.uint64), np.zeros(0, np.int64))
-                bound = np.searchsorted(rest[0], np.arange(n + 1, dtype=np.uint64)).astype(np.int32)
-                tail = pa.ListArray.from_arrays(pa.array(bound), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(rest[1]).view(np.int64)), pa.array(times.astype(np.int32))], ["hash", "times"]))
+                bound = np.searchsorted(r[~head], np.arange(n + 1)).astype(np.int32)
+                tail = pa.ListArray.from_arrays(pa.array(bound), pa.array(h[~head].view(np.int64)))
                 add = lambda x: np.bincount(r, x, minlength=n)  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays([
                     b.column(0).slice(first, n), pa.array(np.arange(uid, uid + n)), b.column(2).slice(first, n), pa.array(np.bincount(r, minlength=n)), pa.array(add(head).astype(np.int64)), pa.array(add(log)), pa.array(add(part)), tail,
                 ], names=["doc_id", "row", "learned", "n_tokens", "known", "log", "part", "tail"])
                 uid += n
 
-    schema = f"doc_id {kind}, row bigint, learned boolean, n_tokens bigint, known bigint, log double, part double, tail array<struct<hash bigint, times int>>"
+    schema = f"doc_id {kind}, row bigint, learned boolean, n_tokens bigint, known bigint, log double, part double, tail array<bigint>"
     rated = reliable_cut(rows.mapInArrow(rate, schema), "rated")
-    tail = rated.select("row", F.inline("tail")).join(counts.select("hash", "n"), "hash")
-    tail = tail.groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_log"))
+    tail = rated.select("row", F.explode("tail").alias("hash")).join(counts.select("hash", "n"), "hash")
+    tail = tail.groupBy("row").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("more_log"))
     out = rated.drop("tail").join(tail, "row", "left").fillna({"more": 0, "more_log": 0.0})
     n_all = float(np.log10(vocab.total + vocab.distinct + 1.0))
     return out.select(
