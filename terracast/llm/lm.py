@@ -1,17 +1,22 @@
 """Language-model scoring with a log-bilinear network trained by noise-contrastive estimation.
 
 Tokens are blank-separated words, A-Z lower-cased, and an end for each text. Counts of all training words
-come from one shuffle. The network predicts symbols: the most frequent words have a symbol of their own,
-every other word, seen or not, falls into one of `CLASSES` classes by its last bytes and length. So
-
-    P(word | context) = P(symbol | context) * P(word | symbol)
-
-where P(word | class) = (count + 1) / (tokens of the class + words of the class + 1), with one share for
-all words not seen. The network is log-bilinear: position matrices map the vectors of the last `CONTEXT`
-symbols into a predicted vector, whose product with the symbol vectors, plus a bias, is the score. Training
-tells true symbols from noise of the unigram distribution, in numpy, each task on its own documents, in
-rounds whose parameters are averaged; every training document takes part once. Scoring normalises over all
-symbols with batched matrix products, so the shares of all known words and the unknown ones sum to one.
+come from one shuffle. Every word seen `FLOOR` times or more has vectors of its own, as context and as target,
+so the tables grow with the counts. All words fall into `CLASSES` classes by their last bytes and length; the
+words of a class with vectors are cut, by falling count, into groups of about the square root of their number.
+The network first predicts the most frequent words, the groups, and the rest of each class; then the word
+inside the group:
+
+    P(word | context) = P(symbol | context) * P(word | symbol, context)
+
+The second factor is 1 for the most frequent words and a softmax over the words of a group. In the rest of a
+class, words below the floor, it is (count + 1) / (tokens of the rest + words of the rest + 1), with one share
+for all words not seen. The network is log-bilinear: position matrices map the vectors of the last `CONTEXT`
+words into a predicted vector, whose product with a target vector, plus a bias, is the score. Training tells
+true symbols from noise of the unigram distribution, and true words from noise in their group, in numpy, each
+task on its own documents, in rounds whose parameters are averaged; every training document takes part once.
+Scoring normalises over all symbols, and over the group, with batched matrix products, so the shares of all
+known words and the unknown ones sum to one.
 """
 from __future__ import annotations
 
@@ -32,6 +37,9 @@ SYMBOLS = OWN + CLASSES
 CONTEXT = 5
 WIDTH = 16
 NOISE = 24
+INSIDE = 6  # noise words of a group for each token
+FLOOR = 20  # words seen as often have vectors of their own
+BLOCK = 4096  # rows of a table that tasks average together
 BATCH = 4096
 SCORED = 1024  # the logits of a batch stay in the processor's cache
 RATE = 0.05
@@ -64,7 +72,11 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 @dataclass
 class Vocabulary:
-    """What tasks need of the counts: the HEAD most frequent words, own symbols, classes. Bounded by HEAD."""
+    """What tasks need of the counts: the words from FLOOR on (the HEAD most frequent words at least), symbols, classes.
+
+    Symbols: the most frequent words (below OWN), the rest of each class (below SYMBOLS), SYMBOLS for "before
+    the text", then the words of the groups.
+    """
 
     total: int
     distinct: int
@@ -75,6 +87,7 @@ class Vocabulary:
     class_tokens: np.ndarray
     class_words: np.ndarray
     unigram: np.ndarray = field(default_factory=lambda: np.full(SYMBOLS, 1 / SYMBOLS))
+    begin: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # first word of each group, and their number
 
     def symbols(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.own, h), len(self.own) - 1)
@@ -117,89 +130,134 @@ def _count_rows(h: np.ndarray, c: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """From the stored counts. The driver gets HEAD rows and one per class at most."""
+    """From the stored counts. The driver gets the words from FLOOR on (HEAD rows at least) and one row per class."""
     end = int(END.view(np.int64))
-    top = counts.orderBy(F.desc("n"), "hash").limit(HEAD).toArrow()
+    top = counts.where(F.col("n") >= FLOOR).toArrow()
+    if len(top) < HEAD:
+        top = counts.orderBy(F.desc("n"), "hash").limit(HEAD).toArrow()
     h, c, n = (top.column(k).to_numpy() for k in ("hash", "cls", "n"))
+    order = np.lexsort((h, -n))
+    h, c, n = h[order], c[order], n[order]
     h = h.view(np.uint64) if len(h) else np.zeros(0, np.uint64)
-    words = np.flatnonzero(h != END)[: OWN - 1]
-    own = np.concatenate([[END], h[words]]).astype(np.uint64)
-    symbol = np.arange(len(own))
+    words = np.flatnonzero(h != END)
+    words, more = words[: OWN - 1], words[OWN - 1:]
+    more = more[n[more] >= FLOOR]
+    more, begin = grouped(more, c[more])
+    own = np.concatenate([[END], h[words], h[more]]).astype(np.uint64)
+    symbol = np.concatenate([np.arange(len(words) + 1), SYMBOLS + 1 + np.arange(len(more))])
     by_class = counts.where(F.col("hash") != end).groupBy("cls").agg(F.sum("n"), F.count(F.lit(1))).collect()
     tokens_in, words_in = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
     for k, a, b in by_class:
         tokens_in[k], words_in[k] = a, b
-    np.subtract.at(tokens_in, c[words], n[words])
-    np.subtract.at(words_in, c[words], 1)
+    modelled = np.concatenate([words, more])
+    np.subtract.at(tokens_in, c[modelled], n[modelled])
+    np.subtract.at(words_in, c[modelled], 1)
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("hash") == end, F.col("n"))), F.lit(0))).first()
-    own_counts = np.concatenate([[sums[2]], n[words], np.zeros(OWN - len(own), np.int64)])
-    unigram = np.concatenate([own_counts, tokens_in]) + 1.0
+    own_counts = np.concatenate([[sums[2]], n[words], np.zeros(OWN - 1 - len(words), np.int64)])
+    in_groups = np.add.reduceat(n[more], begin[:-1]) if len(more) else np.zeros(0, np.int64)
+    unigram = np.concatenate([own_counts, tokens_in, in_groups]) + 1.0
     order, by_hash = np.argsort(own), np.argsort(h)
-    return Vocabulary(int(sums[0]), int(sums[1]), h[by_hash], n[by_hash], own[order], symbol[order], tokens_in, words_in, unigram / unigram.sum())
+    return Vocabulary(int(sums[0]), int(sums[1]), h[by_hash], n[by_hash], own[order], symbol[order], tokens_in, words_in, unigram / unigram.sum(), begin)
+
+
+def grouped(words: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words by group, first of each group and their number): words of one class in their order, about the square root of all in a group."""
+    size = max(32, int(np.ceil(np.sqrt(len(words)))))
+    order = np.argsort(classes, kind="stable")
+    at = np.arange(len(words))
+    ids = classes[order]
+    new = np.concatenate([[True], ids[1:] != ids[:-1]])[: len(words)]
+    first = np.maximum.accumulate(np.where(new, at, 0))
+    return words[order], np.append(np.flatnonzero((at - first) % size == 0), len(words))
 
 
 class LogBilinear:
-    """Vectors of the symbols as context (with one for "before the text") and as target, position matrices, biases."""
+    """Vectors of the words as context (with one for "before the text"), position matrices, vectors and biases of the symbols, and of the words in groups, as target."""
 
-    def __init__(self, unigram: np.ndarray, seed: int = 5):
+    def __init__(self, unigram: np.ndarray, seed: int = 5, begin: np.ndarray | None = None):
         rng = np.random.default_rng(seed)
         self.noise = unigram
+        self.begin = np.zeros(1, np.int64) if begin is None else begin
+        sizes = np.diff(self.begin)
+        words = int(self.begin[-1])
+        self.group = np.repeat(np.arange(len(sizes)), sizes)
+        self.symbol = np.concatenate([np.arange(SYMBOLS + 1), SYMBOLS + self.group])
         self.params = [
-            rng.normal(0, 0.1, (SYMBOLS + 1, WIDTH)), np.stack([np.eye(WIDTH) / CONTEXT + rng.normal(0, 0.02, (WIDTH, WIDTH)) for _ in range(CONTEXT)]),
-            rng.normal(0, 0.1, (SYMBOLS, WIDTH)), np.log(unigram),
+            rng.normal(0, 0.1, (SYMBOLS + 1 + words, WIDTH)), np.stack([np.eye(WIDTH) / CONTEXT + rng.normal(0, 0.02, (WIDTH, WIDTH)) for _ in range(CONTEXT)]),
+            rng.normal(0, 0.1, (len(unigram), WIDTH)), np.log(unigram), np.concatenate([rng.normal(0, 0.1, (words, WIDTH)), np.zeros((words, 1))], axis=1),
         ]
         self.params = [p.astype(np.float32) for p in self.params]
+        #: how often each row of the word tables took part in training
+        self.part = {k: np.zeros(len(self.params[k]), dtype=np.float32) for k in (0, 4)}
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.params]).astype(np.float64)
-
-    def load(self, values: np.ndarray) -> None:
-        at = 0
-        for k, p in enumerate(self.params):
-            self.params[k] = values[at:at + p.size].reshape(p.shape).astype(np.float32)
-            at += p.size
+    def copy(self) -> LogBilinear:
+        other = LogBilinear.__new__(LogBilinear)
+        other.noise, other.begin, other.group, other.symbol = self.noise, self.begin, self.group, self.symbol
+        other.params = [p.copy() for p in self.params]
+        other.part = {k: np.zeros_like(p) for k, p in self.part.items()}
+        return other
 
     def tables(self) -> np.ndarray:
-        """(CONTEXT, SYMBOLS + 1, WIDTH): what each symbol adds to the prediction at each place."""
-        return self.params[0] @ self.params[1]
+        """(CONTEXT * WIDTH, WIDTH): the position matrices one below the other."""
+        return self.params[1].reshape(-1, WIDTH)
 
     def train(self, context: np.ndarray, target: np.ndarray, state: list, rng: np.random.Generator) -> None:
         """One pass of noise-contrastive AdaGrad steps over tokens in random order."""
         shift = np.log(NOISE * self.noise).astype(np.float32)
+        symbols = len(self.noise)
+        share = np.cumsum(self.noise)
         order = rng.permutation(len(target))
         for first in range(0, len(order), BATCH):
             some = order[first:first + BATCH]
-            ctx, y = context[some], target[some]
-            r, c, q, b = self.params
+            ctx, y = context[some].ravel(), self.symbol[target[some]]
+            r, c, q, b, inner = self.params
             table = self.tables()
-            made = table[0][ctx[:, 0]]
-            for i in range(1, CONTEXT):
-                made = made + table[i][ctx[:, i]]
-            z = rng.choice(SYMBOLS, NOISE, p=self.noise)
+            seen = r[ctx].reshape(len(some), -1)
+            made = seen @ table
+            z = np.minimum(np.searchsorted(share, rng.random(NOISE)), symbols - 1)
             qy = q[y]
             up = _sigmoid((made * qy).sum(1) + b[y] - shift[y]) - 1
             down = _sigmoid(made @ q[z].T + b[z] - shift[z])
             n = np.float32(len(some))
-            back = (up[:, None] * qy + down @ q[z]) / n
-            gq, gb = _scatter(y, up[:, None] * made, SYMBOLS), np.bincount(y, up, minlength=SYMBOLS)
+            back = up[:, None] * qy + down @ q[z]
+            gq, gb = _scatter(y, up[:, None] * made, symbols), np.bincount(y, up, minlength=symbols)
             np.add.at(gq, z, down.T @ made)
             np.add.at(gb, z, down.sum(0))
-            gt = np.stack([_scatter(ctx[:, i], back, SYMBOLS + 1) for i in range(CONTEXT)])
-            grads = [(gt @ c.transpose(0, 2, 1)).sum(0), r.T @ gt, gq / n, gb / n]
-            for k, g in enumerate(grads):
+            inside = np.flatnonzero(target[some] > SYMBOLS)
+            if len(inside):
+                j = target[some][inside] - SYMBOLS - 1
+                low = self.begin[self.group[j]]
+                size = self.begin[self.group[j] + 1] - low
+                j = np.concatenate([j[:, None], low[:, None] + (rng.random((len(j), INSIDE)) * size[:, None]).astype(np.int64)], axis=1)
+                at, rows = made[inside], inner[j]
+                off = _sigmoid((rows[:, :, :WIDTH] @ at[:, :, None])[:, :, 0] + rows[:, :, WIDTH] - np.log(INSIDE / size).astype(np.float32)[:, None])
+                off[:, 0] -= 1
+                back[inside] += (off[:, None, :] @ rows[:, :, :WIDTH])[:, 0]
+                wide = np.concatenate([at, np.ones((len(at), 1), np.float32)], axis=1)
+                self._step(4, state, j.ravel(), (off[:, :, None] * wide[:, None, :]).reshape(-1, WIDTH + 1))
+            grads = {1: (seen.T @ back / n).reshape(c.shape), 2: gq / n, 3: gb / n}
+            self._step(0, state, ctx, (back @ table.T).reshape(-1, WIDTH))
+            for k, g in grads.items():
                 state[k] += g**2
                 self.params[k] = (self.params[k] - RATE * g / (np.sqrt(state[k]) + 1e-6)).astype(np.float32)
 
+    def _step(self, k: int, state: list, index: np.ndarray, grads: np.ndarray) -> None:
+        """AdaGrad on the rows of a word table that a batch has met; grads are summed by row."""
+        ids, start, g = _sums(index, grads)
+        self.part[k][ids] += np.diff(np.append(start, len(index)))
+        s = state[k][ids] + g**2
+        state[k][ids] = s
+        self.params[k][ids] -= RATE * g / (np.sqrt(s) + np.float32(1e-6))
+
     def log10(self, context: np.ndarray, target: np.ndarray, table: np.ndarray) -> np.ndarray:
-        """Normalised log10 probability of each target symbol."""
-        out = np.empty(len(target))
-        _, _, q, b = self.params
+        """Normalised log10 probability of each target."""
+        out, symbol = np.empty(len(target)), self.symbol[target]
+        r, _, q, b, inner = self.params
+        predicted = np.empty((len(target), WIDTH), dtype=np.float32)
         bound, bias = float(np.sqrt((q * q).sum(1).max())), float(np.abs(b).max())
         for first in range(0, len(target), SCORED):
-            ctx, y = context[first:first + SCORED], target[first:first + SCORED]
-            made = table[0][ctx[:, 0]]
-            for i in range(1, CONTEXT):
-                made = made + table[i][ctx[:, i]]
+            ctx, y = context[first:first + SCORED], symbol[first:first + SCORED]
+            made = predicted[first:first + SCORED] = r[ctx.ravel()].reshape(len(y), -1) @ table
             logits = made @ q.T + b
             top = np.float32(0)
             if bound * np.sqrt((made * made).sum(1).max()) + bias > 60:  # else exp() can't overflow
@@ -207,26 +265,60 @@ class LogBilinear:
                 logits -= top
             chosen = logits[np.arange(len(y)), y]
             out[first:first + SCORED] = chosen - np.log(np.exp(logits, out=logits).sum(1))
+        inside = np.flatnonzero(target > SYMBOLS)
+        inside = inside[np.argsort(symbol[inside], kind="stable")]
+        group = symbol[inside] - SYMBOLS
+        edges = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group))
+        for first, end in zip(edges[:-1], edges[1:], strict=True):
+            low, high = self.begin[group[first]], self.begin[group[first] + 1]
+            for at in range(first, end, SCORED):
+                some = inside[at:min(at + SCORED, end)]
+                logits = predicted[some] @ inner[low:high, :WIDTH].T + inner[low:high, WIDTH]
+                logits -= logits.max(1, keepdims=True)
+                out[some] += logits[np.arange(len(some)), target[some] - SYMBOLS - 1 - low] - np.log(np.exp(logits).sum(1))
         return out / np.log(10)
 
+    def change(self, start: LogBilinear, seen: int) -> Iterator[tuple]:
+        """(table, block, rows, change of each row, weight of each row) since `start`: all of the small tables, of the word tables what took part."""
+        for k, p in enumerate(self.params):
+            if k not in self.part:
+                yield k, 0, np.arange(1), (p - start.params[k]).reshape(1, -1), np.array([seen])
+                continue
+            met = np.flatnonzero(self.part[k])
+            for block in np.unique(met // BLOCK):
+                rows = met[met // BLOCK == block]
+                yield k, int(block), rows, p[rows] - start.params[k][rows], self.part[k][rows]
+
+    def add(self, k: int, rows: np.ndarray, change: np.ndarray) -> None:
+        if k in self.part:
+            self.params[k][rows] += change.reshape(len(rows), -1)
+        else:
+            self.params[k] += change.reshape(self.params[k].shape)
+
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _scatter(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    """Sums of rows by index."""
-    order = np.argsort(index.astype(np.int16), kind="stable")
+def _sums(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, first place of each in order, sums of rows by id)."""
+    order = np.argsort(index)
     ids = index[order]
     start = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    return ids[start], start, np.add.reduceat(rows[order], start, axis=0)
+
+
+def _scatter(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sums of rows by index."""
+    ids, _, sums = _sums(index, rows)
     out = np.zeros((size, rows.shape[1]), dtype=np.float32)
-    out[ids[start]] = np.add.reduceat(rows[order], start, axis=0)
+    out[ids] = sums
     return out
 
 
 def contexts(symbol: np.ndarray, row: np.ndarray) -> np.ndarray:
     """(tokens, CONTEXT): the symbols before each token, SYMBOLS where the text hasn't begun."""
-    out = np.full((len(symbol), CONTEXT), SYMBOLS, dtype=np.int16)
+    out = np.full((len(symbol), CONTEXT), SYMBOLS, dtype=np.int32)
     for i in range(1, min(CONTEXT, len(symbol) - 1) + 1):
         same = row[i:] == row[:-i]
         out[i:, i - 1][same] = symbol[:-i][same]
@@ -236,18 +328,21 @@ def contexts(symbol: np.ndarray, row: np.ndarray) -> np.ndarray:
 def fit(texts: DataFrame, vocab: Vocabulary, seed: int = 5) -> LogBilinear:
     """Train on the column `text`; `part` (0 to sum(ROUNDS) - 1) says which round a row belongs to.
 
-    A task starts from the last round's parameters and returns its own, weighted by its tokens. They are
-    summed in at most 64 tasks, so the driver gets 64 small rows a round however many tasks there are.
+    A task starts from the last round's parameters and returns what it changed, each row of a word table weighted
+    by how often it took part, the small tables by the task's tokens. Changes are averaged by blocks of rows, so
+    the driver gets the tables once a round however many tasks there are.
     """
-    model = LogBilinear(vocab.unigram, seed)
-    first = 0
+    model = LogBilinear(vocab.unigram, seed, vocab.begin)
+    spark, first = texts.sparkSession, 0
+    kind = "table int, block int, at binary, total binary, weight binary"
     for share in ROUNDS:
         rows = texts.where(F.col("part").between(first, first + share - 1)).select("text")
         first += share
+        shared = spark.sparkContext.broadcast((vocab, model))
 
-        def learn(batches: Iterator[pa.RecordBatch], start=model) -> Iterator[pa.RecordBatch]:
-            own = LogBilinear(vocab.unigram, seed)
-            own.load(start.flat())
+        def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            vocab, start = shared.value
+            own = start.copy()
             state = [np.full(p.shape, 1e-4, dtype=np.float32) for p in own.params]
             rng, seen = np.random.default_rng(seed), 0
             for b in batches:
@@ -257,27 +352,38 @@ def fit(texts: DataFrame, vocab: Vocabulary, seed: int = 5) -> LogBilinear:
                     own.train(contexts(y, r), y, state, rng)
                     seen += len(y)
             if seen:
-                yield _weighted(own.flat() * seen, seen)
+                for k, block, at, change, weight in own.change(start, seen):
+                    # half precision is ample for a change; sums take double
+                    yield _block(k, block, at.astype(np.int32), change.astype(np.float16), weight.astype(np.float32))
 
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, weight = 0.0, 0
+        def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[tuple, dict] = {}
             for b in batches:
-                for x, n in zip(b.column(0), b.column(1), strict=True):
-                    total, weight = total + np.frombuffer(x.as_py()), weight + n.as_py()
-            if weight:
-                yield _weighted(total, weight)
-
-        kind = "total binary, weight bigint"
-        sums = rows.mapInArrow(learn, kind).repartition(min(64, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(add, kind).collect()
-        if sums:
-            mean = sum(np.frombuffer(bytes(x)) for x, _ in sums) / sum(n for _, n in sums)
-            model = LogBilinear(vocab.unigram, seed)
-            model.load(mean)
+                for k, block, at, x, w in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                    w = np.frombuffer(w, np.float32).astype(np.float64)
+                    x = np.frombuffer(x, np.float16).reshape(len(w), -1)
+                    rows = np.frombuffer(at, np.int32) % BLOCK
+                    if (k, block) not in held:
+                        size = 1 if k not in (0, 4) else BLOCK
+                        held[k, block] = (np.zeros((size, x.shape[1])), np.zeros(size))
+                    total, weight = held[k, block]
+                    total[rows] += w[:, None] * x
+                    weight[rows] += w
+            for (k, block), (total, weight) in held.items():
+                met = np.flatnonzero(weight)
+                yield _block(k, block, (met + block * BLOCK).astype(np.int32), (total[met] / weight[met, None]).astype(np.float32), weight[met])
+
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        means = rows.mapInArrow(learn, kind).repartition(n, "table", "block").mapInArrow(mean, kind).select("table", "at", "total").collect()
+        model = model.copy()
+        for k, at, x in means:
+            model.add(k, np.frombuffer(bytes(at), np.int32), np.frombuffer(bytes(x), np.float32))
     return model
 
 
-def _weighted(total: np.ndarray, weight: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([weight], pa.int64())], names=["total", "weight"])
+def _block(k: int, block: int, at: np.ndarray, total: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
+    values = [pa.array([k], pa.int32()), pa.array([block], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (at, total, weight))]
+    return pa.RecordBatch.from_arrays(values, names=["table", "block", "at", "total", "weight"])
 
 
 def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,12 +411,13 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
                 h, c, r = tokens(data, at)
                 y = vocab.symbols(h, c)
                 part = model.log10(contexts(y, r), y, table)
-                part[y >= OWN] -= in_class[y[y >= OWN] - OWN]
+                rest = (y >= OWN) & (y < SYMBOLS)
+                part[rest] -= in_class[y[rest] - OWN]
                 found = np.minimum(np.searchsorted(vocab.hashes, h), max(len(vocab.hashes) - 1, 0))
                 head = vocab.hashes[found] == h if len(vocab.hashes) else np.zeros(len(h), bool)
                 log = np.zeros(len(h))
                 log[head] = np.log10(vocab.counts[found[head]] + 1.0)
-                part += np.where(y >= OWN, log, 0)
+                part += np.where(rest, log, 0)
                 bound = np.searchsorted(r[~head], np.arange(n + 1)).astype(np.int32)
                 tail = pa.ListArray.from_arrays(pa.array(bound), pa.array(h[~head].view(np.int64)))
                 add = lambda x: np.bincount(r, x, minlength=n)  # noqa: E731, B023

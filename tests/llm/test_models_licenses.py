@@ -88,3 +88,33 @@ def test_licences(spark):
     span = licenses.scan(df).where("doc_id = 8").first().matches[1]
     assert rows[7][1].encode()[span.start:span.end] == b"Released under the MIT License"
     assert licenses.scan(empty(spark)).count() == 0 and licenses.scan(nasty(spark)).count() == len(NASTY)
+
+
+def test_words_beyond_the_most_frequent_are_modelled(spark):
+    rng = np.random.default_rng(4)
+    names = [f"{a}{b}{c}word" for a in "bdfg" for b in "aeiou" for c in "klmnprst"]  # 160 words of one ending and length class
+    step = lambda: "".join(f"{names[i]} {names[(i + 1) % 160]} " for i in rng.integers(0, 160, 250))
+    docs = spark.createDataFrame([(i, step()) for i in range(160)], "doc_id bigint, text string").repartition(2)
+    counts = lm.count_words(docs.select("text"))
+    vocab = lm.vocabulary(counts)
+    assert len(vocab.own) == 161 and vocab.begin[-1] == 33 and vocab.class_words.sum() == 0  # the end and all words; not only 128
+    model = lm.fit(docs.selectExpr("text", "cast(doc_id % 16 as int) part"), vocab)
+    every = np.concatenate([np.arange(lm.SYMBOLS), np.arange(lm.SYMBOLS + 1, lm.SYMBOLS + 34)])
+    ctx = np.repeat(lm.contexts(vocab.own_symbol[5:8], np.zeros(3, np.int64))[2:], len(every), 0)
+    assert abs((10.0 ** model.log10(ctx, every, model.tables())).sum() - 1) < 1e-4
+    inside = np.arange(lm.SYMBOLS + 1, lm.SYMBOLS + 34)  # as context, words of groups differ from each other
+    one = np.full((33, lm.CONTEXT), lm.SYMBOLS, np.int32)
+    one[:, 0] = inside
+    assert len(np.unique(np.round(model.log10(one, np.full(33, 3), model.tables()), 6))) == 33
+
+
+def test_words_of_a_group_are_learned_from_their_context():
+    rng = np.random.default_rng(0)
+    y = lm.SYMBOLS + 1 + np.cumsum(rng.integers(1, 3, 60_000)) % 64  # all words lie in two groups
+    unigram = np.full(lm.SYMBOLS + 2, 1 / (lm.SYMBOLS + 2))
+    model = lm.LogBilinear(unigram, begin=np.array([0, 32, 64]))
+    ctx = lm.contexts(y, np.zeros(len(y), np.int64))
+    state = [np.full(p.shape, 1e-4, dtype=np.float32) for p in model.params]
+    for _ in range(4):
+        model.train(ctx, y, state, rng)
+    assert model.log10(ctx, y, model.tables()).mean() > np.log10(1 / 64) + 0.4
