@@ -118,3 +118,20 @@ def test_words_of_a_group_are_learned_from_their_context():
     for _ in range(4):
         model.train(ctx, y, state, rng)
     assert model.log10(ctx, y, model.tables()).mean() > np.log10(1 / 64) + 0.4
+
+
+def test_licences_inside_longer_lines(spark):
+    head = licenses.TEMPLATES[6][1]
+    wrapped = "\n".join("// " + x for x in re.findall(r".{1,60}(?:\s|$)", head))
+    code = "\n".join(f"int f{i}(int x) {{ return x * {i} + y{i}; }}" for i in range(12))
+    rows = [
+        (1, "Code is licensed under the MIT License."), (2, "All rights reserved. Released under the MIT License. See below."), (3, wrapped + "\n" + code), (4, "nothing to see"),
+        (5, "we like it. This work is licensed under the GNU General Public License, version 2. And more words, as Licensed under CC BY 4.0. too"),
+        (6, "released under the mit"), (7, "our text is released under the"), (8, "license of the work"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    found = {r.doc_id: r.matches for r in licenses.scan(df).collect()}
+    got = {k: [(m.license, m.kind) for m in v] for k, v in found.items()}
+    assert got[1] == got[2] == [("MIT", "window")] and got[3] == [("GPL-3.0", "window")] and got[4] == []
+    assert got[5] == [("GPL-2.0", "window"), ("CC-BY-4.0", "window")] and got[7] == got[8] == []
+    assert rows[1][1].encode()[found[2][0].start:found[2][0].end] == b"Released under the MIT License"
