@@ -1,13 +1,14 @@
 """Registered queries of the dealt operators."""
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracast.llm import decontaminate, embedding_dedup, licenses, linededup, lm, minhash, packing, quality, records, sharding
+from terracast.llm import collocations, decontaminate, embedding_dedup, licenses, linededup, lm, minhash, packing, quality, records, secret_ledger, sharding, spelling
 from terracast.llm.storage import reliable_cut, scratch_path, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +178,85 @@ sc as (select k, i, 2 * c::double / (a.n + b.n) dice from c join (select k, coun
 best as (select k, arg_min(i, (-dice, i)) i, max(dice) dice from sc where dice >= 0.85 group by k),
 found as (select u, count(*) n, string_agg(distinct name, ',' order by name) names, max(dice) dice from best join seg using (k) join tw using (i) group by u)
 select doc_id, coalesce(n, 0)::bigint n_matches, coalesce(names, '') licenses, dice best_dice from d left join found using (u)"""
+
+
+@query
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants of the words of seven letters or more that occur twice or more."""
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), drop_every=31)
+    return spelling.variants(words, ratio=10).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+# crc32 by a table made from its rule; a letter of a word has one byte below 128, else two
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end))"
+_BYTES = "flatten(list_transform(string_split(s, ''), lambda c: case when unicode(c) < 128 then [unicode(c)] else [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] end))"
+ORACLES["op11_spelling"] = f"""
+with recursive tab as materialized (select {_CRC_TABLE} t),
+runs as (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{{C0}}-\\x{{FF}}]{{7,}}')) w from documents),
+own as (select w, coalesce(doc_id::varchar, '') || ':' || w s, count(*) n from runs group by 1, 2),
+crc as (select w, n, xor(list_reduce(list_prepend(4294967295, {_BYTES}::bigint[]), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) h from own, tab),
+v as (select w, sum(n)::bigint n from (select case when h % 31 = 0 then left(w, (h % length(w))::int) || substr(w, (h % length(w))::int + 2) else w end w, n from crc) where length(w) >= 7 group by w having sum(n) >= 2),
+gap as (select w, n, p, left(w, p::int - 1) || substr(w, p::int + 1) g from (select w, n, unnest(range(1, length(w) + 1)) p from v)),
+near as (select distinct a, b from (
+  select x.w a, y.w b from gap x join gap y on x.g = y.g and x.p = y.p and x.w != y.w
+  union all select x.w, v.w from gap x join v on x.g = v.w union all select v.w, x.w from gap x join v on x.g = v.w)),
+best as (select a, count(*) n_near, arg_min(b, (-v.n, b)) b, max(v.n) bn from near join v on v.w = b group by a),
+form as (select v.w, v.n, coalesce(n_near, 0)::bigint n_near, case when bn >= 10 * v.n then b end form, case when bn >= 10 * v.n then bn end form_n from v left join best on a = w),
+path as (select w, w here, 0 k from v union all select path.w, form.form, k + 1 from path join form on form.w = path.here where form.form is not null)
+select form.w word, form, root, n, n_near, form_n from form join (select w, arg_max(here, k) root from path group by w) using (w)"""
+
+
+@query
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, by a ledger of blobs that starts empty."""
+    ledger = secret_ledger.Ledger(spark, scratch_path(spark, "secret-ledger"))
+    rows = secret_ledger.scan(table(spark, sf_dir, "documents"), ledger)
+    base = secret_ledger.of_kinds([r.kind for r in secret_ledger.BASE])
+    return rows.select(
+        "doc_id", *[F.size(secret_ledger.of_kinds([r.kind])).cast("long").alias(f"n_{r.kind}") for r in secret_ledger.BASE],
+        F.sha2(secret_ledger.listed(base), 256).alias("base_sha256"), secret_ledger.listed("spans").alias("spans"),
+    )
+
+
+def _spans_sql(place: int, rule: secret_ledger.Rule) -> str:
+    """Matches of a rule with their places: marks around them, and the lengths of the pieces between the marks."""
+    names, bracket, rest = rule.pattern.partition(")")
+    if rule.any_case:  # the names; the rest knows both cases
+        names = re.sub("[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", names)
+    pattern = names + bracket + rest
+    pattern = pattern.replace("'", "''")
+    return f"""select u, {place} place, '{rule.kind}' kind, pos s, pos + length(m) e from (
+select u, split_part(p[j], chr(57346), 1) m, list_sum(list_transform(p[:j - 1], lambda x: length(x))) - (j - 2) pos
+from (select u, p, unnest(range(2, len(p) + 1)) j from (select u, string_split(regexp_replace(t, '{pattern}', chr(57345) || '\\0' || chr(57346), 'g'), chr(57345)) p from d)))
+where length(regexp_extract(m, '{pattern}', {rule.group})) >= {rule.least}"""
+
+
+ORACLES["op12_secrets"] = f"""
+with d as (select row_number() over () u, doc_id, coalesce(text, '') t from documents),
+f as ({" union all ".join(_spans_sql(i, r) for i, r in enumerate(secret_ledger.RULES))}),
+o as (select u, count(*) filter (place = 0) n_assign, count(*) filter (place = 1) n_access, count(*) filter (place = 2) n_hex,
+      string_agg(kind || ':' || s::bigint || ':' || e::bigint, ',' order by s, place) filter (place < 3) base, string_agg(kind || ':' || s::bigint || ':' || e::bigint, ',' order by s, place) spans from f group by u)
+select doc_id, coalesce(n_assign, 0)::bigint n_assign, coalesce(n_access, 0)::bigint n_access, coalesce(n_hex, 0)::bigint n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans
+from d left join o using (u)"""
+
+
+@query
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_phrases"] = """
+with p as (select row_number() over () u, lang, piece from (select coalesce(lang, 'und') lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) piece from documents)),
+w as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') w from p),
+f as materialized (select lang, m, g, count(*) n from (select lang, m, array_to_string(list_slice(w, s, s + m - 1), ' ') g from (select lang, w, m, unnest(range(1, len(w) - m + 2)) s from w, (values (1), (2), (3)) v(m) where len(w) >= m)) group by all),
+total as (select lang, sum(n)::bigint n from f where m = 1 group by lang),
+c as materialized (select lang, m, g, n, string_split(g, ' ') w from f where m >= 2 and n >= 10),
+cut as (select lang, m, g, n a, k, array_to_string(list_slice(w, 1, k), ' ') g1, array_to_string(list_slice(w, k + 1, m), ' ') g2 from (select *, unnest(range(1, m)) k from c)),
+score as (select cut.lang, cut.m, cut.g, a, k, x.n l, y.n r, (1000000::hugeint * a * a) // (x.n::hugeint * y.n) score
+          from cut join f x on x.lang = cut.lang and x.g = g1 join f y on y.lang = cut.lang and y.g = g2),
+best as (select lang, m, g, a, arg_min({'l': l, 'r': r, 'score': score}, (score, k)) b from score group by all),
+longer as (select lang, g, max(n) n from (select lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) g, n from c where m = 3) group by all),
+kept as (select best.lang, best.g phrase, a, b.l, b.r, b.score::bigint score from best left join longer on longer.lang = best.lang and longer.g = best.g and best.m = 2 where longer.n is null or 100 * longer.n < 50 * a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) rank from kept)
+select lang, rank, phrase, a, l, r, n, score from ranked join total using (lang) where rank <= 2000"""
