@@ -11,17 +11,19 @@ travel as bit tables of fixed size (`BITS`), which let some others pass; the exa
 """
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terracast.llm import words as wd
 from terracast.llm.bits import BitTable
 from terracast.llm.joins import spread_join
-from terracast.llm.storage import reliable_cut
+from terracast.llm.storage import arrow_rows, reliable_cut
 
 SUPPORT = 10
 LONGEST = 3
@@ -30,8 +32,12 @@ INSIDE = 50
 TOP = 2000
 SCALE = 1_000_000
 BITS = 1 << 27
-RUN = 2_000_000
-FLUSH = 300_000
+#: bytes of text looked at together, and bytes whose counts are added up before they leave a task
+RUN = 500_000
+WINDOW = 3_000_000
+SOME = 50_000
+#: documents handed to a Python worker at once
+ROWS = 2_000
 
 # fixed values: pieces end at these bytes, words at blanks and at pieces' ends
 ENDS = np.zeros(256, dtype=bool)
@@ -88,8 +94,8 @@ def _count(known, longest: int):
     """Counts per language of the phrases that `known` may hold, by their words, and of all words (size 0)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, list] = {}
-        words: dict[str, int] = {}
+        window = _Window()
+        total: Counter = Counter()
         for b in batches:
             seeds, langs = b.column(1).to_numpy(), b.column(2).to_pylist()
             for lo, hi, data, at in wd.runs(b.column(0), RUN):
@@ -97,34 +103,59 @@ def _count(known, longest: int):
                 if not len(h):
                     continue
                 for row, n in enumerate(w.counts().tolist()):
-                    words[langs[lo + row]] = words.get(langs[lo + row], 0) + n
+                    total[langs[lo + row]] += n
                 seed = seeds[lo:hi].view(np.uint64)
+                window.open(w, langs[lo:hi])
                 for size in range(1, longest + 1):
                     first, key = _keys(h, piece, w.row, seed, size)
                     some = known.value.may_hold(key)
                     key, at_, n = np.unique(key[some], return_index=True, return_counts=True)
-                    first = first[some][at_]
-                    for k, i, m in zip(key.tolist(), first.tolist(), n.tolist(), strict=True):
-                        entry = total.get(k)
-                        if entry is None:
-                            parts = zip(w.start[i:i + size].tolist(), w.end[i:i + size].tolist(), strict=True)
-                            phrase = b" ".join(w.data[s:e].tobytes() for s, e in parts)
-                            total[k] = [langs[lo + int(w.row[i])], size, phrase.decode("utf-8", "replace"), m]
-                        else:
-                            entry[3] += m
-                if len(total) > FLUSH:
-                    yield _counted(total.values())
-                    total = {}
-        yield _counted(total.values())
-        yield _counted([lang, 0, "", n] for lang, n in words.items())
+                    window.add(key, n, first[some][at_], w.row, size)
+                if window.bytes > WINDOW:
+                    yield from window.close()
+        yield from window.close()
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([0] * len(total), pa.int32()), pa.array([""] * len(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["lang", "size", "phrase", "n"])
 
     return count
 
 
-def _counted(entries) -> pa.RecordBatch:
-    columns = list(zip(*entries, strict=True)) or [(), (), (), ()]
-    kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["lang", "size", "phrase", "n"])
+class _Window:
+    """Phrases of some runs of text, added up before they are written out as words."""
+
+    def __init__(self):
+        self.bytes = self.words = 0
+        self.texts, self.entries, self.langs = [], [], {}
+
+    def open(self, w: wd.Words, langs: list[str]) -> None:
+        self.base, self.codes = self.words, np.array([self.langs.setdefault(x, len(self.langs)) for x in langs], dtype=np.int32)
+        self.texts.append((w.data, (w.start + self.bytes).astype(np.int32), (w.end + self.bytes).astype(np.int32)))
+        self.bytes += len(w.data)
+        self.words += len(w.start)
+
+    def add(self, key: np.ndarray, n: np.ndarray, first: np.ndarray, row: np.ndarray, size: int) -> None:
+        self.entries.append((size, key, n.astype(np.int32), (first + self.base).astype(np.int32), self.codes[row[first]]))
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        """The sums, some phrases of one size at a time. The window is empty then."""
+        texts, entries, self.texts, self.entries, self.bytes, self.words = self.texts, self.entries, [], [], 0, 0
+        langs = pa.array(list(self.langs), pa.string())
+        data, start, end = (np.concatenate(x) for x in zip(*texts, strict=True)) if texts else (None,) * 3
+        for size in sorted({e[0] for e in entries}):
+            key, n, first, lang = (np.concatenate(x) for x in list(zip(*(e for e in entries if e[0] == size), strict=True))[1:])
+            _, at, same = np.unique(key, return_index=True, return_inverse=True)
+            total = np.zeros(len(at), dtype=np.int64)
+            np.add.at(total, same, n)
+            for i in range(0, len(at), SOME):
+                own = first[at[i:i + SOME]]
+                phrase = pc.binary_join_element_wise(*[_strings(data, start[own + k], end[own + k]) for k in range(size)], " ")
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang[at[i:i + SOME]])), pa.array(np.full(len(own), size, dtype=np.int32)), phrase, pa.array(total[i:i + SOME])], names=["lang", "size", "phrase", "n"])
+
+
+def _strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The bytes between the given places as strings."""
+    offsets = np.concatenate([[0], np.cumsum(end - start)])
+    at = np.arange(offsets[-1], dtype=np.int32) + np.repeat((start - offsets[:-1]).astype(np.int32), end - start)
+    return pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[at]))
 
 
 def phrase_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, support: int = SUPPORT, shards: int = SHARDS) -> DataFrame:
@@ -148,12 +179,14 @@ def phrase_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for level in (range(1, 3), *(range(s, s + 1) for s in range(3, longest + 1))):
         mined = dealt.mapInArrow(_mine(level, known), "hash bigint, shard int, support int, n int")
         mined = mined.groupBy("hash", "shard", "support").agg(F.sum("n").alias("n")).where("n >= support").select("hash")
-        mined = reliable_cut(mined.distinct(), "frequent")
+        with arrow_rows(spark, ROWS):
+            mined = reliable_cut(mined.distinct(), "frequent")
         frequent = mined if frequent is None else frequent.unionByName(mined)
         known = spark.sparkContext.broadcast(BitTable(frequent, BITS))
     counted = texts.select("text", "seed", "lang").mapInArrow(_count(known, longest), "lang string, size int, phrase string, n bigint")
     counted = counted.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= support) | (F.col("size") == 0))
-    return reliable_cut(counted, "phrases")
+    with arrow_rows(spark, ROWS):
+        return reliable_cut(counted, "phrases")
 
 
 def collocations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, support: int = SUPPORT, inside: int = INSIDE, top: int = TOP, shards: int = SHARDS) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +55,18 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs run inside hand at most `rows` rows at once to a Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def first_uid() -> int:
     """First of a task's row numbers. The rows must be written before a second use: a retry may number others so."""
     return TaskContext.get().partitionId() << 40
