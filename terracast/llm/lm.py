@@ -1,16 +1,17 @@
 """Language-model scoring with a log-bilinear network trained by noise-contrastive estimation.
 
 Tokens are blank-separated words, A-Z lower-cased, and an end for each text. Counts of all training words
-come from one shuffle. Every word seen `FLOOR` times or more has vectors of its own, as context and as target,
-so the tables grow with the counts. All words fall into `CLASSES` classes by their last bytes and length; the
-words of a class with vectors are cut, by falling count, into groups of about the square root of their number.
+come from one shuffle. The most frequent words, `GROWTH` times the square root of the training tokens if seen `FLOOR`
+times, have vectors of their own, as context and as target: the tables grow with the input, and more slowly than
+it. All words fall into `CLASSES` classes by their last bytes and length; the words with vectors, in order of class
+and falling count, are cut into groups of about the square root of their number.
 The network first predicts the most frequent words, the groups, and the rest of each class; then the word
 inside the group:
 
     P(word | context) = P(symbol | context) * P(word | symbol, context)
 
 The second factor is 1 for the most frequent words and a softmax over the words of a group. In the rest of a
-class, words below the floor, it is (count + 1) / (tokens of the rest + words of the rest + 1), with one share
+class, words without vectors, it is (count + 1) / (tokens of the rest + words of the rest + 1), with one share
 for all words not seen. The network is log-bilinear: position matrices map the vectors of the last `CONTEXT`
 words into a predicted vector, whose product with a target vector, plus a bias, is the score. Training tells
 true symbols from noise of the unigram distribution, and true words from noise in their group, in numpy, each
@@ -38,7 +39,8 @@ CONTEXT = 5
 WIDTH = 16
 NOISE = 24
 INSIDE = 6  # noise words of a group for each token
-FLOOR = 20  # words seen as often have vectors of their own
+GROWTH = 3  # words with vectors, as a multiple of the square root of the training tokens
+FLOOR = 20  # a word with vectors has been seen as often
 BLOCK = 4096  # rows of a table that tasks average together
 BATCH = 4096
 SCORED = 1024  # the logits of a batch stay in the processor's cache
@@ -72,7 +74,7 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 @dataclass
 class Vocabulary:
-    """What tasks need of the counts: the words from FLOOR on (the HEAD most frequent words at least), symbols, classes.
+    """What tasks need of the counts: the most frequent words, symbols, classes.
 
     Symbols: the most frequent words (below OWN), the rest of each class (below SYMBOLS), SYMBOLS for "before
     the text", then the words of the groups.
@@ -130,17 +132,17 @@ def _count_rows(h: np.ndarray, c: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """From the stored counts. The driver gets the words from FLOOR on (HEAD rows at least) and one row per class."""
+    """From the stored counts. The driver gets HEAD words, or those with vectors if they are more, and one row per class."""
     end = int(END.view(np.int64))
-    top = counts.where(F.col("n") >= FLOOR).toArrow()
-    if len(top) < HEAD:
-        top = counts.orderBy(F.desc("n"), "hash").limit(HEAD).toArrow()
+    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("hash") == end, F.col("n"))), F.lit(0))).first()
+    modelled = OWN + int(GROWTH * np.sqrt(sums[0]))
+    top = counts.orderBy(F.desc("n"), "hash").limit(max(HEAD, modelled)).toArrow()
     h, c, n = (top.column(k).to_numpy() for k in ("hash", "cls", "n"))
     order = np.lexsort((h, -n))
     h, c, n = h[order], c[order], n[order]
     h = h.view(np.uint64) if len(h) else np.zeros(0, np.uint64)
     words = np.flatnonzero(h != END)
-    words, more = words[: OWN - 1], words[OWN - 1:]
+    words, more = words[: OWN - 1], words[OWN - 1: modelled]
     more = more[n[more] >= FLOOR]
     more, begin = grouped(more, c[more])
     own = np.concatenate([[END], h[words], h[more]]).astype(np.uint64)
@@ -149,10 +151,9 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     tokens_in, words_in = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
     for k, a, b in by_class:
         tokens_in[k], words_in[k] = a, b
-    modelled = np.concatenate([words, more])
-    np.subtract.at(tokens_in, c[modelled], n[modelled])
-    np.subtract.at(words_in, c[modelled], 1)
-    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("hash") == end, F.col("n"))), F.lit(0))).first()
+    vectors = np.concatenate([words, more])
+    np.subtract.at(tokens_in, c[vectors], n[vectors])
+    np.subtract.at(words_in, c[vectors], 1)
     own_counts = np.concatenate([[sums[2]], n[words], np.zeros(OWN - 1 - len(words), np.int64)])
     in_groups = np.add.reduceat(n[more], begin[:-1]) if len(more) else np.zeros(0, np.int64)
     unigram = np.concatenate([own_counts, tokens_in, in_groups]) + 1.0
@@ -161,14 +162,9 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 
 def grouped(words: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words by group, first of each group and their number): words of one class in their order, about the square root of all in a group."""
+    """(words by group, first of each group and their number): the words in order of class, about the square root of all in a group."""
     size = max(32, int(np.ceil(np.sqrt(len(words)))))
-    order = np.argsort(classes, kind="stable")
-    at = np.arange(len(words))
-    ids = classes[order]
-    new = np.concatenate([[True], ids[1:] != ids[:-1]])[: len(words)]
-    first = np.maximum.accumulate(np.where(new, at, 0))
-    return words[order], np.append(np.flatnonzero((at - first) % size == 0), len(words))
+    return words[np.argsort(classes, kind="stable")], np.append(np.arange(0, len(words), size), len(words))
 
 
 class LogBilinear:
