@@ -1,56 +1,86 @@
-"""Exact order statistics without gathering a group into one task."""
+"""Exact order statistics by selection inside a sketched bracket.
+
+A mergeable quantile sketch per group gives, for each level, two values between which the wanted ranks must lie. One more
+pass counts the rows between the brackets, combined before the shuffle, and moves the rows inside a bracket only;
+prefix sums over the cells of a group say how many rows lie below each, and ranks run inside a bracket. The sketch
+decides how many rows move, never the result. No group is gathered, and no join is on the group alone.
+"""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from terracast.functions.single import attach_row
+from terracast.session import reliable_cut
 
-BUCKETS = 128
+#: the sketch's rank error is 1 / ACCURACY of the rows; a bracket reaches twice as far to both sides
+ACCURACY = 10_000
+#: groups up to this size are one bracket: there the reach would be less than two ranks
+SMALL = 2 * ACCURACY
+SALTS = 32
 
 
 def _doubles(values: list[float]) -> Column:
     return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
 
 
-def _ranked(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Distinct values with the ranks they cover: by..., value, _first, _last, _total (0-based).
+def _edges(df: DataFrame, value: str, by: list[str], levels: list[float], small: int, accuracy: int) -> DataFrame:
+    """by..., _lo and _hi: the ends of each level's bracket (NULL: open); both NULL for a small group."""
+    reach = 2.0 / accuracy
+    ends = lambda side: F.percentile_approx(value, _doubles([min(max(q + side * reach, 0.0), 1.0) for q in levels]), accuracy)
+    open_ = lambda name, shut: F.transform(name, lambda x, i: F.when(F.element_at(F.array(*[F.lit(s) for s in shut]), i + 1), x))
+    known = df.groupBy(*by).agg(F.count("*").alias("_n"), ends(-1).alias("_l"), ends(1).alias("_h"))
+    large = F.col("_n") > small
+    return known.select(*by, F.when(large, open_("_l", [q > reach for q in levels])).alias("_lo"), F.when(large, open_("_h", [q < 1 - reach for q in levels])).alias("_hi"))
+
+
+def _ranked(df: DataFrame, value: str, by: list[str], levels: list[float], targets: Callable[[Column], Column], small: int = SMALL, accuracy: int = ACCURACY) -> DataFrame:
+    """Distinct values of the cells that hold a target, with the ranks they cover: by..., value, _first, _last, _total (0-based).
 
-    Equal values are counted first, so a frequent value is one row. Values are then spread
-    over buckets cut at approximate quantiles, ranks run inside a bucket, and bucket offsets
-    are prefix sums over at most BUCKETS + 1 rows per group. The cuts only balance the work;
-    the ranks are exact whatever they are.
+    targets maps the row count of a group to its wanted ranks (an array of whole numbers), which lie within a rank or two of
+    `levels`; a rank outside its bracket is an error. Rows without a value, or with a NULL in a group column, are left out.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, _doubles([i / BUCKETS for i in range(1, BUCKETS)]), 1000).alias("_cuts"))
+    df = df.filter(F.col(value).isNotNull()).select(*by, value)
+    edges = _edges(df, value, by, levels, small, accuracy)
     if by:
-        bucketed = counts.join(cuts, by)
+        # stored, so that its size is known: a small table reaches the rows without moving them
+        edges = reliable_cut(edges, "brackets").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        placed = df.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int")).join(edges, [*by, "_salt"])
     else:
-        bucketed = attach_row(counts, cuts)
-    bucketed = bucketed.select(*by, value, "_n", F.size(F.filter("_cuts", lambda c: c < F.col(value))).alias("_bucket"))
-    sizes = bucketed.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_size"))
+        placed = attach_row(df, edges)
+    v = F.col(value)
+    # cells in order: between bracket ends, and each end by itself
+    ends = F.concat("_lo", "_hi")
+    below = F.size(F.filter(ends, lambda e: e < v)) + F.size(F.filter(ends, lambda e: e <= v))
+    inside = F.exists(F.arrays_zip("_lo", "_hi"), lambda b: F.coalesce(b["_lo"] <= v, F.lit(True)) & F.coalesce(v <= b["_hi"], F.lit(True)))
+    whole = F.col("_lo").isNull()
+    placed = placed.select(*by, F.when(whole, 0).otherwise(below).alias("_cell"), F.when(whole | inside, v).alias(value), (whole | inside).alias("_in"))
+    pieces = placed.groupBy(*by, "_cell", "_in", value).agg(F.count("*").alias("_n"))
+    # a cell's first rank: sums over a few cells per group
     over = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
-    sizes = sizes.select(
-        *by, "_bucket",
-        (F.sum("_size").over(over.orderBy("_bucket")) - F.col("_size")).alias("_before"),
-        F.sum("_size").over(over).alias("_total"),
-    )
-    run = F.sum("_n").over(W.partitionBy(*by, "_bucket").orderBy(value))
-    ranked = bucketed.withColumn("_run", run).join(sizes, [*by, "_bucket"])
-    return ranked.select(
-        *by, value, (F.col("_before") + F.col("_run") - F.col("_n")).alias("_first"),
-        (F.col("_before") + F.col("_run") - 1).alias("_last"), "_total",
+    cells = pieces.groupBy(*by, "_cell").agg(F.sum("_n").alias("_size"), F.every("_in").alias("_all"))
+    cells = cells.select(*by, "_cell", "_size", "_all", (F.sum("_size").over(over.orderBy("_cell")) - F.col("_size")).alias("_before"), F.sum("_size").over(over).alias("_total"))
+    wanted = F.exists(targets(F.col("_total")), lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_size")))
+    lost = F.raise_error(F.lit("a rank lies outside its bracket")).cast("boolean")
+    cells = cells.filter(F.when(wanted & ~F.col("_all"), lost).otherwise(wanted))
+    values = pieces.filter("_in").join(cells.select(*by, "_cell", "_before", "_total"), [*by, "_cell"])
+    run = F.sum("_n").over(W.partitionBy(*by, "_cell").orderBy(value))
+    return values.withColumn("_run", run).select(
+        *by, value, (F.col("_before") + F.col("_run") - F.col("_n")).alias("_first"), (F.col("_before") + F.col("_run") - 1).alias("_last"), "_total",
     )
 
 
-def quantile_rows(df: DataFrame, value: str, levels: list[float], by: list[str] = ()) -> DataFrame:
+def quantile_rows(df: DataFrame, value: str, levels: list[float], by: list[str] = (), small: int = SMALL, accuracy: int = ACCURACY) -> DataFrame:
     """Exact quantiles with linear interpolation: by..., level_no (0-based), quantile."""
     by = list(by)
-    ranked = _ranked(df, value, by)
-    targets = F.transform(_doubles(levels), lambda q, i: F.struct(i.alias("no"), (q * (F.col("_total") - 1)).alias("pos")))
+    places = lambda total: F.transform(_doubles(levels), lambda q, i: F.struct(i.alias("no"), (q * (total - 1)).alias("pos")))
+    ranks = lambda total: F.flatten(F.transform(places(total), lambda t: F.array(F.floor(t.pos), F.ceil(t.pos))))
+    ranked = _ranked(df, value, by, levels, ranks, small, accuracy)
     touches = lambda t: (F.floor(t.pos) <= F.col("_last")) & (F.ceil(t.pos) >= F.col("_first"))
-    rows = ranked.select(*by, value, "_first", "_last", F.explode(F.filter(targets, touches)).alias("t"))
+    rows = ranked.select(*by, value, "_first", "_last", F.explode(F.filter(places(F.col("_total")), touches)).alias("t"))
     lo, hi = F.floor("t.pos"), F.ceil("t.pos")
     pick = lambda at: F.max(F.when((at >= F.col("_first")) & (at <= F.col("_last")), F.col(value)))
     out = rows.groupBy(*by, F.col("t.no").alias("level_no"), F.col("t.pos").alias("_pos")).agg(pick(lo).alias("_lo"), pick(hi).alias("_hi"))
@@ -72,11 +102,9 @@ def quantile_array(df: DataFrame, value: str, levels: list[float], by: list[str]
     return rows.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("level_no", "quantile"))), lambda s: s["quantile"]).alias(name))
 
 
-def order_statistic(df: DataFrame, value: str, rank, by: list[str] = (), name: str = "value") -> DataFrame:
-    """The value at a 0-based rank; `rank` maps the group's row count (a column) to it."""
+def order_statistic(df: DataFrame, value: str, rank: Callable[[Column], Column], near: float, by: list[str] = (), name: str = "value", small: int = SMALL, accuracy: int = ACCURACY) -> DataFrame:
+    """The value at a 0-based rank; `rank` maps the group's row count (a column) to it, `near` is about that rank as a level."""
     by = list(by)
-    ranked = _ranked(df, value, by)
+    ranked = _ranked(df, value, by, [near], lambda total: F.array(rank(total).cast("long")), small, accuracy)
     r = rank(F.col("_total"))
     return ranked.filter((F.col("_first") <= r) & (r <= F.col("_last"))).select(*by, F.col(value).alias(name), F.col("_total").alias("n"))
-
-
