@@ -57,8 +57,10 @@ def _ranked(df: DataFrame, value: str, by: list[str], levels: list[float], targe
     below = F.size(F.filter(ends, lambda e: e < v)) + F.size(F.filter(ends, lambda e: e <= v))
     inside = F.exists(F.arrays_zip("_lo", "_hi"), lambda b: F.coalesce(b["_lo"] <= v, F.lit(True)) & F.coalesce(v <= b["_hi"], F.lit(True)))
     whole = F.col("_lo").isNull()
-    placed = placed.select(*by, F.when(whole, 0).otherwise(below).alias("_cell"), F.when(whole | inside, v).alias(value), (whole | inside).alias("_in"))
-    pieces = placed.groupBy(*by, "_cell", "_in", value).agg(F.count("*").alias("_n"))
+    placed = placed.select(*by, value, F.when(whole, 0).otherwise(below).alias("_cell"), (whole | inside).alias("_inside"))
+    placed = placed.select(*by, "_cell", "_inside", F.when(F.col("_inside"), v).alias("_v"))
+    # as an aggregate the mark isn't pushed below the shuffle, which the sums and the ranks then share
+    pieces = placed.groupBy(*by, "_cell", F.col("_v").alias(value)).agg(F.count("*").alias("_n"), F.bool_and("_inside").alias("_in"))
     # a cell's first rank: sums over a few cells per group
     over = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
     cells = pieces.groupBy(*by, "_cell").agg(F.sum("_n").alias("_size"), F.every("_in").alias("_all"))
