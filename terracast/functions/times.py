@@ -11,7 +11,6 @@ from terracast.functions.numbers import col
 # fixed values: accepted time formats are a date with - or /, optionally with HH:mm, HH:mm:ss or
 # HH:mm:ss.fraction after a space or T, then optionally Z or an offset (+HH:mm, +HHmm)
 TIME_PATTERN = r"^\d{4}([-/])\d{2}\1\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?( ?(Z|[+-]\d{2}:?\d{2}))?)?$"
-ZONE_PATTERN = r"(:\d{2}(?:\.\d+)?) ?(Z|[+-]\d{2}:?\d{2})$"
 # fixed value: mean year length behind the seasonal cycle
 YEAR_DAYS = 365.25
 
@@ -20,16 +19,26 @@ def parse_time(c) -> Column:
     """Text to zone-less timestamp; NULL when it has no accepted format.
 
     A time with an offset becomes the UTC time; one without is taken as it stands. One pattern test and
-    one cast: trying format after format costs an exception per miss.
+    one cast a value: trying format after format costs an exception per miss. A zone mark is told by its place
+    from the end, and only texts that carry one are cut and shifted.
     """
     text = F.trim(col(c).cast("string"))
-    plain = F.translate(F.regexp_replace(text, ZONE_PATTERN, "$1"), "/", "-")
-    full = F.when(F.length(plain) == 16, F.concat(plain, F.lit(":00"))).otherwise(plain)
-    time = full.try_cast("timestamp_ntz")
-    offset = F.translate(F.regexp_extract(text, ZONE_PATTERN, 2), "Z:", "")
-    minutes = F.substring(offset, 2, 2).try_cast("int") * 60 + F.substring(offset, 4, 2).try_cast("int")
-    shift = F.make_dt_interval(F.lit(0), F.lit(0), F.when(offset.startswith("-"), minutes).otherwise(-minutes), F.lit(0))
-    return F.when(text.rlike(TIME_PATTERN), F.when(offset == "", time).otherwise(time + shift))
+    sign = lambda at: F.substring(text, at, 1).isin("+", "-")
+    # digits of the zone mark; 16 characters are the longest time without seconds
+    zone = F.when(F.length(text) <= 16, 0).when(text.endswith("Z"), 1).when(sign(-6), 6).when(sign(-5), 5).otherwise(0)
+    return F.when(text.rlike(TIME_PATTERN), F.when(zone == 0, _plain(text)).otherwise(_shifted(text, zone)))
+
+
+def _plain(text: Column) -> Column:
+    dashed = F.translate(text, "/", "-")
+    return F.when(F.length(dashed) == 16, F.concat(dashed, F.lit(":00"))).otherwise(dashed).try_cast("timestamp_ntz")
+
+
+def _shifted(text: Column, zone: Column) -> Column:
+    minutes = F.when(zone == 1, 0).otherwise(text.substr(F.length(text) - zone + 2, F.lit(2)).try_cast("int") * 60 + F.substring(text, -2, 2).try_cast("int"))
+    east = text.substr(F.length(text) - zone + 1, F.lit(1)) == "+"
+    shift = F.make_dt_interval(F.lit(0), F.lit(0), F.when(east, -minutes).otherwise(minutes), F.lit(0))
+    return _plain(F.trim(text.substr(F.lit(1), F.length(text) - zone))) + shift
 
 
 def stamp(c) -> Column:

@@ -70,25 +70,36 @@ def bilinear(df: DataFrame, forecasts: DataFrame, lat: str = "latitude_obs", lon
     """
     c = F.col
     spots = axis_brackets(forecasts.select("latitude", "longitude").distinct(), df, lat, lon)
-    full = (c("x0") < c("x1")) & (c("y0") < c("y1"))
-    out = df.join(spots, [lat, lon], "left").withColumn("_full", F.coalesce(full, F.lit(False)))
-    value = {v: c(f"forecast_{v}") for v in VARS}
+    spots = spots.filter((c("x0") < c("x1")) & (c("y0") < c("y1")))
     if mode == "weights":
-        u, w = (c(lon) - c("x0")) / (c("x1") - c("x0")), (c(lat) - c("y0")) / (c("y1") - c("y0"))
-        corners = {"00": ("y0", "x0", (1 - u) * (1 - w)), "01": ("y0", "x1", u * (1 - w)), "10": ("y1", "x0", (1 - u) * w), "11": ("y1", "x1", u * w)}
-        fc = forecasts.select("valid_time", "lead_time_hours", *coordinate_key(), F.struct(*[f"forecast_{v}" for v in VARS]).alias("_f"))
-        for k, (y, x, _) in corners.items():
-            side = fc.withColumnsRenamed({"_f": f"_f{k}"})
-            keyed = out.withColumns({"_lat_key": F.round(c(y) * KEY_SCALE).cast("long"), "_lon_key": F.round(c(x) * KEY_SCALE).cast("long")})
-            out = keyed.join(side, ["valid_time", "lead_time_hours", "_lat_key", "_lon_key"], "left").drop("_lat_key", "_lon_key")
-        for k in corners:
-            out = out.withColumn("_full", c("_full") & c(f"_f{k}").isNotNull())
-        for v in VARS:
-            mixed = sum((wt * c(f"_f{k}.forecast_{v}") for k, (_, _, wt) in corners.items()), F.lit(0.0))
-            value[v] = F.when(c("_full"), mixed).otherwise(c(f"forecast_{v}"))
+        met = _weighted(spots, forecasts, lat, lon)
+        out = df.join(met, [lat, lon, "valid_time", "lead_time_hours"], "left")
+        value = {v: F.when(c("_full"), c(f"_m_{v}")).otherwise(c(f"forecast_{v}")) for v in VARS}
+    else:
+        out = df.join(spots.select(lat, lon, F.lit(True).alias("_full")), [lat, lon], "left")
+        value = {v: c(f"forecast_{v}") for v in VARS}
     out = out.withColumns({f"b1_{v}": half_even(value[v], 2) for v in VARS})
     out = out.withColumn("b1_status", F.when(c("_full"), "INTERPOLATED").otherwise("FALLBACK_B0"))
-    return out.drop("_full", "x0", "x1", "y0", "y1", "_f00", "_f01", "_f10", "_f11")
+    return out.drop("_full", *[f"_m_{v}" for v in VARS])
+
+
+def _weighted(spots: DataFrame, forecasts: DataFrame, lat: str, lon: str) -> DataFrame:
+    """Sparse product of the sites' corner weights with the forecasts: one join, then four terms per site, time and lead.
+
+    A site, time and lead for which a corner has no forecast is left out.
+    """
+    c = F.col
+    u, w = (c(lon) - c("x0")) / (c("x1") - c("x0")), (c(lat) - c("y0")) / (c("y1") - c("y0"))
+    corners = [("y0", "x0", (1 - u) * (1 - w)), ("y0", "x1", u * (1 - w)), ("y1", "x0", (1 - u) * w), ("y1", "x1", u * w)]
+    key = lambda k: F.round(c(k) * KEY_SCALE).cast("long")
+    parts = F.array(*[F.struct(F.lit(i).alias("k"), key(y).alias("_lat_key"), key(x).alias("_lon_key"), wt.alias("w")) for i, (y, x, wt) in enumerate(corners)])
+    weights = spots.select(lat, lon, F.explode(parts).alias("p")).select(lat, lon, "p.*")
+    fc = forecasts.select("valid_time", "lead_time_hours", *coordinate_key(), *[f"forecast_{v}" for v in VARS])
+    terms = weights.join(fc, ["_lat_key", "_lon_key"])
+    at = lambda v, i: F.max(F.when(c("k") == i, c("w") * c(f"forecast_{v}")))
+    met = terms.groupBy(lat, lon, "valid_time", "lead_time_hours").agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1), c("k"))).alias("_k"), *[sum((at(v, i) for i in range(4)), F.lit(0.0)).alias(f"_m_{v}") for v in VARS])
+    return met.filter(c("_k") == 15).drop("_k").withColumn("_full", F.lit(True))
 
 
 def lapse_rate(df: DataFrame, gamma: float = C.LAPSE_RATE) -> DataFrame:
@@ -110,13 +121,13 @@ def fit_quantile_map(train: DataFrame, sources: dict[str, str] = MAP_SOURCES, n:
     return arrays.agg(*[F.max(F.when(F.col("series") == c, F.col("q"))).alias(k) for k, c in series.items()])
 
 
-def quantile_map(df: DataFrame, sources: dict[str, str] = MAP_SOURCES, n: int = C.QUANTILE_LEVELS) -> DataFrame:
+def quantile_map(df: DataFrame, sources: dict[str, str] = MAP_SOURCES, n: int = C.QUANTILE_LEVELS, history: DataFrame | None = None) -> DataFrame:
     """B3: empirical quantile mapping fitted on TRAIN, applied to every row.
 
-    Without TRAIN rows the result is the source column itself. The fitted table is one row of
-    arrays of n numbers.
+    `history` holds the rows to fit on where they are at hand before df's later columns are worked out (else df
+    itself). Without TRAIN rows the result is the source column itself. The fitted table is one row of arrays of n numbers.
     """
-    fitted = fit_quantile_map(df.filter(F.col("split") == "TRAIN"), sources, n)
+    fitted = fit_quantile_map((df if history is None else history).filter(F.col("split") == "TRAIN"), sources, n)
     out = attach_row(df, fitted)
     for v, s in sources.items():
         out = interpolate(out, s, f"src_{v}", f"dst_{v}", "_m")
@@ -136,8 +147,7 @@ def residuals(df: DataFrame, rounding: bool = True) -> DataFrame:
 
 
 def ladder(df: DataFrame, forecasts: DataFrame | None = None) -> DataFrame:
-    """All baselines in order; B1 needs the full forecast table."""
-    out = coarse(df)
-    if forecasts is not None:
-        out = bilinear(out, forecasts)
-    return residuals(quantile_map(lapse_rate(out)))
+    """All baselines in order; B1 needs the full forecast table. The mapping is fitted before B1, which it doesn't need."""
+    history = lapse_rate(coarse(df))
+    out = bilinear(history, forecasts) if forecasts is not None else history
+    return residuals(quantile_map(out, history=history))

@@ -151,7 +151,8 @@ VIEWS: dict[str, str] = {
     "v_window": "select k.grid_id, p.r, p.c, p.z, p.cls from v_cellpix k join v_pixel p on p.r between k.pr-5 and k.pr+5 and p.c between k.pc-5 and k.pc+5",
     "v_fcday": f"""select idx, parent, date_trunc('day', valid_time)::timestamp as valid_time, lead, {fix('avg(forecast_temperature)', 2)} as forecast_temperature, {fix('avg(forecast_humidity)', 2)} as forecast_humidity, {fix('avg(forecast_rainfall)', 2)} as forecast_rainfall from v_fc group by 1, 2, 3, 4""",
     "v_testday": """select distinct strftime("timestamp",'%Y-%m-%d') as day from v_obs where "timestamp" > timestamp '2024-01-22 23:00:00'""",
-    "v_master": """select g.*, (cell_idx*13%1500)::double as elevation_mean, p.forecast_parent_id, p.distance_to_forecast_grid_m, a.panchayat_id, a.panchayat_name, a.block_name, a.district_name, a.assignment_mode from v_grid g join v_parent p using (grid_id) join v_assign a using (grid_id)""",
+    "v_master": f"""select g.*, t.elevation_mean, p.forecast_parent_id, p.distance_to_forecast_grid_m, a.panchayat_id, a.panchayat_name, a.block_name, a.district_name, a.assignment_mode from v_grid g join v_parent p using (grid_id) join v_assign a using (grid_id)
+      left join (select grid_id, {fix('avg(z)', 2)} as elevation_mean from v_window group by 1) t using (grid_id)""",
     "v_gridp": """select *, p1 as prob_1mm, p1*0.4e0 as prob_10mm, p1*p1 as prob_25mm from (select m.*, strftime(f.valid_time,'%Y-%m-%d') as observation_time, f.lead as lead_time_hours, f.forecast_temperature, f.forecast_humidity, f.forecast_rainfall,
       sin(2e0*pi()*dayofyear(f.valid_time)/365.25e0) as day_of_year_sin, cos(2e0*pi()*dayofyear(f.valid_time)/365.25e0) as day_of_year_cos, month(f.valid_time)::int as month, ((cell_idx*37+f.lead+day(f.valid_time)*11)%1000)/1000e0 as p1
       from v_master m join v_fcday f on f.parent=m.forecast_parent_id where strftime(f.valid_time,'%Y-%m-%d') in (select day from v_testday))""",
@@ -165,7 +166,7 @@ VIEWS: dict[str, str] = {
       left join (select panchayat_id, arg_min(panchayat_name, grid_id) as pn, arg_min(block_name, grid_id) as bn, arg_min(assignment_mode, grid_id) as assignment_mode, avg(latitude) as la, avg(longitude) as lo, avg(elevation_mean) as z, count(*) as n from v_master group by 1) m using (panchayat_id)""",
     "v_profst": f"""select panchayat_id, k.s as nearest_station_id, {fix('k.d', 2)} as nearest_station_distance_km from (select panchayat_id,
       min(struct_pack(d := {fix('sqrt(((p.latitude-s.latitude)*111e0)*((p.latitude-s.latitude)*111e0)+((p.longitude-s.longitude)*111e0*cos(radians(p.latitude)))*((p.longitude-s.longitude)*111e0*cos(radians(p.latitude))))', 6)}, s := s.station_id)) as k from v_profile p, v_station s group by 1)""",
-    "v_weather": """select station_id, strftime(observation_time,'%Y-%m-%d') as day, lead_time_hours, arg_max(ml_temperature, (observation_time, event_id)) as ml_temperature, arg_max(ml_humidity, (observation_time, event_id)) as ml_humidity, max(event_id) as n from v_int where ml_temperature is not null and ml_humidity is not null group by 1, 2, 3""",
+    "v_weather": """select station_id, strftime(observation_time,'%Y-%m-%d') as day, lead_time_hours, arg_max(ml_temperature, (observation_time, event_id)) as ml_temperature, arg_max(ml_humidity, (observation_time, event_id)) as ml_humidity, arg_max(ml_temperature between -10 and 60 and ml_humidity between 0 and 100, (observation_time, event_id)) as ok from v_int where ml_temperature is not null and ml_humidity is not null group by 1, 2, 3""",
 }
 
 

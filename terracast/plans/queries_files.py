@@ -7,6 +7,7 @@ from terracast import config as C
 from terracast.functions.times import lead_hours
 from terracast.operators import quality as Q
 from terracast.operators import spatial
+from terracast.plans import queries_space  # noqa: F401  (defines v_features)
 from terracast.plans import views as V
 from terracast.plans.queries_quality import _OBS_CHECKS, _QC5, _REPORT, RAW_COLS
 from terracast.plans.registry import query
@@ -61,14 +62,15 @@ def k01(spark, sf):
     return spark.read.parquet(path).select("event_id", F.col("temperature").try_cast("double").alias("temperature"), "qc_temperature", "qc_wind_speed")
 
 
-@query("k02_feature_family", "select unnest(['master','forecast_grid']) as part, unnest([count(*), count(*)]) as n, unnest([18, 3]) as n_columns, unnest([count(distinct grid_id), count(distinct grid_id)]) as n_keys from v_master")
+@query("k02_feature_family", """select unnest(['master','terrain','landcover','hydro','forecast_grid']) as part, unnest([n,n,n,n,n]) as n, unnest([40,15,9,2,3]) as n_columns, unnest([k,k,k,k,k]) as n_keys,
+    unnest([z,z,c,w,d]) as total from (select count(*) as n, count(distinct grid_id) as k, sum(elevation_mean) as z, sum(landcover_fraction_water) as c, sum(distance_to_nearest_water) as w, sum(distance_to_forecast_grid_m) as d from v_features)""", "total")
 def k02(spark, sf):
-    m = V.light_master(spark, sf)
-    paths = K.write_feature_family(m, scratch_path(spark, "features"))
+    paths = K.write_feature_family(V.master(spark, sf), scratch_path(spark, "features"))
+    sums = {"master": "elevation_mean", "terrain": "elevation_mean", "landcover": "landcover_fraction_water", "hydro": "distance_to_nearest_water", "forecast_grid": "distance_to_forecast_grid_m"}
     out = None
-    for part in ("master", "forecast_grid"):
+    for part, column in sums.items():
         t = spark.read.parquet(paths[part])
-        row = t.agg(F.count("*").alias("n"), F.count_distinct("grid_id").alias("n_keys")).select(F.lit(part).alias("part"), "n", F.lit(len(t.columns)).alias("n_columns"), "n_keys")
+        row = t.agg(F.count("*").alias("n"), F.count_distinct("grid_id").alias("n_keys"), F.sum(column).alias("total")).select(F.lit(part).alias("part"), "n", F.lit(len(t.columns)).alias("n_columns"), "n_keys", "total")
         out = row if out is None else out.unionByName(row)
     return out
 

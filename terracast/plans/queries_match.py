@@ -317,15 +317,16 @@ def g24(spark, sf):
     return M.matching_stats(V.matchups(spark, sf))
 
 
-@query("q15_matchup_suite", """select check_id, n_bad, case when n_bad > 0 then sev else 'OK' end as severity from (select unnest(
+@query("q15_matchup_suite", f"""select check_id, n_bad, case when n_bad > 0 then sev else 'OK' end as severity from (select unnest(
     ['A duplicate station/time/lead','B null observation time','C negative lead','D qc VALID','D qc SUSPICIOUS','D qc INVALID','E observation time differs from valid time','F valid before issue','G inputs known at issue time','H split overlap',
-     'I null station group','J null b0 temperature','J null b2 temperature','J null b3 temperature','K temperature outside -10..55','L humidity outside 0..100','M negative rain','N b0 differs from forecast','P mean b2 temperature','Q mapping fitted on TRAIN only']) as check_id,
-    unnest(['ERROR','ERROR','ERROR','INFO','INFO','INFO','ERROR','ERROR','INFO','ERROR','ERROR','ERROR','ERROR','ERROR','WARN','WARN','ERROR','ERROR','INFO','INFO']) as sev,
+     'I null station group','J null b0 temperature','J null b1 temperature','J null b2 temperature','J null b3 temperature','K temperature outside -10..55','L humidity outside 0..100','M negative rain','N b0 differs from forecast','O b1 INTERPOLATED','O b1 FALLBACK_B0','P mean b2 temperature','Q mapping fitted on TRAIN only']) as check_id,
+    unnest(['ERROR','ERROR','ERROR','INFO','INFO','INFO','ERROR','ERROR','INFO','ERROR','ERROR','ERROR','ERROR','ERROR','ERROR','WARN','WARN','ERROR','ERROR','INFO','INFO','INFO','INFO']) as sev,
     unnest([count(*)-count(distinct (station_id,observation_time,lead_time_hours)), count(*) filter (observation_time is null), count(*) filter (lead_time_hours<0), count(*) filter (qc_status='VALID'), count(*) filter (qc_status='SUSPICIOUS'), count(*) filter (qc_status='INVALID'),
      count(*) filter (observation_time is distinct from valid_time), count(*) filter (valid_time<forecast_issue_time), 0,
      cast(max(observation_time) filter (split='TRAIN') >= min(observation_time) filter (split='CALIBRATION') as bigint) + cast(max(observation_time) filter (split='CALIBRATION') >= min(observation_time) filter (split='TEST') as bigint),
-     count(*) filter (station_group is null), count(*) filter (b0_temperature is null), count(*) filter (b2_temperature is null), count(*) filter (b3_temperature is null),
+     count(*) filter (station_group is null), count(*) filter (b0_temperature is null), count(*) filter (b1_temperature is null), count(*) filter (b2_temperature is null), count(*) filter (b3_temperature is null),
      count(*) filter (observed_temperature < -10 or observed_temperature > 55), count(*) filter (observed_humidity<0 or observed_humidity>100), count(*) filter (observed_rainfall<0),
-     count(*) filter (abs(b0_temperature-forecast_temperature) > 1e-8), cast(round(avg(b2_temperature)) as bigint), 0]) as n_bad from v_int)""")
+     count(*) filter (abs(b0_temperature-forecast_temperature) > 1e-8), count(*) filter (b1_status='INTERPOLATED'), count(*) filter (b1_status='FALLBACK_B0'), cast(round(avg(b2_temperature)) as bigint), 0]) as n_bad
+     from v_int join ({_B1}) using (event_id, lead_time_hours))""")
 def q15(spark, sf):
-    return M.matchup_checks(V.intervals(spark, sf))
+    return M.matchup_checks(B.bilinear(V.intervals(spark, sf), V.standard_forecasts(spark, sf)))

@@ -9,6 +9,7 @@ from terracast.operators import evaluate as E
 from terracast.operators import models as M
 from terracast.operators import uncertainty as U
 from terracast.operators import villages as G
+from terracast.plans import queries_space  # noqa: F401  (defines v_features)
 from terracast.plans import views as V
 from terracast.plans.registry import query
 from terracast.session import scratch_path, stored_table
@@ -39,20 +40,23 @@ def _featured(spark, sf):
 
 @query("p08_overlap_pruned_join", "select event_id, lead_time_hours, grid_id, m.panchayat_id, g.elevation_mean from v_match m left join (select grid_id, elevation_mean from v_master) g using (grid_id)", "elevation_mean")
 def p08(spark, sf):
-    return M.join_features(V.matchups(spark, sf).select(*KEYS, "grid_id", "panchayat_id"), V.light_master(spark, sf)).select(*KEYS, "grid_id", "panchayat_id", "elevation_mean")
+    return M.join_features(V.matchups(spark, sf).select(*KEYS, "grid_id", "panchayat_id"), V.master(spark, sf)).select(*KEYS, "grid_id", "panchayat_id", "elevation_mean")
 
 
 @query("j04_feature_join", "select event_id, lead_time_hours, g.elevation_mean, g.distance_to_forecast_grid_m from v_match m left join (select grid_id, elevation_mean, distance_to_forecast_grid_m from v_master) g using (grid_id)", "elevation_mean distance_to_forecast_grid_m")
 def j04(spark, sf):
-    return M.join_features(V.matchups(spark, sf), V.light_master(spark, sf)).select(*KEYS, "elevation_mean", "distance_to_forecast_grid_m")
+    return M.join_features(V.matchups(spark, sf), V.master(spark, sf)).select(*KEYS, "elevation_mean", "distance_to_forecast_grid_m")
 
 
-@query("m02_feature_matrix", """select event_id, lead_time_hours, 10::int as n_features, forecast_temperature+forecast_humidity+forecast_rainfall+lead_time_hours+b2_temperature+g.elevation_mean+g.distance_to_forecast_grid_m
-    +sin(2e0*pi()*dayofyear(observation_time)/365.25e0)+cos(2e0*pi()*dayofyear(observation_time)/365.25e0)+month(observation_time) as total from v_match m join (select grid_id, elevation_mean, distance_to_forecast_grid_m from v_master) g using (grid_id)""", "total")
+_GEO = "+".join(f"g.{c}" for c in C.GEO_FEATURES)
+
+
+@query("m02_feature_matrix", f"""select event_id, lead_time_hours, 25::int as n_features, forecast_temperature+forecast_humidity+forecast_rainfall+lead_time_hours+b2_temperature+{_GEO}
+    +sin(2e0*pi()*dayofyear(observation_time)/365.25e0)+cos(2e0*pi()*dayofyear(observation_time)/365.25e0)+month(observation_time) as total from v_match m join v_features g using (grid_id)""", "total")
 def m02(spark, sf):
     from pyspark.ml import Pipeline
 
-    m = M.with_season(M.join_features(V.matchups(spark, sf), V.light_master(spark, sf)))
+    m = M.with_season(M.join_features(V.matchups(spark, sf), V.master(spark, sf)))
     feats = M.feature_list(m)
     d = M.with_inputs(m, feats)
     v = Pipeline(stages=M.assembler(feats)).fit(d).transform(d).withColumn("v", vector_to_array("features"))

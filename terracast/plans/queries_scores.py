@@ -44,7 +44,8 @@ def e02(spark, sf):
       from v_match join ({_B1}) using (event_id, lead_time_hours) join ({_B3T}) using (event_id, lead_time_hours) join ({_B3H}) using (event_id, lead_time_hours))) group by 1, 2""",
     "temp_mae temp_rmse temp_bias hum_mae hum_rmse hum_bias")
 def e04(spark, sf):
-    rows = B.quantile_map(B.bilinear(V.matchups(spark, sf), V.standard_forecasts(spark, sf)))
+    m = V.stored_matchups(spark, sf)
+    rows = B.quantile_map(B.bilinear(m, V.stored_forecasts(spark, sf)), history=m)
     return E.ladder_scores(rows, ["b0", "b1", "b2", "b3"], None)
 
 

@@ -60,7 +60,7 @@ def v02(spark, sf):
 
 @query("v01_village_profiles", "select * from v_profile join v_profst using (panchayat_id)", "latitude longitude elevation_mean area_sq_km nearest_station_distance_km")
 def v01(spark, sf):
-    return S.village_table(V.village_polygons(spark, sf), V.light_master(spark, sf), V.stations(spark, sf))
+    return S.village_table(V.village_polygons(spark, sf), V.master(spark, sf), V.stations(spark, sf))
 
 
 @query("v01_villages_from_predictions", "select distinct 'GP_'||lpad(cast(user_id%40 as varchar),4,'0') as panchayat_id, 'Panchayat GP_'||lpad(cast(user_id%40 as varchar),4,'0') as panchayat_name, 'Coimbatore' as block_name, 'Coimbatore' as district_name, 11e0 as latitude, 77e0 as longitude, 400e0 as elevation_mean from events", "latitude longitude elevation_mean")
@@ -122,7 +122,7 @@ def j18(spark, sf):
 def _map(spark, sf):
     rain = V.village_rain(spark, sf).filter("lead_time = 24")
     last = V.test_dates(spark, sf).agg(F.max("observation_time").alias("timestamp"))
-    villages = S.village_table(V.village_polygons(spark, sf), V.light_master(spark, sf))
+    villages = S.village_table(V.village_polygons(spark, sf), V.master(spark, sf))
     return S.map_table(villages, rain.join(F.broadcast(last), "timestamp"), "GP_0007")
 
 
@@ -132,14 +132,14 @@ def v08(spark, sf):
     return _map(spark, sf)
 
 
-_VIEW = """select v.panchayat_id, v."timestamp", v.lead_time, v.rain_probability_1mm, v.grid_cell_count, p.panchayat_name, s.nearest_station_id, w.ml_temperature, w.ml_humidity, w.n is not null as weather_valid, null::varchar as reliability_level
+_VIEW = """select v.panchayat_id, v."timestamp", v.lead_time, v.rain_probability_1mm, v.grid_cell_count, p.panchayat_name, s.nearest_station_id, w.ml_temperature, w.ml_humidity, coalesce(w.ok, false) as weather_valid, null::varchar as reliability_level
     from v_village v join v_profile p using (panchayat_id) join v_profst s using (panchayat_id) left join v_weather w on w.station_id=s.nearest_station_id and w.day=v."timestamp" and w.lead_time_hours=v.lead_time"""
 
 
 def _view(spark, sf):
-    villages = S.village_table(V.village_polygons(spark, sf), V.light_master(spark, sf), V.stations(spark, sf))
-    w = V.intervals(spark, sf).filter("ml_temperature is not null and ml_humidity is not null")
-    w = w.select("station_id", day_text("observation_time").alias("observation_date"), "lead_time_hours", "observation_time", "event_id", "ml_temperature", "ml_humidity").withColumn("is_valid", F.lit(True))
+    villages = S.village_table(V.village_polygons(spark, sf), V.master(spark, sf), V.stations(spark, sf))
+    w = S.weather_record(V.intervals(spark, sf)).filter("ml_temperature is not null and ml_humidity is not null")
+    w = w.select("station_id", day_text("observation_time").alias("observation_date"), "lead_time_hours", "observation_time", "event_id", "ml_temperature", "ml_humidity", "is_valid")
     latest = S.latest_per_key(w, ["station_id", "observation_date", "lead_time_hours"], ["observation_time", "event_id"])
     from terracast.sources.tables import text_schema
     from terracast.session import shared_dir

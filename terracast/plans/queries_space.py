@@ -11,7 +11,7 @@ from terracast.operators import raster as R
 from terracast.operators import spatial as S
 from terracast.operators import villages as G
 from terracast.plans import views as V
-from terracast.plans.oracle import even, fix, forward, inverse
+from terracast.plans.oracle import VIEWS, even, fix, forward, inverse
 from terracast.plans.registry import query
 from terracast.sources import geojson as J
 
@@ -213,6 +213,12 @@ _COVER = f"""select f.*, greatest(0e0, {even(f'1e0-({_SUM})', 4)}) as nodata_fra
 _FRACTIONS = " ".join(f"landcover_fraction_{n}" for n in C.LANDCOVER_FRACTIONS) + " nodata_fraction"
 
 
+# the master table with all feature families
+_DIGITS = {c: 4 if c in ("aspect_sin", "aspect_cos") else 2 for c in ("elevation_mean", "elevation_std", "elevation_min", "elevation_max", "elevation_range", "slope_mean", "slope_std", "slope_min", "slope_max", "aspect_sin", "aspect_cos", "aspect_mean", "tri_mean", "tri_std")}
+VIEWS["v_features"] = f"""select m.* exclude (elevation_mean), {", ".join(f"{fix('t.' + c, n)} as {c}" for c, n in _DIGITS.items())}, c.* exclude (grid_id), w.distance_to_nearest_water from v_master m
+      left join ({_TERR}) t using (grid_id) left join ({_COVER}) c using (grid_id) left join v_water w using (grid_id)"""
+
+
 @query("g16_class_fractions", _COVER, _FRACTIONS)
 def g16(spark, sf):
     cls = V.pixels(spark, sf).select("row", "col", F.col("cls").alias("value"))

@@ -263,24 +263,20 @@ def master(spark, sf) -> DataFrame:
     return stored_table(spark, (sf, "master"), lambda: fresh_master(spark, sf))
 
 
-def light_master(spark, sf) -> DataFrame:
-    """Stored grid cells with parent point, village and a height."""
-    return stored_table(spark, (sf, "light_master"), lambda: _light_master(spark, sf))
+def stored_matchups(spark, sf) -> DataFrame:
+    """The stored matchups that the baseline ladder reads."""
+    return stored_table(spark, (sf, "matchups"), lambda: matchups(spark, sf))
 
 
-def _light_master(spark, sf) -> DataFrame:
-    g = grid(spark, sf)
-    parents = spatial.nearest_forecast_point(g, point_registry(spark, sf)).select("grid_id", "forecast_parent_id", "distance_to_forecast_grid_m")
-    villages = spatial.assign_villages(g, shapes(spark, sf)).select("grid_id", "panchayat_id", "panchayat_name", "block_name", "district_name", "assignment_mode")
-    out = g.withColumn("elevation_mean", (F.col("cell_idx") * 13 % 1500).cast("double"))
-    return out.join(parents, "grid_id").join(villages, "grid_id")
+def stored_forecasts(spark, sf) -> DataFrame:
+    return stored_table(spark, (sf, "forecasts"), lambda: standard_forecasts(spark, sf))
 
 
 def grid_probabilities(spark, sf) -> DataFrame:
     """Every cell on every TEST date and lead with three probabilities."""
     from terracast.operators import villages
 
-    f = villages.grid_features(light_master(spark, sf), daily_forecasts(spark, sf), test_dates(spark, sf), point_registry(spark, sf))
+    f = villages.grid_features(master(spark, sf), daily_forecasts(spark, sf), test_dates(spark, sf), point_registry(spark, sf))
     p = ((F.col("cell_idx") * 37 + F.col("lead_time_hours") + F.dayofmonth(F.to_date("observation_time")) * 11) % 1000) / F.lit(1000.0)
     return f.withColumn("prob_1mm", p).withColumns({"prob_10mm": F.col("prob_1mm") * 0.4, "prob_25mm": F.col("prob_1mm") * F.col("prob_1mm")})
 
@@ -288,7 +284,7 @@ def grid_probabilities(spark, sf) -> DataFrame:
 def fresh_village_rain(spark, sf) -> DataFrame:
     from terracast.operators import villages
 
-    bound = villages.cells_per_village(light_master(spark, sf)).first()["max_cells"]
+    bound = villages.cells_per_village(master(spark, sf)).first()["max_cells"]
     return villages.village_rainfall(grid_probabilities(spark, sf), largest=bound)
 
 

@@ -60,14 +60,21 @@ def reliable_cut(df, label: str):
 _STORED: dict[tuple, str] = {}
 
 
+def file_marks(spark: SparkSession, folder: str) -> tuple:
+    """Name, size and time of every file in a folder: changes when its tables do."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+
+
 def stored_table(spark: SparkSession, key: tuple, build):
-    """A derived table that later steps read: built and written once per session, then read.
+    """A derived table that later steps read: built and written once per session and state of the folder key[0], then read.
 
     The stages of the pipeline hand over stored tables (grid, master, village forecasts), so
     a stage starts from files and not from the whole lineage before it. A table whose files
     are gone is built again.
     """
-    full = (spark.sparkContext.applicationId, *key)
+    full = (spark.sparkContext.applicationId, *key, file_marks(spark, key[0]))
     path = _STORED.get(full)
     if path:
         try:
