@@ -72,7 +72,8 @@ def bilinear(df: DataFrame, forecasts: DataFrame, lat: str = "latitude_obs", lon
     spots = axis_brackets(forecasts.select("latitude", "longitude").distinct(), df, lat, lon)
     spots = spots.filter((c("x0") < c("x1")) & (c("y0") < c("y1")))
     if mode == "weights":
-        met = _weighted(spots, forecasts, lat, lon)
+        asked = df.select(lat, lon, "valid_time", "lead_time_hours").distinct().join(spots, [lat, lon])
+        met = _weighted(asked, forecasts, lat, lon)
         out = df.join(met, [lat, lon, "valid_time", "lead_time_hours"], "left")
         value = {v: F.when(c("_full"), c(f"_m_{v}")).otherwise(c(f"forecast_{v}")) for v in VARS}
     else:
@@ -83,8 +84,8 @@ def bilinear(df: DataFrame, forecasts: DataFrame, lat: str = "latitude_obs", lon
     return out.drop("_full", *[f"_m_{v}" for v in VARS])
 
 
-def _weighted(spots: DataFrame, forecasts: DataFrame, lat: str, lon: str) -> DataFrame:
-    """Sparse product of the sites' corner weights with the forecasts: one join, then four terms per site, time and lead.
+def _weighted(asked: DataFrame, forecasts: DataFrame, lat: str, lon: str) -> DataFrame:
+    """Sparse product of corner weights with the forecasts: one join, then four terms per asked site, time and lead.
 
     A site, time and lead for which a corner has no forecast is left out.
     """
@@ -93,9 +94,9 @@ def _weighted(spots: DataFrame, forecasts: DataFrame, lat: str, lon: str) -> Dat
     corners = [("y0", "x0", (1 - u) * (1 - w)), ("y0", "x1", u * (1 - w)), ("y1", "x0", (1 - u) * w), ("y1", "x1", u * w)]
     key = lambda k: F.round(c(k) * KEY_SCALE).cast("long")
     parts = F.array(*[F.struct(F.lit(i).alias("k"), key(y).alias("_lat_key"), key(x).alias("_lon_key"), wt.alias("w")) for i, (y, x, wt) in enumerate(corners)])
-    weights = spots.select(lat, lon, F.explode(parts).alias("p")).select(lat, lon, "p.*")
+    weights = asked.select(lat, lon, "valid_time", "lead_time_hours", F.explode(parts).alias("p")).select(lat, lon, "valid_time", "lead_time_hours", "p.*")
     fc = forecasts.select("valid_time", "lead_time_hours", *coordinate_key(), *[f"forecast_{v}" for v in VARS])
-    terms = weights.join(fc, ["_lat_key", "_lon_key"])
+    terms = weights.join(fc, ["valid_time", "lead_time_hours", "_lat_key", "_lon_key"])
     at = lambda v, i: F.max(F.when(c("k") == i, c("w") * c(f"forecast_{v}")))
     met = terms.groupBy(lat, lon, "valid_time", "lead_time_hours").agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1), c("k"))).alias("_k"), *[sum((at(v, i) for i in range(4)), F.lit(0.0)).alias(f"_m_{v}") for v in VARS])

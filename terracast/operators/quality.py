@@ -174,8 +174,9 @@ def observation_checks(df: DataFrame, keep: list[str] = ()) -> DataFrame:
 def forecast_checks(df: DataFrame, keep: list[str] = ()) -> DataFrame:
     """Parseable times, valid before issue, negative and missing leads."""
     keep = list(keep)
-    issue, valid = parse_time("forecast_issue_time"), parse_time("valid_time")
-    lead = to_number("lead_time")
+    # parsed in a step of its own: each time is used three times
+    df = df.select(*keep, "forecast_issue_time", "valid_time", parse_time("forecast_issue_time").alias("_issue"), parse_time("valid_time").alias("_valid"), to_number("lead_time").alias("_lead"))
+    issue, valid, lead = F.col("_issue"), F.col("_valid"), F.col("_lead")
     agg = df.groupBy(*keep).agg(
         F.count_if(F.col("forecast_issue_time").isNotNull() & issue.isNull()).alias("bad_issue"),
         F.count_if(F.col("valid_time").isNotNull() & valid.isNull()).alias("bad_valid"),

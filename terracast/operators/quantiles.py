@@ -21,6 +21,7 @@ ACCURACY = 10_000
 #: groups up to this size are one bracket: there the reach would be less than two ranks
 SMALL = 2 * ACCURACY
 SALTS = 32
+BLOCK = 16
 
 
 def _doubles(values: list[float]) -> Column:
@@ -28,13 +29,22 @@ def _doubles(values: list[float]) -> Column:
 
 
 def _edges(df: DataFrame, value: str, by: list[str], levels: list[float], small: int, accuracy: int) -> DataFrame:
-    """by..., _lo and _hi: the ends of each level's bracket (NULL: open); both NULL for a small group."""
+    """by..., _ends (sorted ends of all brackets), _tops (each BLOCK-th of them), _keep (per cell: in a bracket); NULL for a small group.
+
+    Cells are numbered in order of value: 2k lies above k ends, 2k - 1 is the k-th end itself.
+    """
     reach = 2.0 / accuracy
     ends = lambda side: F.percentile_approx(value, _doubles([min(max(q + side * reach, 0.0), 1.0) for q in levels]), accuracy)
     open_ = lambda name, shut: F.transform(name, lambda x, i: F.when(F.element_at(F.array(*[F.lit(s) for s in shut]), i + 1), x))
     known = df.groupBy(*by).agg(F.count("*").alias("_n"), ends(-1).alias("_l"), ends(1).alias("_h"))
-    large = F.col("_n") > small
-    return known.select(*by, F.when(large, open_("_l", [q > reach for q in levels])).alias("_lo"), F.when(large, open_("_h", [q < 1 - reach for q in levels])).alias("_hi"))
+    known = known.select(*by, "_n", open_("_l", [q > reach for q in levels]).alias("_l"), open_("_h", [q < 1 - reach for q in levels]).alias("_h"))
+    known = known.withColumn("_ends", F.when(F.col("_n") > small, F.array_sort(F.array_distinct(F.array_compact(F.concat("_l", "_h"))))))
+    brackets = F.arrays_zip("_l", "_h")
+    # a cell reaches from its lower to its upper end (NULL: without end), one end being both
+    low, high = lambda c: F.get("_ends", F.floor((c + 1) / 2).cast("int") - 1), lambda c: F.get("_ends", F.floor(c / 2).cast("int"))
+    holds = lambda c: lambda k: (k["_l"].isNull() | F.coalesce(k["_l"] <= low(c), F.lit(False))) & (k["_h"].isNull() | F.coalesce(k["_h"] >= high(c), F.lit(False)))
+    keep = F.transform(F.sequence(F.lit(0), 2 * F.size("_ends")), lambda c: F.exists(brackets, holds(c)))
+    return known.select(*by, "_ends", F.filter("_ends", lambda e, i: (i + 1) % BLOCK == 0).alias("_tops"), F.when(F.col("_ends").isNotNull(), keep).alias("_keep"))
 
 
 def _ranked(df: DataFrame, value: str, by: list[str], levels: list[float], targets: Callable[[Column], Column], small: int = SMALL, accuracy: int = ACCURACY) -> DataFrame:
@@ -52,12 +62,13 @@ def _ranked(df: DataFrame, value: str, by: list[str], levels: list[float], targe
     else:
         placed = attach_row(df, edges)
     v = F.col(value)
-    # cells in order: between bracket ends, and each end by itself
-    ends = F.concat("_lo", "_hi")
-    below = F.size(F.filter(ends, lambda e: e < v)) + F.size(F.filter(ends, lambda e: e <= v))
-    inside = F.exists(F.arrays_zip("_lo", "_hi"), lambda b: F.coalesce(b["_lo"] <= v, F.lit(True)) & F.coalesce(v <= b["_hi"], F.lit(True)))
-    whole = F.col("_lo").isNull()
-    placed = placed.select(*by, value, F.when(whole, 0).otherwise(below).alias("_cell"), (whole | inside).alias("_inside"))
+    # ends at or below the value, in two short scans
+    at_most = lambda arr: F.size(F.filter(arr, lambda e: e <= v))
+    placed = placed.withColumn("_full", at_most("_tops"))
+    placed = placed.withColumn("_k", F.col("_full") * BLOCK + at_most(F.slice("_ends", F.col("_full") * BLOCK + 1, F.lit(BLOCK))))
+    cell = 2 * F.col("_k") - F.coalesce(F.get("_ends", F.col("_k") - 1) == v, F.lit(False)).cast("int")
+    placed = placed.select(*by, value, "_keep", F.when(F.col("_ends").isNull(), 0).otherwise(cell).alias("_cell"))
+    placed = placed.select(*by, value, "_cell", F.coalesce(F.get("_keep", "_cell"), F.lit(True)).alias("_inside"))
     placed = placed.select(*by, "_cell", "_inside", F.when(F.col("_inside"), v).alias("_v"))
     # as an aggregate the mark isn't pushed below the shuffle, which the sums and the ranks then share
     pieces = placed.groupBy(*by, "_cell", F.col("_v").alias(value)).agg(F.count("*").alias("_n"), F.bool_and("_inside").alias("_in"))
