@@ -13,15 +13,27 @@ from pyspark.sql import DataFrame, SparkSession
 from terracast.session import scratch_path
 
 _SHIPPED: set[str] = set()
-_TABLES: dict[str, list[str]] = {}
+_TABLES: dict[tuple[str, str], list[str]] = {}
+_OWNERS: list[str] = []
 
 
 def _own_path(spark: SparkSession, label: str) -> str:
     path = scratch_path(spark, label)
-    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if _OWNERS:
+        _TABLES.setdefault((spark.sparkContext.applicationId, _OWNERS[-1]), []).append(path)
     return path
 
 
+@contextmanager
+def owned_by(owner: str) -> Iterator[None]:
+    """Tables written inside belong to `owner`, who can delete them. Those of other callers are never on its list."""
+    _OWNERS.append(owner)
+    try:
+        yield
+    finally:
+        _OWNERS.pop()
+
+
 def reliable_cut(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read again: what follows starts from files."""
     spark = df.sparkSession
@@ -30,9 +42,9 @@ def reliable_cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_tables(spark: SparkSession) -> None:
-    """Delete the tables that the operators have written so far. Call it once their results are stored elsewhere."""
-    for path in _TABLES.pop(spark.sparkContext.applicationId, []):
+def drop_tables(spark: SparkSession, owner: str) -> None:
+    """Delete the tables written for `owner` so far. Call it once the results that read them are stored elsewhere."""
+    for path in _TABLES.pop((spark.sparkContext.applicationId, owner), []):
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 

@@ -4,7 +4,7 @@ import corpus_pipeline
 import pytest
 from helpers import NASTY, SCHEMA, empty, nasty
 
-from terracast.llm import packing
+from terracast.llm import minhash, packing
 from terracast.session import reliable_cut as stored
 
 SF = "/root/testdata/sf0.001"
@@ -21,6 +21,13 @@ def test_stages_on_odd_rows(spark, k):
     assert corpus_pipeline.STAGES[k][1](spark, empty(spark), SF).count() == 0
 
 
+def test_stages_leave_foreign_tables_alone(spark):
+    lazy = minhash.near_duplicates(nasty(spark), shingle=4, percent=80)
+    kept = stored(corpus_pipeline.keep_one_of_near_copies(spark, nasty(spark), SF), "stage")
+    corpus_pipeline.drop_contaminated(spark, kept, SF).count()
+    assert lazy.count() == len(NASTY)
+
+
 def test_near_copies_keep_one_row_each(spark):
     out = corpus_pipeline.keep_one_of_near_copies(spark, nasty(spark), SF).collect()
     assert sum((r.text or "").startswith("one two three four") for r in out) == 1
