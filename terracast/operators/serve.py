@@ -175,6 +175,14 @@ def rain_timeline(rain: DataFrame) -> DataFrame:
     return rain.groupBy("panchayat_id", "lead_time").agg(F.array_sort(F.collect_list(pair)).alias("series"))
 
 
+def available_leads(rain: DataFrame | None, weather: DataFrame | None = None) -> DataFrame:
+    """Sorted distinct lead times in hours: rain table, else weather table, else the fixed ones."""
+    for df, c in ((rain, "lead_time"), (weather, "lead_time_hours")):
+        if df is not None:
+            return df.select(F.col(c).cast("int").alias("lead_time")).where("lead_time is not null").distinct().orderBy("lead_time")
+    return SparkSession.active().range(1).select(F.explode(F.array(*[F.lit(h) for h in C.LEADS])).alias("lead_time"))
+
+
 def available_dates(rain: DataFrame | None, weather: DataFrame | None = None) -> DataFrame:
     """Sorted distinct dates: rain table, else weather table, else the default."""
     for df, c in ((rain, "timestamp"), (weather, "observation_time")):

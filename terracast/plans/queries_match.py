@@ -11,7 +11,7 @@ from terracast.operators import matchup as M
 from terracast.operators import models, quantiles, serve, spatial
 from terracast.operators import uncertainty as U
 from terracast.plans import views as V
-from terracast.plans.oracle import clip, even, stamp
+from terracast.plans.oracle import VIEWS, clip, even, stamp
 from terracast.plans.registry import query
 
 KEY = "event_id, lead_time_hours"
@@ -209,7 +209,10 @@ def b08(spark, sf):
     return U.conformal_correction(rows, "score", ["variable"])
 
 
-@query("b09_interval_widening", f"select {KEY}, q10_temperature - q.correction as q10_temperature_cal, q90_temperature + q.correction as q90_temperature_cal from v_int, (with one as materialized ({_corr('temperature')}) select * from one) q", "q10_temperature_cal q90_temperature_cal")
+VIEWS["v_corr"] = _corr("temperature")
+
+
+@query("b09_interval_widening", f"select {KEY}, q10_temperature - q.correction as q10_temperature_cal, q90_temperature + q.correction as q90_temperature_cal from v_int cross join v_corr q", "q10_temperature_cal q90_temperature_cal")
 def b09(spark, sf):
     out = U.widen(V.intervals(spark, sf), correction(spark, sf, "temperature"), "q10_temperature", "q90_temperature")
     return keyed(out, "q10_temperature_cal", "q90_temperature_cal")

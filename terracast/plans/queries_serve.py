@@ -174,6 +174,16 @@ def v09(spark, sf):
     return S.available_dates(V.village_rain(spark, sf))
 
 
+@query("v09_lead_times", "select distinct lead_time::int as lead_time from v_village")
+def v09leads(spark, sf):
+    return S.available_leads(V.village_rain(spark, sf))
+
+
+@query("v09_leads_from_weather", "select distinct lead_time_hours::int as lead_time from v_match")
+def v09leads_weather(spark, sf):
+    return S.available_leads(None, V.matchups(spark, sf))
+
+
 @query("v09_dates_from_weather", f"select distinct {stamp('observation_time')} as date from v_match")
 def v09w(spark, sf):
     return S.available_dates(None, V.matchups(spark, sf))

@@ -395,3 +395,12 @@ def test_model_invariants(spark):
     pr = col(models.RainModel("logistic", ["a", "b"], "e").fit(df).transform(df, "p"), "p")
     assert all(0.0 <= v <= 1.0 for v in pr)
     assert len(list(itertools.islice(models.seeded_sample(df, ["k"], 50).collect(), 60))) == 50
+
+
+def test_lead_times_fall_back(spark):
+    from terracast.operators import serve
+
+    rain = spark.createDataFrame([(48,), (24,), (48,), (None,)], "lead_time int")
+    weather = spark.createDataFrame([(72,)], "lead_time_hours int")
+    leads = lambda *t: [r.lead_time for r in serve.available_leads(*t).collect()]
+    assert (leads(rain, weather), leads(None, weather), leads(None)) == ([24, 48], [72], [24, 48, 72])
