@@ -54,6 +54,27 @@ def on_edge(px, py, edges) -> Column:
     return F.exists(col(edges), hit)
 
 
+def path_crossings(px, py, corner_x, corner_y, edges) -> Column:
+    """Edges crossed on the way from a point right to x = corner_x and from there down to the corner.
+
+    Both ways stay in the tile whose lower right corner it is, so the edges that touch the tile are enough: with the
+    corner's own parity this is the even-odd test of `inside` without the rest of the ring.
+    """
+    px, py, cx, cy = (col(k) for k in (px, py, corner_x, corner_y))
+    meet = lambda a, b, c, d, t: (d - b) * (t - a) / F.nullif(c - a, F.lit(0.0)) + b
+
+    def right(s):
+        x = meet(s.y1, s.x1, s.y2, s.x2, py)
+        return ((s.y1 > py) != (s.y2 > py)) & (px < x) & (x <= cx)
+
+    def down(s):
+        y = meet(s.x1, s.y1, s.x2, s.y2, cx)
+        return ((s.x1 > cx) != (s.x2 > cx)) & (cy < y) & (y <= py)
+
+    e = col(edges)
+    return F.size(F.filter(e, right)) + F.size(F.filter(e, down))
+
+
 def segment_distance(px, py, x1, y1, x2, y2) -> Column:
     """Distance from a point to a segment."""
     px, py, x1, y1, x2, y2 = (col(k) for k in (px, py, x1, y1, x2, y2))

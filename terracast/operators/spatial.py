@@ -6,6 +6,8 @@ construction (a pyramid level k holds at most 16^k tiles).
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -14,13 +16,17 @@ from terracast import config as C
 from terracast.functions.geodesy import ZONE_43N, MetricZone, project_points, unproject_points
 from terracast.functions.numbers import half_even, settle
 from terracast.functions.single import attach_row
-from terracast.functions.shapes import area_centroid, box_of, inside, on_edge, segment_distance
+from terracast.functions.shapes import area_centroid, box_of, inside, on_edge, path_crossings, segment_distance
 from terracast.session import reliable_cut
 
 FAN = 4                 # children per axis and level
 BROADCAST_LEVELS = 3    # level 3 holds at most 4,096 tiles
 ITEMS_PER_TILE = 16
 MAX_DEPTH = 12
+EDGES_PER_TILE = 16
+SPLITS = 6              # a shape's tiles are cut into 16 this often at most
+CUT_LEVELS = 2          # levels of the cover halve a tile's side, so a cut into 16 goes down two
+COVER_DEPTH = 24
 KEY_SCALE = 10_000_000  # of coordinate keys: 1e-7 degrees
 
 
@@ -127,16 +133,21 @@ def _tile_layout(items: DataFrame) -> tuple[float, float, float, int] | None:
     return x0, y0, root, depth
 
 
-def _gap2(q: tuple, n: tuple) -> Column:
+def _same(y1: Column, y2: Column) -> tuple[Column, Column]:
+    """Horizontal scale of the plane."""
+    return F.lit(1.0), F.lit(1.0)
+
+
+def _gap2(q: tuple, n: tuple, x_scale=_same) -> Column:
     """Squared smallest distance between two boxes."""
-    dx = F.greatest(F.lit(0.0), n[0] - q[2], q[0] - n[2])
+    dx = F.greatest(F.lit(0.0), n[0] - q[2], q[0] - n[2]) * x_scale(q[1], q[3])[0]
     dy = F.greatest(F.lit(0.0), n[1] - q[3], q[1] - n[3])
     return dx * dx + dy * dy
 
 
-def _reach2(q: tuple, n: tuple) -> Column:
+def _reach2(q: tuple, n: tuple, x_scale=_same) -> Column:
     """Squared largest distance between two boxes."""
-    dx = F.greatest(F.abs(n[2] - q[0]), F.abs(q[2] - n[0]))
+    dx = F.greatest(F.abs(n[2] - q[0]), F.abs(q[2] - n[0])) * x_scale(q[1], q[3])[1]
     dy = F.greatest(F.abs(n[3] - q[1]), F.abs(q[3] - n[1]))
     return dx * dx + dy * dy
 
@@ -147,7 +158,7 @@ def _box(prefix: str) -> tuple:
 
 def nearest_join(
     queries: DataFrame, items: DataFrame, qx: str, qy: str, item_box: tuple[str, str, str, str],
-    distance: Column, order: list[str], payload: list[str], out: str = "distance",
+    distance: Column, order: list[str], payload: list[str], out: str = "distance", x_scale=_same,
 ) -> DataFrame:
     """Every query row with the payload of its nearest item; ties go to the lowest `order`.
 
@@ -155,7 +166,8 @@ def nearest_join(
     columns. Exact for any layout: query points are grouped by tile, each tile walks down a
     pyramid of item tiles and keeps those whose smallest distance does not exceed the
     smallest guaranteed one, and only the survivors are compared point by point. The
-    nearest item is found once per distinct query coordinate.
+    nearest item is found once per distinct query coordinate. Where x counts for less than y, x_scale gives the least
+    and greatest share for a range of query y; `distance` may carry a constant factor.
     """
     item_cols = sorted(set(order) | set(payload) | set(item_box))
     items = items.select(*item_cols, *[F.col(c).alias(n) for c, n in zip(item_box, ("_x1", "_y1", "_x2", "_y2"))])
@@ -192,12 +204,12 @@ def nearest_join(
         else:
             nodes = levels[k].withColumns({"_px": _up("_tx", "_px"), "_py": _up("_ty", "_py")})
             walk = walk.join(F.broadcast(nodes) if k <= BROADCAST_LEVELS else nodes, ["_px", "_py"])
-        walk = walk.withColumns({"_lb": _gap2(_box("_q"), _box("_")), "_ub": _reach2(_box("_q"), _box("_"))})
+        walk = walk.withColumns({"_lb": _gap2(_box("_q"), _box("_"), x_scale), "_ub": _reach2(_box("_q"), _box("_"), x_scale)})
         walk = walk.withColumn("_best", F.min("_ub").over(per_tile)).filter(F.col("_lb") <= F.col("_best") * (1 + 1e-9) + 1e-9)
         walk = walk.select(*q_cols, F.col("_tx").alias("_px"), F.col("_ty").alias("_py"))
 
     near = walk.join(items.drop("_mx", "_my").withColumnsRenamed({"_tx": "_px", "_ty": "_py"}), ["_px", "_py"])
-    near = near.withColumns({"_lb": _gap2(_box("_q"), _box("_")), "_ub": _reach2(_box("_q"), _box("_"))})
+    near = near.withColumns({"_lb": _gap2(_box("_q"), _box("_"), x_scale), "_ub": _reach2(_box("_q"), _box("_"), x_scale)})
     near = near.withColumn("_best", F.min("_ub").over(per_tile)).filter(F.col("_lb") <= F.col("_best") * (1 + 1e-9) + 1e-9)
     near = near.select("_qx", "_qy", *item_cols)
 
@@ -244,34 +256,18 @@ def nearest_station(villages: DataFrame, stations: DataFrame) -> DataFrame:
 
 
 def _nearest_scaled(villages: DataFrame, stations: DataFrame, distance: Column) -> DataFrame:
-    """Exact nearest under d = 111 * hypot(dlat, dlon * cos(lat)), for |lat| < 90.
-
-    The station nearest in plain degrees gives a radius that holds the true nearest one;
-    every station in the box of that radius is then compared, met by tile.
-    """
+    """Exact nearest under d = 111 * hypot(dlat, dlon * cos(lat)), for |lat| < 90: one walk with bounds of that metric."""
     c = F.col
-    spots = villages.select("latitude", "longitude").distinct()
     st = stations.select(c("station_id").alias("_sid"), c("latitude").alias("_sla"), c("longitude").alias("_slo"))
     st = st.groupBy("_sla", "_slo").agg(F.min("_sid").alias("_sid"))
-    # upper bound: the station nearest in plain degrees; its true distance bounds the search radius
-    seed = nearest_join(
-        spots, st, "longitude", "latitude", ("_slo", "_sla", "_slo", "_sla"), plane_distance("longitude", "latitude", "_slo", "_sla"),
-        ["_sid"], ["_sid", "_slo", "_sla"], "_deg",
-    )
-    seed = seed.withColumn("_r", distance * (1 + 1e-9) + 1e-9).select("latitude", "longitude", "_r")
-    seed = seed.withColumns({"_ry": c("_r") / 111.0, "_rx": c("_r") / (111.0 * F.cos(F.radians("latitude")))})
-    size = seed.agg(F.avg(F.greatest("_rx", "_ry"))).first()[0] or 1.0
-    size = max(size * 2.0, 1e-6)
-    key = lambda v: F.floor(v / F.lit(size)).cast("long")
-    spread = seed.select(
-        "latitude", "longitude", "_rx", "_ry",
-        F.explode(F.sequence(key(c("longitude") - c("_rx")), key(c("longitude") + c("_rx")))).alias("_tx"),
-    ).select("*", F.explode(F.sequence(key(c("latitude") - c("_ry")), key(c("latitude") + c("_ry")))).alias("_ty"))
-    cand = spread.join(st.withColumns({"_tx": key(c("_slo")), "_ty": key(c("_sla"))}), ["_tx", "_ty"])
-    cand = cand.filter((F.abs(c("_slo") - c("longitude")) <= c("_rx")) & (F.abs(c("_sla") - c("latitude")) <= c("_ry")))
-    best = cand.groupBy("latitude", "longitude").agg(F.min(F.struct(settle(distance, 6).alias("d"), "_sid")).alias("k"))
-    best = best.select("latitude", "longitude", c("k._sid").alias("nearest_station_id"), settle("k.d", 2).alias("nearest_station_distance_km"))
-    return villages.join(best, ["latitude", "longitude"], "left")
+    best = nearest_join(villages, st, "longitude", "latitude", ("_slo", "_sla", "_slo", "_sla"), distance, ["_sid"], ["_sid"], "_km", x_scale=_degree_shrink)
+    return best.withColumnsRenamed({"_sid": "nearest_station_id"}).withColumn("nearest_station_distance_km", settle("_km", 2)).drop("_km")
+
+
+def _degree_shrink(y1: Column, y2: Column) -> tuple[Column, Column]:
+    """Least and greatest length of a degree of longitude between two latitudes, in degrees of latitude."""
+    far, near = F.greatest(F.abs(y1), F.abs(y2)), F.when(y1 * y2 <= 0, F.lit(0.0)).otherwise(F.least(F.abs(y1), F.abs(y2)))
+    return F.cos(F.radians(far)), F.cos(F.radians(near))
 
 
 # ---------------------------------------------------------------- polygons
@@ -279,23 +275,102 @@ def polygon_boxes(shapes: DataFrame, edges: str = "edges") -> DataFrame:
     return shapes.withColumns({f"_b{k}": v for k, v in box_of(edges).items()})
 
 
+def _touching(edges: Column, x: Column, y: Column, side: Column, slack: float) -> Column:
+    """Edges that touch a tile; a hair of slack keeps those on its border."""
+    return F.filter(edges, lambda s: (
+        (F.greatest(s.x1, s.x2) >= x - slack) & (F.least(s.x1, s.x2) <= x + side + slack)
+        & (F.greatest(s.y1, s.y2) >= y - slack) & (F.least(s.y1, s.y2) <= y + side + slack)
+        & ~_passes_by(s, x - slack, y - slack, x + side + slack, y + side + slack)
+    ))
+
+
+def _passes_by(s: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """All corners of a box lie on one side of the edge's line."""
+    turn = lambda x, y: (s.x2 - s.x1) * (y - s.y1) - (s.y2 - s.y1) * (x - s.x1)
+    corners = [turn(x, y) for x in (x1, x2) for y in (y1, y2)]
+    return (F.least(*corners) > 0) | (F.greatest(*corners) < 0)
+
+
+def quad_cover(shapes: DataFrame, order: str, payload: list[str], frame: tuple[float, float, float], longest: int, edges: str = "edges") -> DataFrame:
+    """Tiles that cover each shape: rows of `order`, payload, the shape's box, _level, _tx, _ty, _odd and _edges.
+
+    A shape starts on the level whose tiles are about as large as its box, on four tiles at most, whatever the
+    size of other shapes. A tile with more than `EDGES_PER_TILE` edges is cut into 16, `SPLITS` times at most (past that a
+    tile keeps all its edges, which is slower and still right). Each tile carries the edges that touch it and
+    the parity of its lower right corner, passed down from the tile above. A tile without edges lies wholly inside
+    (kept, no edges) or outside (dropped). Everything is a row of its own: no shuffle, and no ring travels
+    beyond its first tiles. frame is (x0, y0, root side), longest the most edges of a shape: a ring spread evenly over its
+    tiles needs one cut for each factor of `FAN`, and one more is made for uneven rings.
+    """
+    c, (x0, y0, root) = F.col, frame
+    slack = (abs(x0) + abs(y0) + root) * 1e-14  # some roundings of a coordinate
+    rest = [p for p in payload if p != order]
+    boxed = polygon_boxes(shapes.select(order, c(edges).alias("_edges"), *rest), "_edges")
+    extent = F.greatest(c("_bx2") - c("_bx1"), c("_by2") - c("_by1"), F.lit(root / 2.0**COVER_DEPTH))
+    level = F.least(F.greatest(F.floor(F.log2(F.lit(root) / extent)), F.lit(0)), F.lit(COVER_DEPTH)).cast("int")
+    side = lambda k: F.lit(root) / F.pow(F.lit(2.0), k)
+    key = lambda v, o: F.floor((v - F.lit(o)) / side(c("_level"))).cast("long")
+    tiles = boxed.where(c("_bx1").isNotNull()).withColumn("_level", level)
+    tiles = tiles.select("*", F.explode(F.sequence(key(c("_bx1"), x0), key(c("_bx2"), x0))).alias("_tx"))
+    tiles = tiles.select("*", F.explode(F.sequence(key(c("_by1"), y0), key(c("_by2"), y0))).alias("_ty"))
+    at = lambda: (F.lit(x0) + c("_tx") * side(c("_level")), F.lit(y0) + c("_ty") * side(c("_level")), side(c("_level")))
+    place = ["_level", "_tx", "_ty"]
+    held = [order, *rest, "_bx1", "_by1", "_bx2", "_by2"]
+    tiles = tiles.withColumns(dict(zip(("_x", "_y", "_s"), at())))
+    odd = inside(c("_x") + c("_s"), "_y", "_edges")
+    tiles = tiles.select(*held, *place, odd.alias("_odd"), _touching(c("_edges"), c("_x"), c("_y"), c("_s"), slack).alias("_edges"))
+
+    def settled(t: DataFrame) -> DataFrame:
+        return t.where((F.size("_edges") > 0) | c("_odd"))
+
+    tiles = settled(tiles)
+    cuts = 0 if longest <= EDGES_PER_TILE else min(SPLITS, 1 + math.ceil(math.log(longest / EDGES_PER_TILE, FAN)))
+    for _ in range(cuts):
+        full = F.size("_edges") > EDGES_PER_TILE
+        part = F.when(full, F.sequence(F.lit(0), F.lit(FAN * FAN - 1))).otherwise(F.array(F.lit(-1)))
+        tiles = tiles.withColumns({"_px": F.lit(x0) + (c("_tx") + 1) * side(c("_level")), "_py": F.lit(y0) + c("_ty") * side(c("_level"))})
+        tiles = tiles.select("*", F.explode(part).alias("_k"))
+        cut = c("_k") >= 0
+        tiles = tiles.withColumns({
+            "_level": F.when(cut, c("_level") + CUT_LEVELS).otherwise(c("_level")),
+            "_tx": F.when(cut, c("_tx") * FAN + c("_k") % FAN).otherwise(c("_tx")),
+            "_ty": F.when(cut, c("_ty") * FAN + F.floor(c("_k") / FAN)).otherwise(c("_ty")),
+        })
+        tiles = tiles.withColumns(dict(zip(("_x", "_y", "_s"), at())))
+        steps = path_crossings(c("_x") + c("_s"), "_y", "_px", "_py", "_edges")
+        tiles = tiles.withColumns({
+            "_odd": F.when(cut, c("_odd") != (steps % 2 == 1)).otherwise(c("_odd")),
+            "_local": F.when(cut, _touching(c("_edges"), c("_x"), c("_y"), c("_s"), slack)).otherwise(c("_edges")),
+        })
+        tiles = settled(tiles.select(*held, *place, "_odd", c("_local").alias("_edges")))
+    return tiles
+
+
 def point_in_polygon(points: DataFrame, shapes: DataFrame, px: str, py: str, order: str, payload: list[str], edges: str = "edges") -> DataFrame:
     """Inner join of points with the first shape (lowest `order`) that contains or touches them.
 
-    Shapes are listed under the tiles their box covers, points under their own tile.
+    Shapes are listed under the tiles of their quad cover, points under their tile of every level the cover
+    uses (a driver-side list of at most `COVER_DEPTH + CUT_LEVELS * SPLITS + 1` numbers). A point is tested against the edges of one tile only.
     """
-    boxed = polygon_boxes(shapes.select(order, edges, *[p for p in payload if p != order]), edges)
-    size = boxed.agg(F.avg(F.greatest(F.col("_bx2") - F.col("_bx1"), F.col("_by2") - F.col("_by1")))).first()[0]
-    size = max(size or 1.0, 1e-9)
-    key = lambda v: F.floor(v / F.lit(size)).cast("long")
     c = F.col
-    listed = boxed.select("*", F.explode(F.sequence(key(c("_bx1")), key(c("_bx2")))).alias("_tx"))
-    listed = listed.select("*", F.explode(F.sequence(key(c("_by1")), key(c("_by2")))).alias("_ty"))
-    spots = points.select(px, py).distinct().withColumns({"_tx": key(c(px)), "_ty": key(c(py))})
-    hit = spots.join(listed, ["_tx", "_ty"]).filter(
-        c(px).between(c("_bx1"), c("_bx2")) & c(py).between(c("_by1"), c("_by2"))
-    ).filter(inside(px, py, edges) | on_edge(px, py, edges))
     rest = [p for p in payload if p != order]
+    box = polygon_boxes(shapes.select(edges), edges).agg(F.min("_bx1"), F.min("_by1"), F.max("_bx2"), F.max("_by2"), F.max(F.size(edges))).first()
+    if box[0] is None:
+        return points.join(shapes.select(*payload).limit(0), F.lit(False))
+    # tile lines at odd places: the frame begins a little outside the layer, by no round share of it
+    span = max(box[2] - box[0], box[3] - box[1], 1e-9)
+    frame = (box[0] - span * 0.00271828, box[1] - span * 0.00314159, span * 1.00618034)
+    cover = reliable_cut(quad_cover(shapes, order, payload, frame, box[4], edges), "quad-cover")
+    x0, y0, root = frame
+    levels = sorted(r[0] for r in cover.select("_level").distinct().collect())
+    key = lambda v, o, k: F.floor((c(v) - F.lit(o)) / F.lit(root / 2.0**k)).cast("long")
+    spots = points.select(px, py).distinct().where(c(px).between(box[0], box[2]) & c(py).between(box[1], box[3]))
+    under = F.array(*[F.struct(F.lit(k).alias("_level"), key(px, x0, k).alias("_tx"), key(py, y0, k).alias("_ty")) for k in levels])
+    spots = spots.select(px, py, F.inline(under))
+    side = F.lit(root) / F.pow(F.lit(2.0), c("_level"))
+    met = spots.join(cover, ["_level", "_tx", "_ty"]).where(c(px).between(c("_bx1"), c("_bx2")) & c(py).between(c("_by1"), c("_by2")))
+    steps = path_crossings(px, py, F.lit(x0) + (c("_tx") + 1) * side, F.lit(y0) + c("_ty") * side, "_edges")
+    hit = met.where((c("_odd") != (steps % 2 == 1)) | on_edge(px, py, "_edges"))
     first = hit.groupBy(px, py).agg(F.min(F.struct(order, *rest)).alias("k"))
     first = first.select(px, py, *[c(f"k.{p}").alias(p) for p in payload])
     return points.join(first, [px, py])
