@@ -5,6 +5,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from terracast import config as C
+from terracast.operators import attribution as A
 from terracast.operators import evaluate as E
 from terracast.operators import models as M
 from terracast.operators import uncertainty as U
@@ -162,6 +163,25 @@ def m10p(spark, sf):
     return M.permutation_importance(model, f.filter("split = 'TEST'"), feats, "temperature", "b2_temperature", KEYS)
 
 
+@query("m10_shapley_attribution")
+def m10s(spark, sf):
+    """Mean absolute Shapley value of each input over the TEST rows."""
+    f, feats, model = _residual(spark, sf)
+    return A.mean_attribution(A.attributions(model, f.filter("split = 'TEST'"), feats, KEYS), feats)
+
+
+@query("m10_shapley_sums", "select count(*) as n_rows, 0::bigint as n_off from v_match where split = 'TEST'")
+def m10sum(spark, sf):
+    """Rows whose attributions don't add up to the prediction less the mean prediction: none."""
+    f, feats, model = _residual(spark, sf)
+    test = f.filter("split = 'TEST'")
+    told = M.predict_residual(model, test, feats, "temperature", "b2_temperature").select(*KEYS, "predicted_temperature_residual")
+    both = A.attributions(model, test, feats, KEYS).join(told, KEYS, "left")
+    total = F.col("base") + F.aggregate("shap", F.lit(0.0), lambda a, v: a + v)
+    right = F.coalesce(F.abs(total - F.col("predicted_temperature_residual")) < 1e-6, F.lit(False))
+    return both.agg(F.count("*").alias("n_rows"), F.count_if(~right).alias("n_off"))
+
+
 @query("m11_ablation")
 def m11(spark, sf):
     return M.ablation(featured(spark, sf), "temperature")

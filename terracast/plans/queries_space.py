@@ -13,6 +13,8 @@ from terracast.operators import villages as G
 from terracast.plans import views as V
 from terracast.plans.oracle import VIEWS, even, fix, forward, inverse
 from terracast.plans.registry import query
+from terracast.session import scratch_path
+from terracast.sources.raster import header_report, read_raster, write_raster
 from terracast.sources import geojson as J
 
 GRID_COLS = "centroid_x centroid_y latitude longitude min_x min_y max_x max_y"
@@ -142,9 +144,32 @@ def q12(spark, sf):
 
 
 # ---------------------------------------------------------------- raster
+def _stored_raster(spark, sf, headed=True):
+    """The pixels as a stored raster, with its box in the header or without one."""
+    path = scratch_path(spark, "raster")
+    px = V.pixels(spark, sf)
+    return write_raster(px, path, V.RASTER_BOX, "EPSG:4326", -9999.0) if headed else write_raster(px, path)
+
+
 @query("s05_raster_scan", "select r as \"row\", c as \"col\", z as value from v_pixel", "value")
 def s05(spark, sf):
-    return V.pixels(spark, sf).select("row", "col", "value")
+    return read_raster(spark, _stored_raster(spark, sf)).select("row", "col", "value")
+
+
+@query("s05_raster_window", """select r as "row", c as "col", z as value from v_pixel, (select max(r)+1 as h, max(c)+1 as w from v_pixel)
+    where r between floor((11.40-11.00)/((11.40-10.20)/h)) and floor((11.40-10.70)/((11.40-10.20)/h)) and c between floor((76.80-76.60)/((77.30-76.60)/w)) and floor((77.05-76.60)/((77.30-76.60)/w))""", "value")
+def s05w(spark, sf):
+    """Pixels under a box: tiles and rows outside of it are not read."""
+    box = {"min_lon": 76.80, "max_lon": 77.05, "min_lat": 10.70, "max_lat": 11.00}
+    return read_raster(spark, _stored_raster(spark, sf), box).select("row", "col", "value")
+
+
+@query("s05_raster_headers", """select *, (77.30e0-76.60e0)/n_cols as lon_step, (11.40e0-10.20e0)/n_rows as lat_step, 'EPSG:4326' as crs from
+    (select (max(r)+1)::bigint as n_rows, (max(c)+1)::bigint as n_cols from v_pixel), (select unnest(['header','fallback']) as box_source)""", "lon_step lat_step")
+def s05h(spark, sf):
+    """A raster that brings its box and one that doesn't: size, steps and the source of the box."""
+    rows = [header_report(spark, _stored_raster(spark, sf, headed)) for headed in (True, False)]
+    return rows[0].unionByName(rows[1]).select("n_rows", "n_cols", "box_source", "lon_step", "lat_step", "crs")
 
 
 @query("w03_neighbourhood", "select r as \"row\", c as \"col\", w[1] as nw, w[2] as n, w[3] as ne, w[4] as w, w[5] as z, w[6] as e, w[7] as sw, w[8] as s, w[9] as se from v_near9", "nw n ne w z e sw s se")
