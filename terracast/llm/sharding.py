@@ -7,6 +7,8 @@ again. Every assignment that meets the sizes is equally likely, and sizes differ
 """
 from __future__ import annotations
 
+from math import exp, lgamma, log, log1p
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from terracast.llm.storage import free_name
 
 BLOCK_ROWS = 50_000
 MAX_BLOCKS = 100_000
+NUMPY_POOL = 1_000_000_000  # numpy draws from smaller pools only
 
 
 def communication_matrix(block_sizes: list[int], shards: int, seed: int) -> np.ndarray:
@@ -38,15 +41,44 @@ def communication_matrix(block_sizes: list[int], shards: int, seed: int) -> np.n
 
 
 def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """One hypergeometric draw; beyond numpy's range of a thousand million the pool is halved first."""
-    if good + bad < 1_000_000_000:
+    """One hypergeometric draw: good ones among n of good + bad."""
+    if good + bad < NUMPY_POOL:
         return int(rng.hypergeometric(good, bad, n))
-    first_good, first_bad = good // 2, bad // 2
-    # how many of the n lie in the first half of the pool: near normal at this size, kept in its exact range
-    half, pool = first_good + first_bad, good + bad
-    mean, var = n * half / pool, n * (half / pool) * (1 - half / pool) * (pool - n) / (pool - 1)
-    k = int(min(max(round(rng.normal(mean, max(var, 0) ** 0.5)), n - (pool - half), 0), n, half))
-    return _draw(rng, first_good, first_bad, k) + _draw(rng, good - first_good, bad - first_bad, n - k)
+    return rejection_draw(rng, good, bad, n)
+
+
+def rejection_draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """The same draw for pools of any size: rejection under the hat that every log-concave law on the integers has (Devroye 1987).
+
+    The hat is flat about the mode and falls off exponentially; a value x is accepted with p(x) / p(mode) against it, so
+    the law is the hypergeometric one. The hat's height may be too low but not too high, hence the tenth taken off.
+    """
+    least, most = max(0, n - bad), min(good, n)
+    if least == most:
+        return least
+    mode = min(max((n + 1) * (good + 1) // (good + bad + 2), least), most)
+    chance = lambda a, k: lgamma(a + 1) - lgamma(k + 1) - lgamma(a - k + 1)
+    height = min(0.9 * exp(min(chance(good, mode) + chance(bad, n - mode) - chance(good + bad, n), 0.0)), 1.0)
+    width = 1 + height / 2
+    while True:
+        u, v, w = rng.random(3)
+        y = (v * width if u <= width / (1 + width) else width - log(1.0 - v)) / height
+        x = mode + (-1 if rng.random() < 0.5 else 1) * round(y)
+        if least <= x <= most and w * min(1.0, exp(min(width - height * y, 0.0))) <= exp(min(_log_ratio(good, bad, n, mode, x), 0.0)):
+            return x
+
+
+def _log_ratio(good: int, bad: int, n: int, m: int, x: int) -> float:
+    """log p(x) / p(m): of each factorial only its change."""
+    d = x - m
+    return -(_log_step(m + 1, d) + _log_step(good - m + 1, -d) + _log_step(n - m + 1, -d) + _log_step(bad - n + m + 1, d))
+
+
+def _log_step(a: int, d: int) -> float:
+    """log gamma(a + d) - log gamma(a); by Stirling's series where both are large, as their difference would lose the last digits."""
+    if min(a, a + d) < 10_000:
+        return lgamma(a + d) - lgamma(a)
+    return (a + d - 0.5) * log1p(d / a) + d * (log(a) - 1.0) + (1 / (a + d) - 1 / a) / 12
 
 
 def shuffle_into_shards(df: DataFrame, shards: int = 24, seed: int = 7, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -88,3 +88,33 @@ def test_shards_are_exact_and_shuffled(spark):
     big = spark.range(6000)
     order = [r.id for r in sharding.shuffle_into_shards(big, 3, block_rows=500).orderBy("shard", "slot").collect()]
     assert abs(np.corrcoef(order, range(6000))[0, 1]) < 0.06
+
+
+def test_rejection_draws_follow_the_hypergeometric_law():
+    from math import comb
+
+    rng = np.random.default_rng(11)
+    for good, bad, n in [(30, 50, 20), (3, 900, 40), (500, 5, 60), (20_000, 30_000, 90)]:
+        draws = np.array([sharding.rejection_draw(rng, good, bad, n) for _ in range(20_000)])
+        law = {k: comb(good, k) * comb(bad, n - k) / comb(good + bad, n) for k in range(max(0, n - bad), min(good, n) + 1)}
+        likely = [k for k, p in law.items() if p * len(draws) >= 20]
+        chi2 = sum(((draws == k).sum() - law[k] * len(draws)) ** 2 / (law[k] * len(draws)) for k in likely)
+        assert chi2 < len(likely) + 5 * (2 * len(likely)) ** 0.5
+        assert set(draws) <= set(law)
+
+
+def test_draws_from_pools_beyond_numpy():
+    rng = np.random.default_rng(12)
+    for good, bad, n in [(10**11, 23 * 10**11, 50_000), (4 * 10**8, 10**10, 10**9), (2 * 10**9, 5, 10**9), (7, 10**12, 100)]:
+        pool = good + bad
+        draws = np.array([sharding._draw(rng, good, bad, n) for _ in range(3000)], dtype=float)
+        mean, var = n * good / pool, n * (good / pool) * (bad / pool) * (pool - n) / (pool - 1)
+        assert abs(draws.mean() - mean) <= 5 * (var / len(draws)) ** 0.5 + 1e-9
+        assert abs(draws.var() - var) <= 0.15 * var + 1e-2
+        assert draws.min() >= max(0, n - bad) and draws.max() <= min(good, n)
+
+
+def test_matrix_of_very_large_blocks_keeps_its_margins():
+    sizes = [3 * 10**9 + k for k in range(5)]
+    m = sharding.communication_matrix(sizes, 24, 1)
+    assert m.sum(axis=1).tolist() == sizes and m.sum(axis=0).max() - m.sum(axis=0).min() <= 1
