@@ -36,7 +36,7 @@ def featured(spark, sf):
 
 def _featured(spark, sf):
     m = M.with_season(M.join_features(V.matchups(spark, sf), V.master(spark, sf)))
-    return E.rain_labels(m).withColumn("y_temperature", F.col("observed_temperature") - F.col("b2_temperature"))
+    return E.rain_labels(m).withColumns({f"y_{v}": F.col(f"observed_{v}") - F.col(f"b2_{v}") for v in ("temperature", "humidity")})
 
 
 @query("p08_overlap_pruned_join", "select event_id, lead_time_hours, grid_id, m.panchayat_id, g.elevation_mean from v_match m left join (select grid_id, elevation_mean from v_master) g using (grid_id)", "elevation_mean")
@@ -82,10 +82,10 @@ def q21(spark, sf):
     return row.withColumn("forbidden", F.col("feature").isin(bad))
 
 
-def _residual(spark, sf):
+def _residual(spark, sf, variable="temperature"):
     f = featured(spark, sf)
-    feats = M.feature_list(f)
-    return f, feats, fitted(spark, sf, "residual", lambda: M.fit_residual(f.filter("split = 'TRAIN'"), feats, "y_temperature"))
+    feats = M.feature_list(f, f"b2_{variable}")
+    return f, feats, fitted(spark, sf, ("residual", variable), lambda: M.fit_residual(f.filter("split = 'TRAIN'"), feats, f"y_{variable}"))
 
 
 def _rain(spark, sf, kind, target):
@@ -100,6 +100,18 @@ def m04(spark, sf):
     return M.predict_residual(model, f, feats, "temperature", "b2_temperature").select(*KEYS, "split", "b2_temperature", "predicted_temperature_residual", "ml_temperature")
 
 
+@query("m04_residual_model_humidity")
+def m04h(spark, sf):
+    f, feats, model = _residual(spark, sf, "humidity")
+    return M.predict_residual(model, f, feats, "humidity", "b2_humidity").select(*KEYS, "split", "b2_humidity", "predicted_humidity_residual", "ml_humidity")
+
+
+@query("q23_prediction_sanity_humidity", "select count(*) as rows, 0::bigint as null_ml_humidity from v_match where b2_humidity is not null")
+def q23h(spark, sf):
+    f, feats, model = _residual(spark, sf, "humidity")
+    return M.sanity(M.predict_residual(model, f.filter("b2_humidity is not null"), feats, "humidity", "b2_humidity"), ["ml_humidity"])
+
+
 @query("q23_prediction_sanity", "select count(*) as rows, 0::bigint as null_ml_temperature from v_match")
 def q23(spark, sf):
     f, feats, model = _residual(spark, sf)
@@ -123,14 +135,29 @@ def _rain_features(f):
     return M.feature_list(f, baseline=None)
 
 
+def _rain_scores(spark, sf, kind, prefix):
+    """Event probabilities at every threshold; a threshold without events in TRAIN, or with nothing else, gets its constant."""
+    models = {f"{prefix}_{t[5:]}": _rain(spark, sf, kind, t) for t in C.RAIN_THRESHOLDS}
+    return M.score_all(featured(spark, sf), models).select(*KEYS, *C.RAIN_THRESHOLDS, *models)
+
+
 @query("m06_logistic_rain")
 def m06(spark, sf):
-    return _rain(spark, sf, "logistic", "rain_1mm").transform(featured(spark, sf), "r1_1mm").select(*KEYS, "rain_1mm", "r1_1mm")
+    return _rain_scores(spark, sf, "logistic", "r1")
 
 
 @query("m07_boosted_rain")
 def m07(spark, sf):
-    return _rain(spark, sf, "boosted", "rain_1mm").transform(featured(spark, sf), "r2_1mm").select(*KEYS, "rain_1mm", "r2_1mm")
+    return _rain_scores(spark, sf, "boosted", "r2")
+
+
+@query("m07_probability_bounds", "select count(*) as n_rows, 0::bigint as n_off from v_match")
+def m07b(spark, sf):
+    """Rows with a probability that is missing or outside of 0 to 1, at any threshold and of either model: none."""
+    both = _rain_scores(spark, sf, "logistic", "r1").join(_rain_scores(spark, sf, "boosted", "r2").drop(*C.RAIN_THRESHOLDS), KEYS)
+    names = [f"{k}_{t[5:]}" for k in ("r1", "r2") for t in C.RAIN_THRESHOLDS]
+    off = F.exists(F.array(*names), lambda p: p.isNull() | ~p.between(0.0, 1.0))
+    return both.agg(F.count("*").alias("n_rows"), F.count_if(off).alias("n_off"))
 
 
 @query("m08_single_class_guard", "select event_id, lead_time_hours, 0e0 as p from v_match", "p")
@@ -201,7 +228,7 @@ def _rain_models(spark, sf):
 def m12(spark, sf):
     f = featured(spark, sf)
     models, cal = _rain_models(spark, sf)
-    models["r1_1mm"] = _rain(spark, sf, "logistic", "rain_1mm")
+    models |= {f"r1_{t[5:]}": _rain(spark, sf, "logistic", t) for t in C.RAIN_THRESHOLDS}
     out = M.score_all(M.attach_prior(f, f, ["rain_1mm", "rain_10mm", "rain_25mm"]), models, cal)
     return out.select(*KEYS, "split", *[c for c in out.columns if c.startswith(("r0_", "r1_", "r2_", "prob_"))])
 
