@@ -180,7 +180,7 @@ class LogBilinear:
         self.symbol = np.concatenate([np.arange(SYMBOLS + 1), SYMBOLS + self.group])
         self.params = [
             rng.normal(0, 0.1, (SYMBOLS + 1 + words, WIDTH)), np.stack([np.eye(WIDTH) / CONTEXT + rng.normal(0, 0.02, (WIDTH, WIDTH)) for _ in range(CONTEXT)]),
-            rng.normal(0, 0.1, (len(unigram), WIDTH)), np.log(unigram), np.concatenate([rng.normal(0, 0.1, (words, WIDTH)), np.zeros((words, 1))], axis=1),
+            rng.normal(0, 0.1, (len(unigram), WIDTH)), np.log(unigram), np.concatenate([rng.normal(0, 0.1, (words, WIDTH)), np.zeros((words, 2))], axis=1),
         ]
         self.params = [p.astype(np.float32) for p in self.params]
         #: how often each row of the word tables took part in training
@@ -208,10 +208,10 @@ class LogBilinear:
             ctx, y = context[some].ravel(), self.symbol[target[some]]
             r, c, q, b, inner = self.params
             table = self.tables()
-            seen = r[ctx].reshape(len(some), -1)
+            seen = r.take(ctx, axis=0).reshape(len(some), -1)
             made = seen @ table
             z = np.minimum(np.searchsorted(share, rng.random(NOISE)), symbols - 1)
-            qy = q[y]
+            qy = q.take(y, axis=0)
             up = _sigmoid((made * qy).sum(1) + b[y] - shift[y]) - 1
             down = _sigmoid(made @ q[z].T + b[z] - shift[z])
             n = np.float32(len(some))
@@ -225,12 +225,13 @@ class LogBilinear:
                 low = self.begin[self.group[j]]
                 size = self.begin[self.group[j] + 1] - low
                 j = np.concatenate([j[:, None], low[:, None] + (rng.random((len(j), INSIDE)) * size[:, None]).astype(np.int64)], axis=1)
-                at, rows = made[inside], inner[j]
-                off = _sigmoid((rows[:, :, :WIDTH] @ at[:, :, None])[:, :, 0] + rows[:, :, WIDTH] - np.log(INSIDE / size).astype(np.float32)[:, None])
+                at, rows = made.take(inside, axis=0), inner.take(j, axis=0)
+                towards = rows[:, :, :WIDTH]
+                off = _sigmoid(np.einsum("njk,nk->nj", towards, at) + rows[:, :, WIDTH] - np.log(INSIDE / size).astype(np.float32)[:, None])
                 off[:, 0] -= 1
-                back[inside] += (off[:, None, :] @ rows[:, :, :WIDTH])[:, 0]
-                wide = np.concatenate([at, np.ones((len(at), 1), np.float32)], axis=1)
-                self._step(4, state, j.ravel(), (off[:, :, None] * wide[:, None, :]).reshape(-1, WIDTH + 1))
+                back[inside] += np.einsum("nj,njk->nk", off, towards)
+                wide = np.concatenate([at, np.ones((len(at), 1), np.float32), np.zeros((len(at), 1), np.float32)], axis=1)
+                self._step(4, state, j.ravel(), (off[:, :, None] * wide[:, None, :]).reshape(-1, WIDTH + 2))
             grads = {1: (seen.T @ back / n).reshape(c.shape), 2: gq / n, 3: gb / n}
             self._step(0, state, ctx, (back @ table.T).reshape(-1, WIDTH))
             for k, g in grads.items():
@@ -241,37 +242,51 @@ class LogBilinear:
         """AdaGrad on the rows of a word table that a batch has met; grads are summed by row."""
         ids, start, g = _sums(index, grads)
         self.part[k][ids] += np.diff(np.append(start, len(index)))
-        s = state[k][ids] + g**2
+        s = state[k].take(ids, axis=0)
+        s += g * g
         state[k][ids] = s
-        self.params[k][ids] -= RATE * g / (np.sqrt(s) + np.float32(1e-6))
+        np.sqrt(s, out=s)
+        s += np.float32(1e-6)
+        g *= np.float32(-RATE)
+        g /= s
+        g += self.params[k].take(ids, axis=0)
+        self.params[k][ids] = g
 
     def log10(self, context: np.ndarray, target: np.ndarray, table: np.ndarray) -> np.ndarray:
         """Normalised log10 probability of each target."""
         out, symbol = np.empty(len(target)), self.symbol[target]
         r, _, q, b, inner = self.params
-        predicted = np.empty((len(target), WIDTH), dtype=np.float32)
+        # a last column of ones meets the biases, so that one product gives the logits
+        predicted = np.ones((len(target), WIDTH + 1), dtype=np.float32)
+        vectors = np.ascontiguousarray(np.concatenate([q, b[:, None]], axis=1).T, dtype=np.float32)
+        held, ones = np.empty((SCORED, len(b)), dtype=np.float32), np.ones(len(b), dtype=np.float32)
         bound, bias = float(np.sqrt((q * q).sum(1).max())), float(np.abs(b).max())
         for first in range(0, len(target), SCORED):
             ctx, y = context[first:first + SCORED], symbol[first:first + SCORED]
-            made = predicted[first:first + SCORED] = r[ctx.ravel()].reshape(len(y), -1) @ table
-            logits = made @ q.T + b
+            made = r.take(ctx.ravel(), axis=0).reshape(len(y), -1) @ table
+            predicted[first:first + SCORED, :WIDTH] = made
+            logits = np.matmul(predicted[first:first + SCORED], vectors, out=held[:len(y)])
             top = np.float32(0)
             if bound * np.sqrt((made * made).sum(1).max()) + bias > 60:  # else exp() can't overflow
                 top = logits.max(1, keepdims=True)
                 logits -= top
             chosen = logits[np.arange(len(y)), y]
-            out[first:first + SCORED] = chosen - np.log(np.exp(logits, out=logits).sum(1))
+            out[first:first + SCORED] = chosen - np.log(np.exp(logits, out=logits) @ ones)
         inside = np.flatnonzero(target > SYMBOLS)
         inside = inside[np.argsort(symbol[inside], kind="stable")]
         group = symbol[inside] - SYMBOLS
+        inner_bound = float(np.sqrt((inner * inner).sum(1).max())) if len(inner) else 0.0
         edges = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group))
         for first, end in zip(edges[:-1], edges[1:], strict=True):
             low, high = self.begin[group[first]], self.begin[group[first] + 1]
             for at in range(first, end, SCORED):
                 some = inside[at:min(at + SCORED, end)]
-                logits = predicted[some] @ inner[low:high, :WIDTH].T + inner[low:high, WIDTH]
-                logits -= logits.max(1, keepdims=True)
-                out[some] += logits[np.arange(len(some)), target[some] - SYMBOLS - 1 - low] - np.log(np.exp(logits).sum(1))
+                made = predicted.take(some, axis=0)
+                logits = made @ inner[low:high, :WIDTH + 1].T
+                if inner_bound * np.sqrt((made * made).sum(1).max()) > 60:
+                    logits -= logits.max(1, keepdims=True)
+                chosen = logits[np.arange(len(some)), target[some] - SYMBOLS - 1 - low]
+                out[some] += chosen - np.log(np.exp(logits, out=logits) @ ones[:1].repeat(high - low))
         return out / np.log(10)
 
     def change(self, start: LogBilinear, seen: int) -> Iterator[tuple]:
@@ -297,11 +312,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _sums(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, first place of each in order, sums of rows by id)."""
-    order = np.argsort(index)
-    ids = index[order]
+    """(ids, first place of each in order, sums of rows by id); rows have an even number of columns."""
+    # one sort of (index, place), and sums of the columns in pairs, as complex numbers
+    key = np.sort((index.astype(np.int64) << 32) | np.arange(len(index)))
+    ids, order = key >> 32, key & 0xFFFFFFFF
     start = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-    return ids[start], start, np.add.reduceat(rows[order], start, axis=0)
+    pairs = rows.astype(np.float32, copy=False).take(order, axis=0).view(np.complex64)
+    return ids[start], start, np.add.reduceat(pairs, start, axis=0).view(np.float32)
 
 
 def _scatter(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
