@@ -330,6 +330,18 @@ def s04m(spark, sf):
     return f.select("feature_idx", "geometry_type", F.size("polygons").alias("n_polygons"), F.size("edges").alias("n_edges"), mx.alias("mx"))
 
 
+@query("s04_collection_in_parts", """select panchayat_id, case when unit_idx%9=0 then 'UNKNOWN' else panchayat_name end as panchayat_name, 'Polygon' as geometry_type, 6::int as n_edges, x1 as first_x, y1 as first_y
+    from v_unit join v_hex using (unit_idx, panchayat_id) where k=0""", "first_x first_y")
+def s04c(spark, sf):
+    path = scratch_path(spark, "collections")
+    units = V.units(spark, sf).withColumns({"panchayat_code": F.col("panchayat_id"), "panchayat_name": F.when(F.col("feature_idx") % 9 != 0, F.col("panchayat_name"))})
+    J.write_collections(units, path, V.hex_ring(), ["panchayat_code", "panchayat_name"])
+    feats = J.read_collection(spark, path)
+    b = J.boundary_shapes(feats)
+    e = F.col("edges")[0]
+    return b.select("panchayat_id", "panchayat_name", F.lit("Polygon").alias("geometry_type"), F.size("edges").alias("n_edges"), e.x1.alias("first_x"), e.y1.alias("first_y"))
+
+
 @query("x12_trigonometry", "select event_id, sin(radians(value)) as s, cos(radians(value)) as c, tan(radians(value/2e0)) as t, degrees(atan(value)) as a, degrees(atan2(value,50e0)) as b, sqrt(value) as q, abs(value-50e0) as d from events", "s c t a b q d")
 def x12(spark, sf):
     v = F.col("value")
