@@ -93,7 +93,20 @@ class Vocabulary:
 
     def symbols(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.own, h), len(self.own) - 1)
-        return np.where(self.own[at] == h, self.own_symbol[at], OWN + c)
+        return np.where(self.own.take(at) == h, self.own_symbol.take(at), OWN + c)
+
+    def count_by_symbol(self) -> np.ndarray:
+        """Count of the word of each symbol; 0 for the rest of a class and a word that isn't in `hashes`."""
+        out = np.zeros(SYMBOLS + 1 + int(self.begin[-1]), dtype=np.int64)
+        out[self.own_symbol] = self.lookup(self.own)
+        return out
+
+    def lookup(self, h: np.ndarray) -> np.ndarray:
+        """Count of each hash, 0 if it isn't in `hashes`."""
+        if not len(self.hashes):
+            return np.zeros(len(h), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes.take(at) == h, self.counts.take(at), 0)
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -105,9 +118,8 @@ def count_words(texts: DataFrame) -> DataFrame:
         for b in batches:
             for _, _, data, at in wd.runs(b.column(0)):
                 h, c, _ = tokens(data, at)
-                values, first, n = np.unique(h, return_index=True, return_counts=True)
-                held.append((values, c[first], n))
-                size += len(values)
+                held.append(_merged([(h, c, np.ones(len(h), dtype=np.int64))]))
+                size += len(held[-1][0])
                 if size > 1_500_000:
                     held = [_merged(held)]
                     size = len(held[0][0])
@@ -122,9 +134,12 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 def _merged(held: list[tuple]) -> tuple:
+    """(hash, class, count) of the distinct hashes; equal hashes have equal classes."""
     h, c, n = (np.concatenate(x) for x in zip(*held, strict=True))
-    values, first, back = np.unique(h, return_index=True, return_inverse=True)
-    return values, c[first], np.bincount(back, n).astype(np.int64)
+    order = np.argsort(h)
+    h = h.take(order)
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(h), 1), dtype=bool), h[1:] != h[:-1]]))
+    return h[first], c[order[first]], np.add.reduceat(n.take(order), first) if len(h) else n
 
 
 def _count_rows(h: np.ndarray, c: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -205,26 +220,28 @@ class LogBilinear:
         order = rng.permutation(len(target))
         for first in range(0, len(order), BATCH):
             some = order[first:first + BATCH]
-            ctx, y = context[some].ravel(), self.symbol[target[some]]
+            goal = target.take(some)
+            ctx, y = context.take(some, axis=0).ravel(), self.symbol.take(goal)
             r, c, q, b, inner = self.params
             table = self.tables()
             seen = r.take(ctx, axis=0).reshape(len(some), -1)
             made = seen @ table
             z = np.minimum(np.searchsorted(share, rng.random(NOISE)), symbols - 1)
             qy = q.take(y, axis=0)
-            up = _sigmoid((made * qy).sum(1) + b[y] - shift[y]) - 1
-            down = _sigmoid(made @ q[z].T + b[z] - shift[z])
+            level, qz = b - shift, q[z]
+            up = _sigmoid(np.einsum("nk,nk->n", made, qy) + level.take(y)) - 1
+            down = _sigmoid(made @ qz.T + level[z])
             n = np.float32(len(some))
-            back = up[:, None] * qy + down @ q[z]
+            back = up[:, None] * qy + down @ qz
             gq, gb = _scatter(y, up[:, None] * made, symbols), np.bincount(y, up, minlength=symbols)
             np.add.at(gq, z, down.T @ made)
             np.add.at(gb, z, down.sum(0))
-            inside = np.flatnonzero(target[some] > SYMBOLS)
+            inside = np.flatnonzero(goal > SYMBOLS)
             if len(inside):
-                j = target[some][inside] - SYMBOLS - 1
+                j = goal[inside] - SYMBOLS - 1
                 low = self.begin[self.group[j]]
                 size = self.begin[self.group[j] + 1] - low
-                j = np.concatenate([j[:, None], low[:, None] + (rng.random((len(j), INSIDE)) * size[:, None]).astype(np.int64)], axis=1)
+                j = np.concatenate([j[:, None], low[:, None] + (rng.random((len(j), INSIDE), dtype=np.float32) * size[:, None]).astype(np.int64)], axis=1)
                 at, rows = made.take(inside, axis=0), inner.take(j, axis=0)
                 towards = rows[:, :, :WIDTH]
                 off = _sigmoid(np.einsum("njk,nk->nj", towards, at) + rows[:, :, WIDTH] - np.log(INSIDE / size).astype(np.float32)[:, None])
@@ -308,7 +325,12 @@ class LogBilinear:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """1 / (1 + exp(-x)), written over x."""
+    np.maximum(x, -30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)  # of a large x: 0
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _sums(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -416,7 +438,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, model = shared.value
-        table, uid = model.tables(), first_uid()
+        table, uid, by_symbol = model.tables(), first_uid(), vocab.count_by_symbol()
         in_class = np.log10(vocab.class_tokens + vocab.class_words + 1.0)
         for b in batches:
             for first, end, data, at in wd.runs(b.column(1)):
@@ -426,10 +448,11 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
                 part = model.log10(contexts(y, r), y, table)
                 rest = (y >= OWN) & (y < SYMBOLS)
                 part[rest] -= in_class[y[rest] - OWN]
-                found = np.minimum(np.searchsorted(vocab.hashes, h), max(len(vocab.hashes) - 1, 0))
-                head = vocab.hashes[found] == h if len(vocab.hashes) else np.zeros(len(h), bool)
-                log = np.zeros(len(h))
-                log[head] = np.log10(vocab.counts[found[head]] + 1.0)
+                times = by_symbol.take(y)
+                open_ = np.flatnonzero(times == 0)
+                times[open_] = vocab.lookup(h[open_])
+                head = times > 0
+                log = np.log10(times + 1.0)
                 part += np.where(rest, log, 0)
                 bound = np.searchsorted(r[~head], np.arange(n + 1)).astype(np.int32)
                 tail = pa.ListArray.from_arrays(pa.array(bound), pa.array(h[~head].view(np.int64)))
