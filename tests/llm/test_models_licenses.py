@@ -108,6 +108,43 @@ def test_words_beyond_the_most_frequent_are_modelled(spark):
     assert len(np.unique(np.round(model.log10(one, np.full(33, 3), model.tables()), 6))) == 33
 
 
+def test_score_is_the_sum_over_the_tokens_computed_one_by_one(spark):
+    """Each token's share by plain sums over the model's tables: softmax over symbols, softmax in the group, or the count's share of the rest."""
+    rng = np.random.default_rng(8)
+    names = [f"{a}{b}{c}" for a in "bdfgkm" for b in "aeiou" for c in "klmnprst"]  # 240 words
+    weights = 1 / np.arange(1, 241)
+    rows = [(i, " ".join([*rng.choice(names, 200, p=weights / weights.sum()), f"once{i}", f"Twice{i // 2}"])) for i in range(96)] + [(96, ""), (97, "unseen words only"), (98, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    learn = F.col("doc_id") < 90
+    got = {r.doc_id: r for r in lm.score(docs, learn).collect()}
+    training = docs.where(learn).select("text", F.pmod(F.xxhash64(F.lit(3), "doc_id", "text"), F.lit(sum(lm.ROUNDS))).alias("part"))
+    vocab = lm.vocabulary(lm.count_words(training.select("text")))
+    model = lm.fit(training, vocab)
+    assert vocab.begin[-1] > 20 and vocab.class_words.sum() > 0  # all three kinds of words
+    r, tables, q, b, inner = (np.asarray(p, np.float64) for p in model.params)
+    times = Counter(w for i, t in rows if i < 90 for w in words(t))
+    place = dict(zip(vocab.own.tolist(), vocab.own_symbol.tolist(), strict=True))
+    for i, t in rows:
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        h, cls, _ = lm.tokens(data, np.array([0, len(data)]))
+        symbols = [place.get(int(x), lm.OWN + int(k)) for x, k in zip(h, cls, strict=True)]
+        total = 0.0
+        for at, (y, w) in enumerate(zip(symbols, words(t), strict=True)):
+            made = sum(r[symbols[at - k] if at >= k else lm.SYMBOLS] @ tables[k - 1] for k in range(1, lm.CONTEXT + 1))
+            logits = q @ made + b
+            group = np.searchsorted(vocab.begin, y - lm.SYMBOLS - 1, "right") - 1 if y > lm.SYMBOLS else None
+            first = y if group is None else lm.SYMBOLS + group
+            total += logits[first] - np.log(np.exp(logits).sum())
+            if group is not None:
+                low, high = vocab.begin[group:group + 2]
+                near = inner[low:high, :lm.WIDTH] @ made + inner[low:high, lm.WIDTH]
+                total += near[y - lm.SYMBOLS - 1 - low] - np.log(np.exp(near).sum())
+            elif y >= lm.OWN:
+                k = y - lm.OWN
+                total += np.log((times[w] + 1) / (vocab.class_tokens[k] + vocab.class_words[k] + 1))
+        assert abs(got[i].score - total / np.log(10)) < 1e-3 * max(1, len(symbols) / 10), (i, got[i].score, total / np.log(10))
+
+
 def test_words_of_a_group_are_learned_from_their_context():
     rng = np.random.default_rng(0)
     y = lm.SYMBOLS + 1 + np.cumsum(rng.integers(1, 3, 60_000)) % 64  # all words lie in two groups
