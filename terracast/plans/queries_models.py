@@ -118,17 +118,50 @@ def q23(spark, sf):
     return M.sanity(M.predict_residual(model, f, feats, "temperature", "b2_temperature"), ["ml_temperature"])
 
 
-@query("m05_quantile_forest")
-def m05(spark, sf):
+def _intervals(spark, sf, variable):
     """Forest quantiles, put in order, conformally widened, on the absolute scale."""
     f = featured(spark, sf)
-    forest = M.QuantileForest(M.feature_list(f), "y_temperature").fit(f.filter("split = 'TRAIN'"))
-    q = forest.transform(f, KEYS, "r")
+    label, base = f"y_{variable}", f"b2_{variable}"
+    forest = fitted(spark, sf, ("forest", variable), lambda: M.QuantileForest(M.feature_list(f, base), label).fit(f.filter("split = 'TRAIN'")))
+    q = forest.transform(f.filter(F.col(base).isNotNull()), KEYS, "r")
     lo, mid, hi = U.monotone("r_q10", "r_q50", "r_q90")
     q = q.withColumns({"r_q10": lo, "r_q50": mid, "r_q90": hi})
-    scores = q.filter("split = 'CALIBRATION'").select(U.conformity_score("y_temperature", "r_q10", "r_q90").alias("score"))
+    scores = q.filter("split = 'CALIBRATION'").select(U.conformity_score(label, "r_q10", "r_q90").alias("score"))
     q = U.widen(q, U.conformal_correction(scores), "r_q10", "r_q90", "")
-    return U.to_absolute(q, {"temperature": "r"}).select(*KEYS, "split", "q10_temperature", "q50_temperature", "q90_temperature", "temperature_interval_width", "temperature_reliability")
+    return U.to_absolute(q, {variable: "r"})
+
+
+def _interval_columns(variable):
+    return [*KEYS, "split", *[f"{q}_{variable}" for q in ("q10", "q50", "q90")], f"{variable}_interval_width", f"{variable}_reliability"]
+
+
+@query("m05_quantile_forest")
+def m05(spark, sf):
+    return _intervals(spark, sf, "temperature").select(*_interval_columns("temperature"))
+
+
+@query("m05_quantile_forest_humidity")
+def m05h(spark, sf):
+    return _intervals(spark, sf, "humidity").select(*_interval_columns("humidity"))
+
+
+@query("m05_interval_invariants", """select 'temperature' as variable, count(*) as rows, 0::bigint as missing, 0::bigint as outside, true as covers from v_match where b2_temperature is not null
+    union all select 'humidity', count(*), 0::bigint, 0::bigint, true from v_match where b2_humidity is not null""")
+def m05i(spark, sf):
+    """No quantile is missing, humidity stays in 0 to 100, and CALIBRATION is covered as often as the interval promises."""
+    out = None
+    for v in ("temperature", "humidity"):
+        lo, hi, y = F.col(f"q10_{v}"), F.col(f"q90_{v}"), F.col(f"b2_{v}") + F.col(f"y_{v}")
+        held = (F.col("split") == "CALIBRATION") & y.isNotNull()
+        if v == "humidity":  # forecasts are held in 0..100, and so is the truth they are compared with
+            y = F.least(F.greatest(y, F.lit(0.0)), F.lit(100.0))
+        limit = F.lit(v == "humidity") & ((lo < 0) | (hi > 100))
+        part = _intervals(spark, sf, v).agg(
+            F.count("*").alias("rows"), F.count_if(lo.isNull() | hi.isNull() | F.col(f"q50_{v}").isNull()).alias("missing"), F.count_if(limit).alias("outside"),
+            (F.count_if(held & y.between(lo - 1e-9, hi + 1e-9)) >= (1 - C.ALPHA) * F.count_if(held)).alias("covers"),
+        ).select(F.lit(v).alias("variable"), "rows", "missing", "outside", "covers")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _rain_features(f):
@@ -211,7 +244,7 @@ def m10sum(spark, sf):
 
 @query("m11_ablation")
 def m11(spark, sf):
-    return M.ablation(featured(spark, sf), "temperature")
+    return M.ablation(featured(spark, sf), "temperature").unionByName(M.ablation(featured(spark, sf), "humidity"))
 
 
 def _rain_models(spark, sf):
