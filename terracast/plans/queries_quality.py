@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from terracast import config as C
 from terracast.functions import checks, labels
 from terracast.functions.numbers import half_even, to_number
-from terracast.functions.times import parse_time
+from terracast.functions.times import parse_time, parsed_times
 from terracast.operators import quality as Q
 from terracast.plans import views as V
 from terracast.plans.oracle import even, qc, stamp
@@ -70,7 +70,7 @@ def p06(spark, sf):
 
 @query("p07_drop_null_times", "select count(*) as n_kept from v_typedfc where it is not null and vt is not null")
 def p07(spark, sf):
-    raw = V.raw_forecasts(spark, sf).select(parse_time("forecast_issue_time").alias("i"), parse_time("valid_time").alias("v"))
+    raw = parsed_times(V.raw_forecasts(spark, sf), i="forecast_issue_time", v="valid_time")
     return raw.na.drop(subset=["i", "v"]).agg(F.count("*").alias("n_kept"))
 
 
@@ -304,7 +304,7 @@ def x07(spark, sf):
 def x09(spark, sf):
     from terracast.functions.times import lead_hours
 
-    t = V.raw_forecasts(spark, sf).select(parse_time("forecast_issue_time").alias("i"), parse_time("valid_time").alias("v")).na.drop()
+    t = parsed_times(V.raw_forecasts(spark, sf), i="forecast_issue_time", v="valid_time").na.drop()
     return t.agg(F.count_if(F.col("v") < F.col("i")).alias("backwards"), F.count_if(F.col("v") == F.col("i")).alias("same"), F.sum(lead_hours("i", "v").cast("bigint")).alias("total_lead"))
 
 
