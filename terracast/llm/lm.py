@@ -46,6 +46,7 @@ BATCH = 4096
 SCORED = 1024  # the logits of a batch stay in the processor's cache
 RATE = 0.05
 HEAD = 1 << 18
+STEPS = 8  # from the first word of a range on; past that a search by halves
 #: parts of the training documents in each round
 ROUNDS = (1, 3, 12)
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
@@ -92,9 +93,26 @@ class Vocabulary:
     begin: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # first word of each group, and their number
 
     def symbols(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.own, h), len(self.own) - 1)
+        at = np.minimum(self._own_place(h), len(self.own) - 1)
         return np.where(self.own.take(at) == h, self.own_symbol.take(at), OWN + c)
 
+    def _own_place(self, h: np.ndarray) -> np.ndarray:
+        """np.searchsorted(own, h), from the first place of each range of the leading bits."""
+        if not hasattr(self, "_first"):
+            bits = int(len(self.own)).bit_length() + 3
+            self._shift = np.uint64(64 - bits)
+            self._first = np.searchsorted(self.own, np.arange(1 << bits, dtype=np.uint64) << self._shift)
+            self._limit = np.append(self.own, np.uint64(2**64 - 1))
+        at = self._first.take((h >> self._shift).astype(np.int64))
+        behind = np.flatnonzero(self._limit.take(at) < h)
+        for _ in range(STEPS):
+            if not len(behind):
+                return at
+            at[behind] += 1
+            behind = behind[self._limit.take(at.take(behind)) < h.take(behind)]
+        at[behind] = np.searchsorted(self.own, h.take(behind))
+        return at
+
     def count_by_symbol(self) -> np.ndarray:
         """Count of the word of each symbol; 0 for the rest of a class and a word that isn't in `hashes`."""
         out = np.zeros(SYMBOLS + 1 + int(self.begin[-1]), dtype=np.int64)
@@ -248,16 +266,16 @@ class LogBilinear:
                 off[:, 0] -= 1
                 back[inside] += np.einsum("nj,njk->nk", off, towards)
                 wide = np.concatenate([at, np.ones((len(at), 1), np.float32), np.zeros((len(at), 1), np.float32)], axis=1)
-                self._step(4, state, j.ravel(), (off[:, :, None] * wide[:, None, :]).reshape(-1, WIDTH + 2))
+                self._step(4, state, j.ravel(), wide, off.ravel())
             grads = {1: (seen.T @ back / n).reshape(c.shape), 2: gq / n, 3: gb / n}
             self._step(0, state, ctx, (back @ table.T).reshape(-1, WIDTH))
             for k, g in grads.items():
                 state[k] += g**2
                 self.params[k] = (self.params[k] - RATE * g / (np.sqrt(state[k]) + 1e-6)).astype(np.float32)
 
-    def _step(self, k: int, state: list, index: np.ndarray, grads: np.ndarray) -> None:
-        """AdaGrad on the rows of a word table that a batch has met; grads are summed by row."""
-        ids, start, g = _sums(index, grads)
+    def _step(self, k: int, state: list, index: np.ndarray, grads: np.ndarray, times: np.ndarray | None = None) -> None:
+        """AdaGrad on the rows of a word table that a batch has met; grads, `times` factors if given, are summed by row."""
+        ids, start, g = _sums(index, grads, times)
         self.part[k][ids] += np.diff(np.append(start, len(index)))
         s = state[k].take(ids, axis=0)
         s += g * g
@@ -284,13 +302,14 @@ class LogBilinear:
             predicted[first:first + SCORED, :WIDTH] = made
             logits = np.matmul(predicted[first:first + SCORED], vectors, out=held[:len(y)])
             top = np.float32(0)
-            if bound * np.sqrt((made * made).sum(1).max()) + bias > 60:  # else exp() can't overflow
+            if bound * np.sqrt(np.einsum("nk,nk->n", made, made).max()) + bias > 60:  # else exp() can't overflow
                 top = logits.max(1, keepdims=True)
                 logits -= top
             chosen = logits[np.arange(len(y)), y]
             out[first:first + SCORED] = chosen - np.log(np.exp(logits, out=logits) @ ones)
         inside = np.flatnonzero(target > SYMBOLS)
-        inside = inside[np.argsort(symbol[inside], kind="stable")]
+        small = np.uint16 if len(b) <= 1 << 16 else np.int64  # sorted by digits
+        inside = inside[np.argsort(symbol[inside].astype(small), kind="stable")]
         group = symbol[inside] - SYMBOLS
         inner_bound = float(np.sqrt((inner * inner).sum(1).max())) if len(inner) else 0.0
         edges = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group))
@@ -300,7 +319,7 @@ class LogBilinear:
                 some = inside[at:min(at + SCORED, end)]
                 made = predicted.take(some, axis=0)
                 logits = made @ inner[low:high, :WIDTH + 1].T
-                if inner_bound * np.sqrt((made * made).sum(1).max()) > 60:
+                if inner_bound * np.sqrt(np.einsum("nk,nk->n", made, made).max()) > 60:
                     logits -= logits.max(1, keepdims=True)
                 chosen = logits[np.arange(len(some)), target[some] - SYMBOLS - 1 - low]
                 out[some] += chosen - np.log(np.exp(logits, out=logits) @ ones[:1].repeat(high - low))
@@ -333,14 +352,21 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def _sums(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, first place of each in order, sums of rows by id); rows have an even number of columns."""
+def _sums(index: np.ndarray, rows: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, first place of each in order, sums of rows by id); rows have an even number of columns.
+
+    With `times`, a row stands for as many equal places one after another as there are factors to it, each times its factor.
+    """
     # one sort of (index, place), and sums of the columns in pairs, as complex numbers
     key = np.sort((index.astype(np.int64) << 32) | np.arange(len(index)))
     ids, order = key >> 32, key & 0xFFFFFFFF
     start = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-    pairs = rows.astype(np.float32, copy=False).take(order, axis=0).view(np.complex64)
-    return ids[start], start, np.add.reduceat(pairs, start, axis=0).view(np.float32)
+    if times is None:
+        met = rows.astype(np.float32, copy=False).take(order, axis=0)
+    else:
+        met = rows.astype(np.float32, copy=False).take(order // (len(times) // len(rows)), axis=0)
+        met *= times.take(order)[:, None]
+    return ids[start], start, np.add.reduceat(met.view(np.complex64), start, axis=0).view(np.float32)
 
 
 def _scatter(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:

@@ -172,3 +172,28 @@ def test_licences_inside_longer_lines(spark):
     assert got[1] == got[2] == [("MIT", "window")] and got[3] == [("GPL-3.0", "window")] and got[4] == []
     assert got[5] == [("GPL-2.0", "window"), ("CC-BY-4.0", "window")] and got[7] == got[8] == []
     assert rows[1][1].encode()[found[2][0].start:found[2][0].end] == b"Released under the MIT License"
+
+
+def test_places_of_words_from_their_leading_bits():
+    """Ranges found from the leading bits give the places of a binary search, for crowded ranges and both ends too."""
+    from terracast.llm import lm
+
+    rng = np.random.default_rng(3)
+    top = np.uint64(2**64 - 1)
+    spread_out = rng.integers(0, 2**64, 5000, dtype=np.uint64)
+    crowded = np.arange(100, dtype=np.uint64) + np.uint64(7 << 60)  # more words in one range than steps are made
+    for own in (np.unique(np.concatenate([spread_out, crowded, [np.uint64(0), top]])), crowded, crowded[:1]):
+        v = lm.Vocabulary(1, 1, own, own, own, np.arange(len(own)), np.zeros(1), np.zeros(1))
+        asked = np.concatenate([own, own + np.uint64(1), own - np.uint64(1), rng.integers(0, 2**64, 5000, dtype=np.uint64), [np.uint64(0), top]])
+        assert (v._own_place(asked) == np.searchsorted(own, asked)).all()
+
+
+def test_sums_of_rows_times_factors():
+    """Rows multiplied after they are put in order have the sums of rows multiplied before."""
+    from terracast.llm import lm
+
+    rng = np.random.default_rng(4)
+    rows, times, index = rng.normal(size=(300, 6)).astype(np.float32), rng.normal(size=2100).astype(np.float32), rng.integers(0, 40, 2100)
+    ids, start, got = lm._sums(index, rows, times)
+    old_ids, old_start, old = lm._sums(index, (times.reshape(300, 7, 1) * rows[:, None, :]).reshape(-1, 6))
+    assert (ids == old_ids).all() and (start == old_start).all() and (got == old).all()
