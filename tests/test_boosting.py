@@ -111,3 +111,33 @@ def test_chunks_are_cut_and_missing_values_refused(monkeypatch):
             list(B.binned_chunks(iter([bad]), cuts, False))
     with pytest.raises(ValueError):
         list(B.binned_chunks(iter([batch([[1.0, 1.0]], [0.5])]), cuts, True))
+
+
+def test_rain_models_share_their_training_rows(rows, monkeypatch):
+    from contextlib import contextmanager
+
+    held, real = [], M.training_rows
+
+    @contextmanager
+    def noted(train, features, *labels):
+        with real(train, features, *labels) as r:
+            held.append(labels)
+            yield r
+
+    monkeypatch.setattr(M, "training_rows", noted)
+    d = rows.withColumns({"heavy": (F.col("y") > 40).cast("int"), "never": F.lit(0)})
+    from terracast.config import BoostParams
+
+    few = BoostParams(trees=3, depth=2)
+    make = lambda: [M.RainModel("boosted", FEATURES, "rain", few), M.RainModel("logistic", FEATURES, "heavy", few), M.RainModel("boosted", FEATURES, "never", few)]
+    together, alone = make(), make()
+    M.fit_events(together, d, ["heavy", "never", "rain"])
+    assert [set(h) for h in held] == [{"rain", "heavy", "never"}] and together[2].constant == 0.0
+    for m in alone:
+        m.fit(d)
+    assert len(held) == 3  # the constant one holds no rows
+    score = lambda models: M.score_all(d, {f"p{i}": m for i, m in enumerate(models)}).orderBy("k").select("p0", "p1", "p2").collect()
+    assert np.allclose(score(together), score(alone), atol=1e-9)
+    assert len(together[0].model.stages) == 3 and len(together[1].model.stages) == 4
+    with pytest.raises(ValueError):
+        M.fit_events([M.RainModel("boosted", FEATURES, "rain"), M.RainModel("boosted", ["a"], "rain")], d)
